@@ -52,14 +52,13 @@ SELECT l_quantity::DOUBLE AS quantity, l_extendedprice::DOUBLE AS extendedprice,
   l_returnflag AS Label
 FROM lineitem"""
 
-_U = unit(42, "l_quantity::VARCHAR || '|' || l_linenumber::VARCHAR || '|' || l_suppkey::VARCHAR")
-VIEWS["dirty_flows"] = f"""
-SELECT CASE WHEN u < 0.004 THEN 'nan' WHEN u < 0.008 THEN 'inf' WHEN u < 0.012 THEN 'abc' WHEN u < 0.016 THEN '2000000'
-    WHEN u < 0.020 THEN '' WHEN u < 0.024 THEN '1000000' ELSE l_quantity::VARCHAR END AS quantity,
-  CASE WHEN u >= 0.5 AND u < 0.51 THEN 'NULL' ELSE l_discount::VARCHAR END AS discount,
+VIEWS["dirty_flows"] = """
+SELECT CASE WHEN m < 4 THEN 'nan' WHEN m < 8 THEN 'inf' WHEN m < 12 THEN 'abc' WHEN m < 16 THEN '2000000'
+    WHEN m < 20 THEN '' WHEN m < 24 THEN '1000000' ELSE l_quantity::VARCHAR END AS quantity,
+  CASE WHEN m BETWEEN 500 AND 509 THEN 'NULL' ELSE l_discount::VARCHAR END AS discount,
   l_tax::VARCHAR AS tax, l_linenumber::VARCHAR AS linenumber,
-  CASE WHEN u >= 0.7 AND u < 0.71 THEN 'null' WHEN l_returnflag = 'R' THEN '1' ELSE '0' END AS Label
-FROM (SELECT *, {_U} AS u FROM lineitem)"""
+  CASE WHEN m BETWEEN 700 AND 709 THEN 'null' WHEN l_returnflag = 'R' THEN '1' ELSE '0' END AS Label
+FROM (SELECT *, (l_partkey * 31 + l_suppkey * 17 + l_linenumber) % 1000 AS m FROM lineitem)"""
 
 VIEWS["attack_log"] = """
 SELECT event_id AS id, ts AS "timestamp",

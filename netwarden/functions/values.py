@@ -48,13 +48,20 @@ def clean_token(text: Column) -> Column:
     return F.when(trimmed.isin(NA_TOKENS), None).otherwise(trimmed)
 
 
+# The largest finite numbers of the floating types.
+MAX_FINITE = {"float": 3.4028234663852886e38, "double": 1.7976931348623157e308}
+
+
 def safe_cast(text: Column, kind: str) -> Column:
-    """Cast that yields NULL for unparsable, NaN and infinite cells."""
+    """Cast that yields NULL for missing tokens and for unparsable, NaN and infinite cells.
+
+    The missing-value tokens need no test of their own: each is unparsable, NaN or infinite,
+    and NaN compares above every number.
+    """
     value = text.try_cast(kind)
-    if kind not in ("float", "double"):
+    if kind not in MAX_FINITE:
         return value
-    finite = ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
-    return F.when(finite, value)
+    return F.when(F.abs(value) <= F.lit(MAX_FINITE[kind]).cast(kind), value)
 
 
 def parse_time(text: Column) -> Column:

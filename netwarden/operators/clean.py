@@ -45,7 +45,7 @@ def distinct_rows(df: DataFrame) -> DataFrame:
 
 def to_numeric(df: DataFrame, columns: list[str], kind: str = "float") -> DataFrame:
     """Text columns as numbers; missing tokens and unparsable cells become NULL."""
-    return df.withColumns({c: safe_cast(clean_token(F.col(c)), kind) for c in columns})
+    return df.withColumns({c: safe_cast(F.col(c), kind) for c in columns})
 
 
 def conversion_counts(df: DataFrame, columns: list[str], kind: str = "float") -> DataFrame:

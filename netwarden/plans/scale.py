@@ -87,10 +87,10 @@ def _prefix_totals(hashed: DataFrame, group: str) -> DataFrame:
     return counts.withColumn("__upto", F.sum("__n").over(upto))
 
 
-def take_by_hash(
-    df: DataFrame, group: str, row_id: str, quotas: DataFrame, seed: str | int, rows: int
+def mark_by_hash(
+    df: DataFrame, group: str, row_id: str, quotas: DataFrame, seed: str | int, rows: int, name: str = "taken"
 ) -> DataFrame:
-    """Rows of each class whose rank in hash order is at most the class quota, exactly.
+    """Add ``name``: whether the row's rank in its class, in hash order, is within the quota.
 
     ``quotas`` has ``(group, quota)``. Only the one hash range per class that contains the
     cut is ranked; every other row is decided by comparing its digest with the cut, so the
@@ -114,7 +114,18 @@ def take_by_hash(
     below = (F.col("__h") < F.col("__cut")) | (
         (F.col("__h") == F.col("__cut")) & (F.col(row_id) <= F.col("__cut_id"))
     )
-    return hashed.join(cuts, group).where(below).drop("__h", "__p", "__cut", "__cut_id")
+    return (
+        hashed.join(cuts, group, "left")
+        .withColumn(name, F.coalesce(below, F.lit(False)))
+        .drop("__h", "__p", "__cut", "__cut_id")
+    )
+
+
+def take_by_hash(
+    df: DataFrame, group: str, row_id: str, quotas: DataFrame, seed: str | int, rows: int
+) -> DataFrame:
+    """The first ``quota`` rows of each class in hash order, exactly."""
+    return mark_by_hash(df, group, row_id, quotas, seed, rows, "__in").where("__in").drop("__in")
 
 
 def index_by_hash(

@@ -94,23 +94,22 @@ DIRTY_FEATURES = ["quantity", "discount", "tax", "linenumber"]
 
 def dirty_flows(spark: SparkSession, folder: str) -> DataFrame:
     """Flow records as text with missing tokens, junk and extreme values; many equal rows."""
-    items = table(spark, folder, "lineitem")
-    u = hash_unit(42, F.concat_ws("|", *[F.col(f"l_{c}").cast("string") for c in ("quantity", "linenumber", "suppkey")]))
-    return items.withColumn("u", u).select(
-        F.when(F.col("u") < 0.004, "nan")
-        .when(F.col("u") < 0.008, "inf")
-        .when(F.col("u") < 0.012, "abc")
-        .when(F.col("u") < 0.016, "2000000")
-        .when(F.col("u") < 0.020, "")
-        .when(F.col("u") < 0.024, "1000000")
+    mix = F.expr("(l_partkey * 31 + l_suppkey * 17 + l_linenumber) % 1000")
+    return table(spark, folder, "lineitem").withColumn("m", mix).select(
+        F.when(F.col("m") < 4, "nan")
+        .when(F.col("m") < 8, "inf")
+        .when(F.col("m") < 12, "abc")
+        .when(F.col("m") < 16, "2000000")
+        .when(F.col("m") < 20, "")
+        .when(F.col("m") < 24, "1000000")
         .otherwise(F.col("l_quantity").cast("string"))
         .alias("quantity"),
-        F.when((F.col("u") >= 0.5) & (F.col("u") < 0.51), "NULL")
+        F.when(F.col("m").between(500, 509), "NULL")
         .otherwise(F.col("l_discount").cast("string"))
         .alias("discount"),
         F.col("l_tax").cast("string").alias("tax"),
         F.col("l_linenumber").cast("string").alias("linenumber"),
-        F.when((F.col("u") >= 0.7) & (F.col("u") < 0.71), "null")
+        F.when(F.col("m").between(700, 709), "null")
         .otherwise(F.when(F.col("l_returnflag") == "R", "1").otherwise("0"))
         .alias("Label"),
     )

@@ -37,15 +37,14 @@ def scan(
 def bad_line_counts(df: DataFrame) -> DataFrame:
     """Good and malformed lines of a scan made with ``bad_lines='warn'``.
 
-    Column pruning would parse nothing if only the corrupt column were read, so the count
-    goes through a filter on a full row.
+    A line is only checked in the columns that are read, so the filled cells of every column
+    are counted along with the lines.
     """
-    first = df.columns[0]
     bad = F.col(CORRUPT).isNotNull()
-    return df.select(*df.columns).agg(
-        F.count_if(~bad | bad.isNull()).alias("good_lines"),
+    return df.agg(
+        F.count_if(~bad).alias("good_lines"),
         F.count_if(bad).alias("bad_lines"),
-        F.count(first).alias(f"with_{first}"),
+        *[F.count(c).alias(f"filled_{c}") for c in df.columns if c != CORRUPT],
     )
 
 
@@ -53,7 +52,7 @@ def parse_cells(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Missing-value tokens to NULL, then typed; unparsable cells become NULL as well."""
     return df.select(
         *[
-            (safe_cast(clean_token(F.col(c)), types[c]) if c in types else clean_token(F.col(c))).alias(c)
+            (safe_cast(F.col(c), types[c]) if c in types else clean_token(F.col(c))).alias(c)
             for c in df.columns
         ]
     )
