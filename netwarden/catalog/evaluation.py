@@ -52,7 +52,7 @@ def v5m(spark: SparkSession, folder: str) -> DataFrame:
     """Class probabilities from the first ten dimensions."""
     rows = standins.vectors(spark, folder, None)
     probs = F.transform(softmax(F.slice("x", 1, 10)), lambda p: F.round(p, 3))
-    out = evaluate.roc_auc_by_class(rows.select("label", probs.alias("probs")), classes=10)
+    out = evaluate.roc_auc_by_class(rows.select("label", probs.alias("probs")))
     return as_double(out, ["auc"])
 
 

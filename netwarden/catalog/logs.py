@@ -254,11 +254,11 @@ SELECT round(acc * 0.5::DOUBLE + (100 - rt) * 0.3::DOUBLE + log * 0.2::DOUBLE, 2
         """SELECT label, pos, status, duration FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY pos DESC) AS rn FROM run_history)
 WHERE rn = 1""",
     ),
-    "H2_retention": with_views("run_history", f"SELECT pos, label FROM run_history WHERE at IS NULL OR at > {_CUT}"),
+    "H2_retention": with_views("run_history", f"SELECT pos, label FROM run_history WHERE seen_at IS NULL OR seen_at > {_CUT}"),
     "H3_retention_preview": with_views(
         "run_history",
-        f"""SELECT count(*) AS entries, count(*) FILTER (at <= {_CUT}) AS removable, epoch_us(min(at)) AS oldest, epoch_us(max(at)) AS newest,
-  (epoch_us(TIMESTAMP '{NOW}') - epoch_us(min(at))) // 86400000000 AS age_days,
+        f"""SELECT count(*) AS entries, count(*) FILTER (seen_at <= {_CUT}) AS removable, epoch_us(min(seen_at)) AS oldest, epoch_us(max(seen_at)) AS newest,
+  (epoch_us(TIMESTAMP '{NOW}') - epoch_us(min(seen_at))) // 86400000000 AS age_days,
   (SELECT "timestamp" FROM run_history WHERE pos % 1000 = 3 AND "timestamp" IS NOT NULL ORDER BY pos DESC LIMIT 1) AS last_cleanup
 FROM run_history""",
     ),

@@ -72,7 +72,7 @@ VIEWS["run_history"] = """
 SELECT event_id AS pos, event_type AS label,
   CASE WHEN event_id % 97 = 0 THEN 'unknown' WHEN event_id % 89 = 0 THEN NULL
     ELSE strftime(ts, '%Y-%m-%d %H:%M:%S:%f') END AS "timestamp",
-  CASE WHEN event_id % 97 = 0 OR event_id % 89 = 0 THEN NULL ELSE date_trunc('second', ts) END AS at,
+  CASE WHEN event_id % 97 = 0 OR event_id % 89 = 0 THEN NULL ELSE date_trunc('second', ts) END AS seen_at,
   'python ' || event_type AS command,
   CASE WHEN event_id % 5 < 3 THEN 'success' WHEN event_id % 5 = 3 THEN 'Warning' ELSE 'failed' END AS status,
   value AS duration, (50 + event_id % 51)::DOUBLE AS health_score,

@@ -163,14 +163,19 @@ def average_precision(rows: DataFrame, score: str = "prob", label: str = "label"
     return upto.agg(F.try_divide(gained, F.sum("pos").cast("double")).alias("average_precision"))
 
 
-def roc_auc_by_class(rows: DataFrame, probs: str = "probs", label: str = "label", classes: int = 2) -> DataFrame:
-    """One-vs-rest AUC per class and their macro mean."""
-    each = None
-    for c in range(classes):
-        one = rows.select(F.col(probs)[c].alias("prob"), (F.col(label) == c).cast("int").alias("label"))
-        auc = roc_auc(one).select(F.lit(str(c)).alias("cls"), "auc")
-        each = auc if each is None else each.unionByName(auc)
-    return each.unionByName(each.agg(F.lit("macro").alias("cls"), F.avg("auc").alias("auc")))
+def roc_auc_by_class(rows: DataFrame, probs: str = "probs", label: str = "label") -> DataFrame:
+    """One-vs-rest AUC per class and their macro mean, all classes in one pass."""
+    each = rows.select(F.col(label).alias("y"), F.posexplode(probs).alias("cls", "score"))
+    counts = each.groupBy("cls", "score").agg(
+        F.count_if(F.col("y") == F.col("cls")).alias("pos"), F.count_if(F.col("y") != F.col("cls")).alias("neg")
+    )
+    upto = running_totals(counts, ["score"], {"neg": "neg_upto"}, by=["cls"])
+    area = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2))
+    per = upto.groupBy("cls").agg(
+        F.try_divide(area, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc")
+    )
+    macro = F.explode(F.array(F.col("cls").cast("string"), F.lit("macro")))
+    return per.select(macro.alias("cls"), "auc").groupBy("cls").agg(F.avg("auc").alias("auc"))
 
 
 def _grid_counts(rows: DataFrame, grid: list[float], reached) -> DataFrame:

@@ -150,29 +150,84 @@ def index_by_hash(
     )
 
 
-def running_totals(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
-    """Running sums of ``sums`` (source -> output) over the total order given by ``order``.
+def running_totals(
+    df: DataFrame, order: list[str], sums: dict[str, str], by: list[str] | None = None
+) -> DataFrame:
+    """Running sums of ``sums`` (source -> output) in ``order``, separately per ``by`` key.
 
-    Rows are range-partitioned once and stored with their slice number. Slices are summed
-    separately; a slice starts from the total of the slices before it.
+    Rows are range-partitioned once by key and order, and stored with their slice number, so
+    a key with most of the rows spreads over many slices. Slices are summed separately; a
+    slice starts from the totals of the same key in the slices before it.
     """
+    by = by or []
     slices = stage(
-        df.repartitionByRange(*order).withColumn("__slice", F.spark_partition_id()), "ranges"
+        df.repartitionByRange(*by, *order).withColumn("__slice", F.spark_partition_id()), "ranges"
     )
-    totals = slices.groupBy("__slice").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
-    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per slice: as many as there are shuffle partitions.
+    totals = slices.groupBy("__slice", *by).agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
+    before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per slice, plus one per key: a key only meets the slices it spans.
     carried = pin_small(
         totals.select(
             "__slice",
+            *by,
             *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__c_{c}") for c in sums],
         )
     )
-    inside = Window.partitionBy("__slice").orderBy(*order)
+    inside = Window.partitionBy("__slice", *by).orderBy(*order)
     out = slices.select(
         "*", *[F.sum(c).over(inside).alias(f"__r_{c}") for c in sums]
-    ).join(carried, "__slice")
+    ).join(carried, ["__slice", *by])
     for source, target in sums.items():
         out = out.withColumn(target, F.col(f"__c_{source}") + F.col(f"__r_{source}"))
     drop = ["__slice"] + [f"__{p}_{c}" for p in "rc" for c in sums]
     return out.drop(*drop)
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """Linearly interpolated quantiles ``q_0, q_1, ...`` of ``shares``, one row per ``by`` key.
+
+    Values are counted, ranked by running totals and picked by position; nothing holds the
+    values of a key in one place.
+    """
+    by = by or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(
+        F.count(F.lit(1)).alias("__n")
+    )
+    ranked = running_totals(counts, ["__v"], {"__n": "__upto"}, by=by)
+    if by:
+        sizes = ranked.groupBy(*by).agg(F.max("__upto").alias("__size"))
+        ranked = ranked.join(sizes, by)
+    else:
+        ranked = ranked.withColumn("__size", ranked.agg(F.max("__upto")).scalar())
+    picks = []
+    for i, share in enumerate(shares):
+        place = (F.col("__size") - 1) * F.lit(float(share))
+        for name, at in ((f"__lo{i}", F.floor(place)), (f"__hi{i}", F.ceil(place))):
+            inside = (F.col("__upto") > at) & (F.col("__upto") - F.col("__n") <= at)
+            picks.append(F.max(F.when(inside, F.col("__v"))).alias(name))
+    out = ranked.groupBy(*by).agg(F.max("__size").alias("__size"), *picks)
+    return out.select(
+        *by,
+        *[
+            (
+                F.col(f"__lo{i}")
+                + (F.col(f"__hi{i}") - F.col(f"__lo{i}"))
+                * (F.pmod((F.col("__size") - 1) * F.lit(float(share)), F.lit(1.0)))
+            ).alias(f"q_{i}")
+            for i, share in enumerate(shares)
+        ],
+    )
+
+
+def repeat_rows(df: DataFrame, count: str, number: str, chunk: int = 1 << 16) -> DataFrame:
+    """Each row ``count`` times with ``number`` = 0.., spread so that one row may repeat without bound."""
+    chunks = df.where(F.col(count) > 0).withColumn(
+        "__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {chunk}")))
+    )
+    first = F.col("__chunk") * chunk
+    last = F.least(first + chunk, F.col(count)) - 1
+    return (
+        chunks.repartition("__chunk", *[c for c, t in df.dtypes if t in ("bigint", "int", "string")])
+        .withColumn(number, F.explode(F.sequence(first, last)))
+        .drop("__chunk")
+    )
