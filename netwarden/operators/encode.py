@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netwarden.operators.clean import FEATURE_COUNT, drop_null_rows, select_and_pad
-from netwarden.plans.scale import pin_small, running_totals
+from netwarden.plans.scale import lookup, running_totals, stage
 
 # Target range of the scaler, address columns, label column.
 SCALE_LOW, SCALE_HIGH = 0.1, 0.9
 ADDRESS_COLUMNS = ["IPV4_SRC_ADDR", "IPV4_DST_ADDR"]
 LABEL = "Label"
-# Values with more than this share of the rows count as frequent: at most 100 of them.
-FREQUENT_SHARE = 0.01
 # Widest one-hot encoding that still makes a sensible table.
 MAX_ONE_HOT = 5_000
 
@@ -30,42 +28,17 @@ def fit_dictionary(df: DataFrame, column: str) -> DataFrame:
         .withColumn("one", F.lit(1).cast("long"))
     )
     ranked = running_totals(values, ["value"], {"one": "rank"})
-    return ranked.select("value", (F.col("rank") - 1).alias("code"), "rows")
+    return stage(ranked.select("value", (F.col("rank") - 1).alias("code"), "rows"), "dictionary")
 
 
 def encode(df: DataFrame, column: str, dictionary: DataFrame, target: str | None = None) -> DataFrame:
-    """Replace a column by its dictionary code; unseen values get the next free code.
-
-    A small dictionary joins by broadcast. For a large one the frequent values (a bounded
-    number) are looked up by broadcast and only the rest is shuffled; rows already coded are
-    spread by their input partition, so a value with a third of the rows hits no single task.
-    """
-    target = target or column
+    """Replace a column by its dictionary code; unseen values get the next free code."""
     size = dictionary.count()
-    codes = pin_small(dictionary.select("value", "code", "rows"))
-    key = F.col(column).cast("string")
-    if size <= 20_000:
-        out = df.withColumn("__v", key).join(
-            codes.select(F.col("value").alias("__v"), F.col("code").alias("__code")), "__v", "left"
-        )
-    else:
-        total = dictionary.agg(F.sum("rows")).first()[0]
-        frequent = pin_small(dictionary.where(F.col("rows") > total * FREQUENT_SHARE))
-        out = (
-            df.withColumn("__f", key)
-            .join(frequent.select(F.col("value").alias("__f"), F.col("code").alias("__fc")), "__f", "left")
-            .withColumn(
-                "__v",
-                F.when(
-                    F.col("__fc").isNotNull() | F.col("__f").isNull(),
-                    F.concat(F.lit("\u0000"), F.spark_partition_id().cast("string")),
-                ).otherwise(F.col("__f")),
-            )
-            .join(codes.select(F.col("value").alias("__v"), F.col("code").alias("__rc")), "__v", "left")
-            .withColumn("__code", F.coalesce("__fc", "__rc"))
-            .drop("__f", "__fc", "__rc")
-        )
-    return out.withColumn(target, F.coalesce(F.col("__code"), F.lit(size)).cast("long")).drop("__v", "__code")
+    codes = dictionary.select(F.col("value").alias("__value"), F.col("code").alias("__code"), "rows")
+    out = lookup(df.withColumn("__value", F.col(column).cast("string")), codes, ["__value"], "rows", "left")
+    return out.withColumn(target or column, F.coalesce(F.col("__code"), F.lit(size)).cast("long")).drop(
+        "__value", "__code"
+    )
 
 
 def categories(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:

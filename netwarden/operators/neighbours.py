@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netwarden.plans.scale import hash_hex, pin_small, stage
+from netwarden.plans.scale import hash_hex, lookup, pin_small, stage
 
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 256
@@ -118,7 +118,7 @@ def _reach(pivots: np.ndarray, keep: int):
     return run
 
 
-def _compare(keep: int):
+def _compare(keep: int, carry: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for _, r in rows.iterrows():
@@ -129,9 +129,10 @@ def _compare(keep: int):
                 d2 = _squared(q, d)
                 bound = np.asarray(r["bound"], dtype=float)
                 row, col = _best(d2, ids, keep, bound * bound * (1 + 1e-9) + 1e-12)
-                yield pd.DataFrame(
-                    {"scope": r["scope"], "qid": qid[row], "nn_id": ids[col], "dist": np.sqrt(d2[row, col])}
-                )
+                out = {"scope": r["scope"], "qid": qid[row], "nn_id": ids[col], "dist": np.sqrt(d2[row, col])}
+                for name in carry:
+                    out[f"nn_{name}"] = list(d[col]) if name == "x" else [r["data"][c][name] for c in col]
+                yield pd.DataFrame(out)
 
     return run
 
@@ -142,26 +143,37 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int, name: s
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-def nearest(
-    data: DataFrame, k: int, queries: DataFrame | None = None, scope: str | None = None
+def nearest_lists(
+    data: DataFrame,
+    k: int,
+    queries: DataFrame | None = None,
+    scope: str | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """``(scope, id, nn_id, rank, dist)``: the k nearest other rows of ``data`` for each query row.
+    """``(scope, id, found)``: the k nearest other rows of ``data`` for each query row.
 
-    Both inputs have ``id`` and ``x`` (array of double), and ``scope`` if named. A row is never
-    its own neighbour; equal distances go to the smaller id.
+    Both inputs have ``id`` and ``x`` (array of double), and ``scope`` if named. ``found`` is
+    ordered by distance and then id, and holds ``dist, nn_id`` and ``nn_<column>`` for each
+    ``carry`` column (``x`` or an int column of ``data``), which saves a join on neighbours that
+    very many rows may share. A row is never its own neighbour.
     """
-    def shape(df: DataFrame) -> DataFrame:
+    carry = carry or []
+    extra = [c for c in carry if c != "x"]
+
+    def shape(df: DataFrame, *more: str) -> DataFrame:
         s = F.col(scope).cast("string") if scope else F.lit("")
-        return df.select(s.alias("scope"), F.col("id").cast("long").alias("id"), "x")
+        return df.select(s.alias("scope"), F.col("id").cast("long").alias("id"), "x", *more)
 
     keep = k + 1
-    points, asked = shape(data), shape(queries if queries is not None else data)
+    points, asked = shape(data, *extra), shape(queries if queries is not None else data)
     kept = stage(top_per(points, ["scope", "x"], [F.col("id")], keep, "copy").drop("copy"), "points")
-    unique = stage(asked.groupBy("scope", "x").agg(F.min("id").alias("id")).select("scope", "id", "x"), "asked")
+    unique = stage(
+        asked.groupBy("scope", "x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "asked"
+    )
     pivots = _pivots(kept)
-    stored = stage(blocks(kept, pivots), "blocks")
-    asking = stage(blocks(unique, pivots), "blocks")
-    # Only a part that exists can be a home block; without one the bound stays open.
+    stored = stage(blocks(kept, pivots, ", ".join(f"{c} int" for c in extra)), "blocks")
+    asking = stage(blocks(unique.select("scope", "id", "x"), pivots), "blocks")
+    # Any block of the own cell can bound the radius; without one the bound stays open.
     homes = stored.select(
         "scope", "cell", F.col("part").alias("home_part"), F.col("rows").alias("home")
     )
@@ -190,32 +202,39 @@ def nearest(
         "scope", F.col("cell").alias("other"), F.col("part").alias("other_part"), F.col("rows").alias("data")
     )
     bounds = reach.select("scope", "cell", "part", "bound")
+    carried = "".join(f", nn_{c} {'array<double>' if c == 'x' else 'int'}" for c in carry)
     best = (
         pairs.join(others, ["scope", "other", "other_part"])
         .join(asking.select("scope", "cell", "part", "rows"), ["scope", "cell", "part"])
         .join(bounds, ["scope", "cell", "part"])
         .select("scope", "rows", "data", "bound")
-        .mapInPandas(_compare(keep), "scope string, qid long, nn_id long, dist double")
+        .mapInPandas(_compare(keep, carry), f"scope string, qid long, nn_id long, dist double{carried}")
     )
     merged = top_per(best, ["scope", "qid"], [F.col("dist"), F.col("nn_id")], keep, "place")
     # At most k + 1 entries per vector: one short list serves all its copies.
-    lists = merged.groupBy("scope", "qid").agg(
-        F.array_sort(F.collect_list(F.struct("dist", "nn_id"))).alias("found")
-    )
-    per_vector = unique.join(lists, [unique["scope"] == lists["scope"], unique["id"] == lists["qid"]]).select(
-        unique["scope"], "x", "found"
-    )
+    entry = F.struct("dist", "nn_id", *[f"nn_{c}" for c in carry])
+    lists = merged.groupBy("scope", F.col("qid").alias("id")).agg(F.array_sort(F.collect_list(entry)).alias("found"))
+    per_vector = stage(unique.join(lists, ["scope", "id"]).select("scope", "x", "found", "copies"), "lists")
     own = F.slice(F.filter("found", lambda f: f["nn_id"] != F.col("id")), 1, k)
-    return (
-        asked.join(per_vector, ["scope", "x"])
-        .select("scope", "id", F.posexplode(own).alias("pos", "f"))
-        .select(
-            "scope",
-            "id",
-            F.col("f.nn_id").alias("nn_id"),
-            (F.col("pos") + 1).cast("int").alias("rank"),
-            F.col("f.dist").alias("dist"),
-        )
+    return lookup(asked, per_vector, ["scope", "x"], "copies").select("scope", "id", own.alias("found"))
+
+
+def nearest(
+    data: DataFrame,
+    k: int,
+    queries: DataFrame | None = None,
+    scope: str | None = None,
+    carry: list[str] | None = None,
+) -> DataFrame:
+    """One row per neighbour: ``scope, id, nn_id, rank, dist`` and the carried columns."""
+    lists = nearest_lists(data, k, queries, scope, carry)
+    return lists.select("scope", "id", F.posexplode("found").alias("pos", "f")).select(
+        "scope",
+        "id",
+        "f.nn_id",
+        (F.col("pos") + 1).cast("int").alias("rank"),
+        "f.dist",
+        *[f"f.nn_{c}" for c in carry or []],
     )
 
 
@@ -290,7 +309,7 @@ def silhouette(rows: DataFrame, scope: str | None = None) -> DataFrame:
         .agg(F.sum("total").alias("total"))
     )
     sizes = unique.groupBy("scope", F.col("label").alias("other")).agg(F.sum("copies").alias("size"))
-    each = sums.join(sizes, ["scope", "other"]).join(unique.select("scope", "id", "label", "copies"), ["scope", "id"])
+    each = sums.join(pin_small(sizes), ["scope", "other"]).join(unique.select("scope", "id", "label", "copies"), ["scope", "id"])
     own = F.col("other") == F.col("label")
     per_row = each.groupBy("scope", "id", "copies").agg(
         F.max(F.when(own, F.try_divide(F.col("total"), (F.col("size") - 1).cast("double")))).alias("a"),

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from netwarden.plans.scale import lookup, stage
+
 # Alert above this many distinct ports within this many seconds.
 SCAN_PORTS = 10
 SCAN_SECONDS = 5.0
@@ -33,9 +35,11 @@ def _port_times(packets: DataFrame, width: int) -> DataFrame:
     """Per source, slice and port: first and last time in the slice, last time in the one before."""
     own = packets.groupBy(
         "src_ip", F.expr(f"ts_us div {width}").alias("slice"), F.col("dst_port").alias("port")
-    ).agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+    ).agg(
+        F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count(F.lit(1)).alias("rows")
+    )
     both = own.select(
-        "src_ip", "slice", "port", "first_us", F.lit(None).cast("long").alias("before_us")
+        "src_ip", "slice", "port", "first_us", F.lit(None).cast("long").alias("before_us"), "rows"
     ).unionByName(
         own.select(
             "src_ip",
@@ -43,10 +47,11 @@ def _port_times(packets: DataFrame, width: int) -> DataFrame:
             "port",
             F.lit(None).cast("long").alias("first_us"),
             F.col("last_us").alias("before_us"),
+            F.lit(0).cast("long").alias("rows"),
         )
     )
     return both.groupBy("src_ip", "slice", "port").agg(
-        F.max("first_us").alias("first_us"), F.max("before_us").alias("before_us")
+        F.max("first_us").alias("first_us"), F.max("before_us").alias("before_us"), F.sum("rows").alias("rows")
     )
 
 
@@ -57,21 +62,21 @@ def _candidates(ports: DataFrame, threshold: int) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("reachable"),
             F.count("before_us").alias("base"),
-            F.count("first_us").alias("own"),
+            F.sum("rows").alias("rows"),
         )
-        .where((F.col("reachable") > threshold) & (F.col("own") > 0))
-        .select("src_ip", "slice", "base")
+        .where((F.col("reachable") > threshold) & (F.col("rows") > 0))
+        .select("src_ip", "slice", "base", "rows")
     )
 
 
 def scan_times(packets: DataFrame, seconds: float = SCAN_SECONDS, threshold: int = SCAN_PORTS) -> DataFrame:
-    """``(src_ip, ts_us, n_ports)`` for every source and time with more ports than the threshold.
+    """``(src_ip, ts_us, n_ports, rows)`` for every source and time with more ports than the threshold.
 
     ``packets`` needs ``src_ip, ts_us, dst_port`` and holds TCP packets only.
     """
     width = int(round(seconds * 1_000_000))
     ports = _port_times(packets, width)
-    hot = _candidates(ports, threshold)
+    hot = stage(_candidates(ports, threshold), "slices")
     live = ports.join(hot.select("src_ip", "slice"), ["src_ip", "slice"])
     gone = F.col("before_us") + width + 1
     stays = F.col("before_us").isNotNull() & F.col("first_us").isNotNull() & (F.col("first_us") < gone)
@@ -93,16 +98,21 @@ def scan_times(packets: DataFrame, seconds: float = SCAN_SECONDS, threshold: int
                 lambda s: s.isNotNull(),
             )
         ).alias("s"),
-    ).select("src_ip", "slice", F.col("s.at").alias("ts_us"), F.col("s.step").alias("step"), F.lit(0).alias("seen"))
+    ).select("src_ip", "slice", F.col("s.at").alias("ts_us"), F.col("s.step").alias("step"), F.lit(0).cast("long").alias("rows"))
     events = (
-        packets.select("src_ip", F.expr(f"ts_us div {width}").alias("slice"), "ts_us")
-        .join(hot.select("src_ip", "slice"), ["src_ip", "slice"])
-        .select("src_ip", "slice", "ts_us", F.lit(0).cast("long").alias("step"), F.lit(1).alias("seen"))
+        lookup(
+            packets.select("src_ip", F.expr(f"ts_us div {width}").alias("slice"), "ts_us"),
+            hot.select("src_ip", "slice", "rows"),
+            ["src_ip", "slice"],
+            "rows",
+        )
+        .groupBy("src_ip", "slice", "ts_us")
+        .agg(F.lit(0).cast("long").alias("step"), F.count(F.lit(1)).alias("rows"))
     )
     points = (
         steps.unionByName(events)
         .groupBy("src_ip", "slice", "ts_us")
-        .agg(F.sum("step").alias("step"), F.max("seen").alias("seen"))
+        .agg(F.sum("step").alias("step"), F.sum("rows").alias("rows"))
         .withColumn("cell", F.expr(f"ts_us div {CELL_US}"))
     )
     carried = (
@@ -120,15 +130,15 @@ def scan_times(packets: DataFrame, seconds: float = SCAN_SECONDS, threshold: int
             ),
         )
         .drop("cell_step")
-        .join(hot, ["src_ip", "slice"])
+        .join(hot.drop("rows"), ["src_ip", "slice"])
     )
     inside = Window.partitionBy("src_ip", "slice", "cell").orderBy("ts_us")
     return (
         points.withColumn("run", F.sum("step").over(inside))
         .join(carried, ["src_ip", "slice", "cell"])
         .withColumn("n_ports", F.col("base") + F.col("carry") + F.col("run"))
-        .where((F.col("seen") == 1) & (F.col("n_ports") > threshold))
-        .select("src_ip", "ts_us", "n_ports")
+        .where((F.col("rows") > 0) & (F.col("n_ports") > threshold))
+        .select("src_ip", "ts_us", "n_ports", "rows")
     )
 
 
@@ -141,7 +151,8 @@ def tcp_only(packets: DataFrame) -> DataFrame:
 def scan_alerts(packets: DataFrame, seconds: float = SCAN_SECONDS, threshold: int = SCAN_PORTS) -> DataFrame:
     """The TCP packets that arrive while their source is over the threshold, with ``n_ports``."""
     tcp = tcp_only(packets)
-    return tcp.join(scan_times(tcp, seconds, threshold), ["src_ip", "ts_us"])
+    times = stage(scan_times(tcp, seconds, threshold), "scans")
+    return lookup(tcp, times, ["src_ip", "ts_us"], "rows")
 
 
 def scan_port_sets(packets: DataFrame, seconds: float = SCAN_SECONDS, threshold: int = SCAN_PORTS) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netwarden.operators.neighbours import nearest, silhouette
+from netwarden.operators.neighbours import nearest, nearest_lists, silhouette
 from netwarden.operators.quality import correlation_difference, davies_bouldin
 from netwarden.operators.split import class_counts, stratified_folds, stratified_split
 from netwarden.plans.scale import hash_unit, index_by_hash, pin_small, repeat_rows, running_totals, stage
@@ -54,20 +54,10 @@ def default_neighbours(rows: DataFrame, most: int = MAX_NEIGHBOURS) -> int:
     return k
 
 
-def interpolate(draws: DataFrame, neighbours: DataFrame, rows: DataFrame) -> DataFrame:
-    """Points between a base row and one of its neighbours.
-
-    ``draws`` has ``grp, base_id, rank, gap`` plus what identifies the draw; each join is on
-    ids, so work spreads over the drawn rows.
-    """
-    near = neighbours.select(
-        F.col("scope").alias("grp"), F.col("id").alias("base_id"), "nn_id", "rank"
-    )
-    points = rows.select("grp", F.col("id").alias("base_id"), F.col("x").alias("base_x"))
-    ends = rows.select("grp", F.col("id").alias("nn_id"), F.col("x").alias("nn_x"))
-    joined = draws.join(near, ["grp", "base_id", "rank"]).join(points, ["grp", "base_id"]).join(ends, ["grp", "nn_id"])
-    x = F.zip_with("base_x", "nn_x", lambda a, b: a + F.col("gap") * (b - a))
-    return joined.withColumn("x", x).drop("base_x", "nn_x")
+def _between(gap: Column) -> Column:
+    """A point between ``x`` and the neighbour in place ``rank`` of ``found``."""
+    end = F.get("found", F.col("rank") - 1)["nn_x"]
+    return F.zip_with("x", end, lambda a, b: a + gap * (b - a))
 
 
 def _draw(spark, needs: list[tuple[str, int]], seed: str) -> DataFrame:
@@ -88,23 +78,23 @@ def _draw(spark, needs: list[tuple[str, int]], seed: str) -> DataFrame:
 def _synthetic(
     bases: DataFrame, pool: DataFrame, needs: list[tuple[str, int, int]], ks: list[int], seed: str
 ) -> DataFrame:
-    """Draws from ``bases`` (grp, id) towards neighbours in ``pool`` (grp, id, x), for each k.
+    """Draws from ``bases`` (grp, id, x) towards neighbours in ``pool`` (grp, id, x), for each k.
 
     ``needs`` has ``(grp, number of bases, rows to make)``.
     """
-    neighbours = stage(nearest(pool, max(ks), queries=bases, scope="grp"), "near")
-    indexed = index_by_hash(bases.select("grp", "id"), "grp", "id", seed, sum(n for _, n, _ in needs), "i")
+    lists = nearest_lists(pool, max(ks), queries=bases, scope="grp", carry=["x"])
+    indexed = index_by_hash(bases, "grp", "id", seed, sum(n for _, n, _ in needs), "i")
+    ends = indexed.join(lists.withColumnRenamed("scope", "grp"), ["grp", "id"])
     sizes = bases.sparkSession.createDataFrame([(g, n) for g, n, _ in needs], "grp string, m long")
-    k = F.explode(F.array(*[F.lit(v) for v in ks]))
-    draws = (
+    return (
         _draw(bases.sparkSession, [(g, need) for g, _, need in needs], seed)
         .join(sizes, "grp")
         .withColumn("i", F.floor(F.col("u_base") * F.col("m")).cast("long"))
-        .join(indexed.withColumnRenamed("id", "base_id"), ["grp", "i"])
-        .withColumn("k", k)
-        .select("grp", "k", "j", "base_id", (F.floor(F.col("u_rank") * F.col("k")) + 1).cast("int").alias("rank"), "gap")
+        .join(stage(ends, "ends"), ["grp", "i"])
+        .withColumn("k", F.explode(F.array(*[F.lit(v) for v in ks])))
+        .withColumn("rank", (F.floor(F.col("u_rank") * F.col("k")) + 1).cast("int"))
+        .select("grp", "k", "j", _between(F.col("gap")).alias("x"))
     )
-    return interpolate(draws, neighbours, pool)
 
 
 def _numbered(synthetic: DataFrame, needs: list[tuple[int, int, int]]) -> DataFrame:
@@ -146,15 +136,10 @@ def smote(rows: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
 def _foreign_neighbours(rows: DataFrame, needs, k: int) -> DataFrame:
     """For each row of a class to grow: how many of its k neighbours are of another class."""
     wanted = [label for label, _, _ in needs]
-    labels = rows.select(F.col("id").alias("nn_id"), F.col("label").alias("nn_label"))
-    own = rows.where(F.col("label").isin(wanted)).select("id", "label", "x")
-    near = nearest(rows, k, queries=own)
-    return (
-        near.join(labels, "nn_id")
-        .join(own.select("id", "label"), "id")
-        .groupBy("id", "label")
-        .agg(F.count_if(F.col("nn_label") != F.col("label")).alias("foreign"))
-    )
+    own = rows.where(F.col("label").isin(wanted))
+    near = nearest_lists(rows, k, queries=own, carry=["label"])
+    foreign = F.size(F.filter("found", lambda f: f["nn_label"] != F.col("label")))
+    return near.join(own.select("id", "label"), "id").select("id", "label", foreign.cast("long").alias("foreign"))
 
 
 def adasyn_rows(rows: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
@@ -175,19 +160,23 @@ def adasyn_rows(rows: DataFrame, k: int | None = None, seed: int = 42) -> DataFr
         .withColumn("make", F.bround(F.col("r") / F.col("total") * F.col("need"), 0).cast("long"))
         .select(F.col("label").cast("string").alias("grp"), F.col("id").alias("base_id"), "make")
     )
-    placed = running_totals(per_row, ["base_id"], {"make": "upto"})
+    pool = _grouped(rows, needs)
+    lists = nearest_lists(pool, k, scope="grp", carry=["x"]).withColumnRenamed("scope", "grp")
+    # Vectors are attached before rows repeat, so a row drawn very often joins only once.
+    ends = per_row.join(lists.withColumnRenamed("id", "base_id"), ["grp", "base_id"]).join(
+        pool.withColumnRenamed("id", "base_id"), ["grp", "base_id"]
+    )
+    placed = running_totals(ends, ["base_id"], {"make": "upto"})
     b, j = F.col("base_id"), F.col("j")
-    draws = repeat_rows(placed, "make", "j").select(
-        "grp",
-        "base_id",
-        (-1 - (F.col("upto") - F.col("make") + j)).alias("id"),
-        (F.floor(hash_unit(f"ada{seed}n", b, j) * k) + 1).cast("int").alias("rank"),
-        hash_unit(f"ada{seed}g", b, j).alias("gap"),
+    return (
+        repeat_rows(placed, "make", "j")
+        .withColumn("rank", (F.floor(hash_unit(f"ada{seed}n", b, j) * k) + 1).cast("int"))
+        .select(
+            (-1 - (F.col("upto") - F.col("make") + j)).alias("id"),
+            F.col("grp").cast("int").alias("label"),
+            _between(hash_unit(f"ada{seed}g", b, j)).alias("x"),
+        )
     )
-    pool = _grouped(rows, needs)
-    neighbours = stage(nearest(pool, k, scope="grp"), "near")
-    made = interpolate(draws, neighbours, pool)
-    return made.select("id", F.col("grp").cast("int").alias("label"), "x")
 
 
 def adasyn(rows: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
@@ -227,16 +216,16 @@ def tomek_links(rows: DataFrame) -> DataFrame:
     grouping by pair, no join on a neighbour that very many rows may share.
     """
     rows = _base(rows)
-    near = nearest(rows, 1)
-    pairs = near.groupBy(
-        F.least("id", "nn_id").alias("id_a"), F.greatest("id", "nn_id").alias("id_b")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    label = lambda side: rows.select(F.col("id").alias(f"id_{side}"), F.col("label").alias(f"label_{side}"))
+    near = nearest(rows, 1, carry=["label"])
+    mine = F.col("id") < F.col("nn_id")
     return (
-        pairs.where(F.col("n") == 2)
-        .join(label("a"), "id_a")
-        .join(label("b"), "id_b")
-        .where(F.col("label_a") != F.col("label_b"))
+        near.groupBy(F.least("id", "nn_id").alias("id_a"), F.greatest("id", "nn_id").alias("id_b"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max(F.when(~mine, F.col("nn_label"))).alias("label_a"),
+            F.max(F.when(mine, F.col("nn_label"))).alias("label_b"),
+        )
+        .where((F.col("n") == 2) & (F.col("label_a") != F.col("label_b")))
         .select("id_a", "id_b", "label_a", "label_b")
     )
 

@@ -150,6 +150,40 @@ def index_by_hash(
     )
 
 
+# A key holding more than this share of the rows counts as frequent; there are at most 100.
+FREQUENT_SHARE = 0.01
+
+
+def lookup(df: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Join ``df`` with ``table``, which has one row per key and in ``weight`` the rows of ``df`` it meets.
+
+    A small table is broadcast after a check of its size. Of a large one the frequent keys, a
+    bounded number, are broadcast and the rest is joined by shuffle; rows that already found
+    their match are spread by input partition, so no key piles up in one task.
+    """
+    values = [c for c in table.columns if c not in keys and c != weight]
+    plain = table.select(*keys, *values)
+    small = pin_small(plain)
+    if small is not plain:
+        return df.join(small, keys, how)
+    total = table.agg(F.sum(weight)).first()[0]
+    frequent = pin_small(table.where(F.col(weight) > total * FREQUENT_SHARE).select(*keys, *values))
+    hot = frequent.select(*keys, F.struct(*values, F.lit(True).alias("__m")).alias("__hot"))
+    cold = plain.select(
+        *keys, F.lit(-1).alias("__s"), F.struct(*values, F.lit(True).alias("__m")).alias("__cold")
+    )
+    spread = F.when(F.col("__hot").isNotNull(), F.spark_partition_id()).otherwise(-1)
+    out = (
+        df.join(F.broadcast(hot), keys, "left")
+        .withColumn("__s", spread)
+        .join(cold, [*keys, "__s"], "left")
+        .withColumn("__v", F.coalesce("__hot", "__cold"))
+    )
+    if how == "inner":
+        out = out.where(F.col("__v").isNotNull())
+    return out.select(*df.columns, *[F.col(f"__v.{c}").alias(c) for c in values])
+
+
 def running_totals(
     df: DataFrame, order: list[str], sums: dict[str, str], by: list[str] | None = None
 ) -> DataFrame:
