@@ -129,6 +129,8 @@ def _compare(keep: int, carry: list[str]):
                 d2 = _squared(q, d)
                 bound = np.asarray(r["bound"], dtype=float)
                 row, col = _best(d2, ids, keep, bound * bound * (1 + 1e-9) + 1e-12)
+                if len(row) == 0:
+                    continue
                 out = {"scope": r["scope"], "qid": qid[row], "nn_id": ids[col], "dist": np.sqrt(d2[row, col])}
                 for name in carry:
                     out[f"nn_{name}"] = list(d[col]) if name == "x" else [r["data"][c][name] for c in col]

@@ -45,12 +45,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pin_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """A local copy of ``df`` if it has at most ``limit`` rows, else ``df`` unchanged.
+def pin_small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """A local copy of ``df`` if it has at most ``limit`` rows (``SMALL_ROWS``), else ``df`` unchanged.
 
     Only a result that passed the check becomes cheap to broadcast; a larger one stays
     distributed and joins by shuffle (adaptive execution splits skewed partitions).
     """
+    limit = SMALL_ROWS if limit is None else limit
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         return df

@@ -62,18 +62,12 @@ def export(log: DataFrame, path: str, kind: str = "json", single_file: bool = Fa
 
 
 def read_json_log(spark: SparkSession, path: str, schema: str = ALERT_JSON) -> DataFrame:
-    """A JSON array of alerts; a missing or corrupt file gives no rows."""
+    """JSON arrays of alerts, one per file; a missing or corrupt file gives no rows."""
     try:
-        found = (
-            spark.read.schema(schema + ", _corrupt_record string")
-            .option("multiLine", True)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record")
-            .json(path)
-        )
+        files = spark.read.option("wholetext", True).text(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
-    return found.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return files.select(F.inline(F.from_json("value", f"array<struct<{schema}>>")))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from netwarden.plans.scale import stage_path
 from netwarden.sources.alert_logs import append_batch, parse_lines
 
-PACKET = T.StructType.fromDDL(
+PACKET = (
     "packet_id long, ts timestamp, src_ip string, dst_ip string, src_port int, dst_port int, proto int, "
     "tcp_flags int, ttl int, packet_length int, payload binary"
 )
