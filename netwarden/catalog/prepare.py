@@ -132,7 +132,23 @@ def s16(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def numeric(spark: SparkSession, folder: str) -> DataFrame:
-    return clean.to_numeric(standins.dirty_flows(spark, folder), [*FEATURES, LABEL])
+    """The text table's content as already typed columns."""
+    m = F.col("m")
+    mix = F.expr("(l_partkey * 31 + l_suppkey * 17 + l_linenumber) % 1000")
+    return standins.table(spark, folder, "lineitem").withColumn("m", mix).select(
+        F.when((m < 12) | m.between(16, 19), None)
+        .when(m < 16, 2e6)
+        .when(m < 24, 1e6)
+        .otherwise(F.col("l_quantity"))
+        .cast("float")
+        .alias("quantity"),
+        F.when(~m.between(500, 509), F.col("l_discount")).cast("float").alias("discount"),
+        F.col("l_tax").cast("float").alias("tax"),
+        F.col("l_linenumber").cast("float").alias("linenumber"),
+        F.when(~m.between(700, 709), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0))
+        .cast("float")
+        .alias(LABEL),
+    )
 
 
 def c1(spark: SparkSession, folder: str) -> DataFrame:

@@ -82,41 +82,64 @@ def _summarise(cooldown: int, width: int):
     return run
 
 
+def _join_steps(nodes: list, cooldown: int) -> tuple[np.ndarray, np.ndarray]:
+    """One step function for neighbouring stretches, given in order of time."""
+    upto, last = (np.asarray(nodes[0][c]) for c in ("upto", "last"))
+    horizon = int(upto[0]) + cooldown
+    for node in nodes[1:]:
+        u, v = np.asarray(node["upto"]), np.asarray(node["last"])
+        at = np.searchsorted(u, last + cooldown)
+        onward = np.where(at < len(u), v[np.minimum(at, len(u) - 1)], last)
+        later = u > upto[-1]
+        upto, last = np.concatenate([upto, u[later]]), np.concatenate([onward, v[later]])
+        upto, last = _compress(*_trim(upto, last, horizon))
+    return upto, last
+
+
 def _compose(cooldown: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
-        upto = last = None
-        for u, v in zip(rows["upto"], rows["last"]):
-            u, v = np.asarray(u), np.asarray(v)
-            if upto is None:
-                upto, last, start = u, v, int(u[0])
-                continue
-            at = np.searchsorted(u, last + cooldown)
-            moved = at < len(u)
-            onward = np.where(moved, v[np.minimum(at, len(u) - 1)], last)
-            later = u > upto[-1]
-            upto = np.concatenate([upto, u[later]])
-            last = np.concatenate([onward, v[later]])
-            upto, last = _trim(upto, last, start + cooldown)
-            upto, last = _compress(upto, last)
-        return pd.DataFrame({"src_ip": [key[0]], "block": [key[1]], "upto": [upto], "last": [last]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            steps = [_join_steps(nodes, cooldown) for nodes in rows["nodes"]]
+            yield rows[["src_ip", "block"]].assign(upto=[u for u, _ in steps], last=[v for _, v in steps])
 
     return run
 
 
 def _resolve(cooldown: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
-        since = int(rows["since"].iloc[0])
-        entered = []
-        for u, v in zip(rows["upto"], rows["last"]):
-            entered.append(since)
-            since = _admit(np.asarray(u), np.asarray(v), since, cooldown)
-        return pd.DataFrame({"src_ip": rows["src_ip"], "block": rows["block"], "since": entered})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out: dict[str, list] = {"src_ip": [], "block": [], "since": []}
+            for source, since, nodes in zip(rows["src_ip"], rows["since"], rows["nodes"]):
+                for node in nodes:
+                    out["src_ip"].append(source)
+                    out["block"].append(node["block"])
+                    out["since"].append(since)
+                    since = _admit(np.asarray(node["upto"]), np.asarray(node["last"]), since, cooldown)
+            yield pd.DataFrame(out)
 
     return run
 
 
+def _in_order(nodes: DataFrame, *keys: Column) -> DataFrame:
+    """Stretches of each key as one list in order of time; the list is short by construction."""
+    entry = F.struct("block", "upto", "last")
+    return nodes.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("nodes"))
+
+
+def _entered(lists: DataFrame, cooldown: int) -> DataFrame:
+    """``(src_ip, block, since)`` of every listed stretch; lists of one need no look-up."""
+    lone = F.size("nodes") == 1
+    return (
+        lists.where(lone)
+        .select("src_ip", F.col("nodes")[0]["block"].alias("block"), "since")
+        .unionByName(
+            lists.where(~lone)
+            .select("src_ip", "since", "nodes")
+            .mapInPandas(_resolve(cooldown), "src_ip string, block long, since long")
+        )
+    )
+
+
 def _kept_in_stretch(points: Column, since: Column, cooldown: int) -> Column:
     """Ids kept in a stretch entered with last kept time ``since``; at most ``SPAN + 1`` of them."""
     start = F.struct(since.alias("since"), F.array().cast("array<long>").alias("ids"))
@@ -133,6 +156,10 @@ def _kept_in_stretch(points: Column, since: Column, cooldown: int) -> Column:
     return F.aggregate(points, start, step, lambda state: state["ids"])
 
 
+def _parent() -> Column:
+    return F.floor(F.col("block") / F.lit(FANOUT)).cast("long").alias("parent")
+
+
 # A last kept time before any packet; far enough back that adding a cooldown cannot overflow.
 _NEVER = -(1 << 60)
 
@@ -166,45 +193,20 @@ def kept_ids(packets: DataFrame, seconds: float = COOLDOWN_SECONDS) -> DataFrame
         ).where((F.col("steps") > DIRECT_STEPS) & (F.col("blocks") > 1))
         if not size.limit(1).count():
             break
-        parent = F.floor(F.col("block") / F.lit(FANOUT)).cast("long")
-        joined = levels[-1].withColumn("block0", F.col("block")).withColumn("block", parent)
+        above = _in_order(levels[-1], F.col("src_ip"), _parent())
         levels.append(
-            stage(
-                joined.select("src_ip", "block", F.col("block0"), "upto", "last")
-                .groupBy("src_ip", "block")
-                .applyInPandas(_compose_children(cooldown), _NODE),
-                "stretch",
-            )
+            stage(above.withColumnRenamed("parent", "block").mapInPandas(_compose(cooldown), _NODE), "stretch")
         )
-    since = (
-        levels[-1]
-        .withColumn("since", F.lit(_NEVER).cast("long"))
-        .groupBy("src_ip")
-        .applyInPandas(_resolve(cooldown), "src_ip string, block long, since long")
-    )
+    top = _in_order(levels[-1], F.col("src_ip")).withColumn("since", F.lit(_NEVER).cast("long"))
+    since = _entered(top, cooldown)
     for lower in reversed(levels[:-1]):
-        child = lower.withColumn("parent", F.floor(F.col("block") / F.lit(FANOUT)).cast("long"))
-        entered = since.select("src_ip", F.col("block").alias("parent"), "since")
-        since = (
-            child.join(entered, ["src_ip", "parent"])
-            .groupBy("src_ip", "parent")
-            .applyInPandas(_resolve(cooldown), "src_ip string, block long, since long")
-        )
+        above = since.withColumnRenamed("block", "parent")
+        since = _entered(_in_order(lower, F.col("src_ip"), _parent()).join(above, ["src_ip", "parent"]), cooldown)
     return stretches.join(since, ["src_ip", "block"]).select(
         F.explode(_kept_in_stretch(F.col("points"), F.col("since"), cooldown)).alias("packet_id")
     )
 
 
-def _compose_children(cooldown: int):
-    compose = _compose(cooldown)
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.drop(columns="block").rename(columns={"block0": "block"})
-        return compose(key, ordered)
-
-    return run
-
-
 def after_cooldown(packets: DataFrame, seconds: float = COOLDOWN_SECONDS) -> DataFrame:
     """The packets that pass the cooldown, with all their columns."""
     return packets.join(kept_ids(packets, seconds), "packet_id", "left_semi")

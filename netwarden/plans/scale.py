@@ -192,11 +192,16 @@ def running_totals(
 
     Rows are range-partitioned once by key and order, and stored with their slice number, so
     a key with most of the rows spreads over many slices. Slices are summed separately; a
-    slice starts from the totals of the same key in the slices before it.
+    slice starts from the totals of the same key in the slices before it. Only a table that
+    was counted and found small skips this.
     """
     by = by or []
+    stored = stage(df, "totals")
+    if stored.count() <= SMALL_ROWS:
+        upto = Window.partitionBy(*by).orderBy(*order)
+        return stored.select("*", *[F.sum(c).over(upto).alias(t) for c, t in sums.items()])
     slices = stage(
-        df.repartitionByRange(*by, *order).withColumn("__slice", F.spark_partition_id()), "ranges"
+        stored.repartitionByRange(*by, *order).withColumn("__slice", F.spark_partition_id()), "ranges"
     )
     totals = slices.groupBy("__slice", *by).agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
     before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
