@@ -514,6 +514,15 @@ ORACLE = {
 UNION ALL SELECT 'columns', true, '11 of at least 2' UNION ALL SELECT 'required', false, 'missing: absent'
 UNION ALL SELECT 'rows', count(*) > 0, count(*)::VARCHAR || ' rows' FROM lineitem""",
     "S6_row_count": "SELECT count(*) AS n FROM lineitem",
+    "S7_dataset_listing": "SELECT unnest(["
+    + ", ".join(
+        f"'{t}.parquet'"
+        for t in (
+            "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part "
+            "region supplier"
+        ).split()
+    )
+    + "]) AS name",
     "S8_table_sink": with_views(
         "flows", "SELECT Label, count(*) AS n, round(sum(tax), 2) AS tax FROM flows GROUP BY ALL"
     ),

@@ -60,15 +60,21 @@ def _between(gap: Column) -> Column:
     return F.zip_with("x", end, lambda a, b: a + gap * (b - a))
 
 
-def _draw(spark, needs: list[tuple[str, int]], seed: str) -> DataFrame:
-    """``need`` numbered draws per group with their random numbers."""
-    parts = None
-    for group, need in needs:
-        part = spark.range(need).select(F.lit(group).alias("grp"), F.col("id").alias("j"))
+def _draw(spark, needs: list[tuple[str, int, int]], seed: str) -> DataFrame:
+    """Numbered draws per group: ``at`` counts over all groups, ``m`` is the number of bases."""
+    parts, first = None, 0
+    for group, bases, need in needs:
+        part = spark.range(need).select(
+            F.lit(group).alias("grp"),
+            F.col("id").alias("j"),
+            (F.col("id") + first).alias("at"),
+            F.lit(bases).cast("long").alias("m"),
+        )
         parts = part if parts is None else parts.unionByName(part)
+        first += need
     g, j = F.col("grp"), F.col("j")
     return parts.select(
-        "grp", "j",
+        "grp", "at", "m",
         hash_unit(f"{seed}b", g, j).alias("u_base"),
         hash_unit(f"{seed}n", g, j).alias("u_rank"),
         hash_unit(f"{seed}g", g, j).alias("gap"),
@@ -85,26 +91,19 @@ def _synthetic(
     lists = nearest_lists(pool, max(ks), queries=bases, scope="grp", carry=["x"])
     indexed = index_by_hash(bases, "grp", "id", seed, sum(n for _, n, _ in needs), "i")
     ends = indexed.join(lists.withColumnRenamed("scope", "grp"), ["grp", "id"])
-    sizes = bases.sparkSession.createDataFrame([(g, n) for g, n, _ in needs], "grp string, m long")
     return (
-        _draw(bases.sparkSession, [(g, need) for g, _, need in needs], seed)
-        .join(sizes, "grp")
+        _draw(bases.sparkSession, needs, seed)
         .withColumn("i", F.floor(F.col("u_base") * F.col("m")).cast("long"))
         .join(stage(ends, "ends"), ["grp", "i"])
         .withColumn("k", F.explode(F.array(*[F.lit(v) for v in ks])))
         .withColumn("rank", (F.floor(F.col("u_rank") * F.col("k")) + 1).cast("int"))
-        .select("grp", "k", "j", _between(F.col("gap")).alias("x"))
+        .select("grp", "k", "at", _between(F.col("gap")).alias("x"))
     )
 
 
-def _numbered(synthetic: DataFrame, needs: list[tuple[int, int, int]]) -> DataFrame:
+def _numbered(synthetic: DataFrame) -> DataFrame:
     """Synthetic rows as ``id, label, x``; ids run downwards from -1 over the classes."""
-    starts, total = [], 0
-    for label, _, need in needs:
-        starts.append((str(label), label, total))
-        total += need
-    table = synthetic.sparkSession.createDataFrame(starts, "grp string, label int, first long")
-    return synthetic.join(table, "grp").select((-1 - F.col("first") - F.col("j")).alias("id"), "label", "x")
+    return synthetic.select((-1 - F.col("at")).alias("id"), F.col("grp").cast("int").alias("label"), "x")
 
 
 def _grouped(rows: DataFrame, needs: list[tuple[int, int, int]]) -> DataFrame:
@@ -126,7 +125,7 @@ def smote_rows(rows: DataFrame, k: int | None = None, seed: int = 42) -> DataFra
     k = k or default_neighbours(rows)
     pool = _grouped(rows, needs)
     made = _synthetic(pool, pool, [(str(c), n, need) for c, n, need in needs], [k], f"smote{seed}")
-    return _numbered(made, needs)
+    return _numbered(made)
 
 
 def smote(rows: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
@@ -202,7 +201,7 @@ def borderline_rows(rows: DataFrame, k: int | None = None, m: int = DANGER_NEIGH
     pool = _grouped(rows, needs)
     bases = pool.join(danger.select("id"), "id", "left_semi")
     made = _synthetic(bases, pool, [(str(c), n, need) for c, n, need in needs], [k], f"border{seed}")
-    return _numbered(made, needs)
+    return _numbered(made)
 
 
 def borderline(rows: DataFrame, k: int | None = None, m: int = DANGER_NEIGHBOURS, seed: int = 42) -> DataFrame:
