@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netwarden.operators.clean import FEATURE_COUNT, drop_null_rows, select_and_pad
-from netwarden.plans.scale import lookup, running_totals, stage
+from netwarden.plans.scale import lookup, pin_small, running_totals, stage
 
 # Target range of the scaler, address columns, label column.
 SCALE_LOW, SCALE_HIGH = 0.1, 0.9
@@ -21,13 +21,18 @@ MAX_ONE_HOT = 5_000
 
 def fit_dictionary(df: DataFrame, column: str) -> DataFrame:
     """``(value, code, rows)`` with codes 0.. in sorted order of the distinct values."""
-    values = (
+    values = stage(
         df.where(F.col(column).isNotNull())
         .groupBy(F.col(column).cast("string").alias("value"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("one", F.lit(1).cast("long"))
+        .agg(F.count(F.lit(1)).alias("rows")),
+        "values",
     )
-    ranked = running_totals(values, ["value"], {"one": "rank"})
+    small = pin_small(values)
+    if small is not values:
+        found = sorted((r["value"], r["rows"]) for r in small.collect())
+        coded = [(value, code, rows) for code, (value, rows) in enumerate(found)]
+        return df.sparkSession.createDataFrame(coded, "value string, code long, rows long")
+    ranked = running_totals(values.withColumn("one", F.lit(1).cast("long")), ["value"], {"one": "rank"})
     return stage(ranked.select("value", (F.col("rank") - 1).alias("code"), "rows"), "dictionary")
 
 
@@ -155,7 +160,9 @@ def fit_preprocessing(df: DataFrame, label: str = LABEL, target: int = FEATURE_C
     hot = categories(rows, [c for c in texts if c not in addresses])
     wanted = [*numbers, *addresses, *[f"{c}_{v}" for c, vs in hot.items() for v in vs]]
     padded = select_and_pad(_encoded(df, addresses, labels, hot, label), wanted, target)
-    return Preprocessing(addresses, labels, hot, padded.columns, fit_min_max(padded, padded.columns))
+    # One row per feature, computed here once rather than at each use.
+    bounds = pin_small(fit_min_max(padded, padded.columns))
+    return Preprocessing(addresses, labels, hot, padded.columns, bounds)
 
 
 def transform_preprocessing(df: DataFrame, fitted: Preprocessing, label: str = LABEL) -> DataFrame:
