@@ -23,14 +23,20 @@ GROUP_ROWS = 1 << 20
 SMALL_ROWS = 20_000
 
 
+# Folders made for applications whose session names none, as in tests.
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only if none is configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not folder:
-        folder = tempfile.mkdtemp(prefix="netwarden-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_FOLDERS:
+            _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="netwarden-")
+        folder = _OWN_FOLDERS[app]
     return folder.rstrip("/")
 
 
