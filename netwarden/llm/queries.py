@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netwarden.llm import simhash
+from netwarden.llm import decontaminate, lines, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,5 +18,60 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in [op1_simhash_near_dedup]}
-ORACLE: dict[str, str] = {}
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.dropped_lines(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_shingles", "n_shared", "containment"
+    )
+
+
+QUERIES = {f.__name__: f for f in [op1_simhash_near_dedup, op9_line_dedup, op10_benchmark_leaks]}
+
+SPACES = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE: dict[str, str] = {
+    "op9_line_dedup": f"""
+        WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+        lines AS (
+            SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM cut
+        ),
+        keyed AS (SELECT *, translate(trim(line, {SPACES}), '{UPPER}', '{LOWER}') AS k FROM lines),
+        common AS (
+            SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+        ),
+        marked AS (
+            SELECT keyed.*, common.k IS NOT NULL AS lost FROM keyed LEFT JOIN common ON keyed.k = common.k
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
+    "op10_benchmark_leaks": """
+        WITH worded AS (
+            SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents
+        ),
+        shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM worded)
+        ),
+        items AS (
+            SELECT min(item_id) AS item_id, w
+            FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark)
+            GROUP BY w
+        ),
+        wanted AS (
+            SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
+            FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM items)
+        ),
+        sized AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_shingles FROM wanted)
+        SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles AS containment
+        FROM shingles JOIN sized USING (s) GROUP BY doc_id, item_id, n_shingles
+        HAVING count(*) >= 0.8 * n_shingles
+    """,
+}
