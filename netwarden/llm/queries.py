@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netwarden.llm import decontaminate, lines, simhash
+from netwarden.llm import decontaminate, lines, packed_ids, packing, quality, simhash
+from netwarden.plans.scale import stage_path
+
+
+def vocabulary() -> str:
+    """Where the installed byte-level vocabulary lies; the same on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +26,22 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_simple8b_ids(spark: SparkSession, folder: str) -> DataFrame:
+    path = stage_path(spark, "ids")
+    packed_ids.write(_table(spark, folder, "documents"), path, vocabulary())
+    return packed_ids.digest(packed_ids.read(spark, path)).withColumnRenamed("id", "doc_id")
+
+
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.judged(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("doc_id", *[F.col(f"measures.{c}").alias(c) for c in counts], "base_failed", "kept")
+
+
+def op8_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed_digests(_table(spark, folder, "documents"), vocabulary())
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = lines.dropped_lines(_table(spark, folder, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -30,7 +54,17 @@ def op10_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in [op1_simhash_near_dedup, op9_line_dedup, op10_benchmark_leaks]}
+QUERIES = {
+    f.__name__: f
+    for f in [
+        op1_simhash_near_dedup,
+        op2_simple8b_ids,
+        op6_quality_rules,
+        op8_sum_of_squares_packing,
+        op9_line_dedup,
+        op10_benchmark_leaks,
+    ]
+}
 
 SPACES = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
