@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netwarden.llm import decontaminate, lines, packed_ids, packing, quality, simhash
-from netwarden.plans.scale import stage_path
+from netwarden.llm import chat, decontaminate, hmm, licenses, lines, packed_ids, packing, quality, secret_scan, simhash
+from netwarden.plans.scale import stage, stage_path
 
 
 def vocabulary() -> str:
@@ -32,12 +32,59 @@ def op2_simple8b_ids(spark: SparkSession, folder: str) -> DataFrame:
     return packed_ids.digest(packed_ids.read(spark, path)).withColumnRenamed("id", "doc_id")
 
 
+def op3_hmm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm.score(_table(spark, folder, "documents"))
+
+
+def op4_secret_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    spans = F.col("spans")
+    base = secret_scan.listed(secret_scan.base_spans(spans))
+    return secret_scan.scan(_table(spark, folder, "documents")).select(
+        "doc_id",
+        *[secret_scan.count_of(kind, spans).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(base, 256).alias("base_sha256"),
+        secret_scan.listed(spans).alias("spans"),
+    )
+
+
+# A conversation that says what templates use to mark turns.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op5_reply_trees(spark: SparkSession, folder: str) -> DataFrame:
+    said = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], said.schema)
+    rows = said.unionByName(extra).withColumnRenamed("conv_id", "tree")
+    replies = chat.chains(rows, "tree", ["turn", "role", "text"]).withColumn("score", F.lit(1.0))
+    made = stage(chat.formatted(stage(replies, "messages")), "formatted")
+    text, turns, learned = F.col("text"), F.col("turns"), F.col("learned")
+    back = made.select(
+        F.col("tree").alias("conv_id"),
+        "text",
+        chat.turns_of(text).alias("turns"),
+        chat.learned_text(text, F.col("loss")).alias("learned"),
+    )
+    flat = F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(flat, ""), 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"),
+        F.length(text).cast("long").alias("formatted_chars"),
+    )
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     found = quality.judged(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return found.select("doc_id", *[F.col(f"measures.{c}").alias(c) for c in counts], "base_failed", "kept")
 
 
+def op7_license_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_digests(_table(spark, folder, "documents"), vocabulary())
 
@@ -59,7 +106,11 @@ QUERIES = {
     for f in [
         op1_simhash_near_dedup,
         op2_simple8b_ids,
+        op3_hmm_score,
+        op4_secret_entropy,
+        op5_reply_trees,
         op6_quality_rules,
+        op7_license_templates,
         op8_sum_of_squares_packing,
         op9_line_dedup,
         op10_benchmark_leaks,
