@@ -18,6 +18,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` as one struct ``row``, so that no name of its columns can clash."""
+    return docs.select(F.struct("*").alias("row"))
+
+
 def words(text: Column) -> Column:
     """Maximal runs without ASCII white space; none for null."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

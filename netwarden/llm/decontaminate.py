@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netwarden.llm.common import wrapped
 from netwarden.plans.scale import stage
 
 SHINGLE = 5
@@ -136,6 +137,6 @@ def leaks(
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    held = stage(leaks(docs, items).select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct(), "leaks")
-    met = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__t"))
-    return docs.join(held, met, "left_anti")
+    held = stage(leaks(docs, items).select("id", "t").distinct(), "leaks")
+    met = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("t"))
+    return wrapped(docs).join(held, met, "left_anti").select("row.*")

@@ -62,7 +62,7 @@ granted, provided that the above copyright notice and this permission notice app
 """
 _APACHE = """
 Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
-the License. You may obtain a copy of the License at [[http https]] www apache org licenses LICENSE 2.0
+the License. You may obtain a copy of the License at [[http]] [[https]] www apache org licenses LICENSE 2.0
 """
 _GPL = """
 This program is free software[[:]] you can redistribute it and/or modify it under the terms of the GNU General

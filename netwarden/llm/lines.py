@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netwarden.llm.common import SPACES, ascii_lower
+from netwarden.llm.common import SPACES, ascii_lower, wrapped
 from netwarden.plans.scale import stage
 
 MIN_DOCS = 10
@@ -93,33 +93,40 @@ def kept_text(text: Column, runs: Column) -> Column:
 
 
 def with_bitmaps(docs: DataFrame, row_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` with ``runs`` (null where nothing is lost)."""
-    maps = keep_bitmaps(docs, row_id, text, **how).withColumnsRenamed({"id": "__id", "t": "__t"})
-    met = docs[row_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__t"))
-    return docs.join(maps, met, "left").drop("__id", "__t")
+    """``(row, runs)``: each row of ``docs`` as a struct; ``runs`` is null where nothing is lost."""
+    maps = keep_bitmaps(docs, row_id, text, **how)
+    met = F.col(f"row.{row_id}").eqNullSafe(F.col("id")) & (F.xxhash64(f"row.{text}") == F.col("t"))
+    return wrapped(docs).join(maps, met, "left").select("row", "runs")
 
 
 def dropped_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``(row_id, n_lines, n_dropped, kept)`` per row of ``docs``; ``kept`` is the text of the lines that stay."""
-    plain = docs.select(F.col(row_id), F.col(text))
+    whole = F.col(f"row.{text}")
     # Every second run is dropped.
     lost = F.aggregate(
         F.filter("runs", lambda n, i: i % 2 == 1), F.lit(0).cast("int"), lambda a, n: a + n
     )
-    return with_bitmaps(plain, row_id, text, **how).select(
-        row_id,
-        F.size(_lines(F.col(text))).cast("long").alias("n_lines"),
+    marked = with_bitmaps(docs.select(row_id, text), row_id, text, **how)
+    return marked.select(
+        F.col(f"row.{row_id}"),
+        F.size(_lines(whole)).cast("long").alias("n_lines"),
         F.coalesce(lost, F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("runs").isNull(), F.coalesce(text, F.lit(""))).otherwise(
-            kept_text(F.col(text), F.col("runs"))
-        ).alias("kept"),
+        F.when(F.col("runs").isNull(), F.coalesce(whole, F.lit("")))
+        .otherwise(kept_text(whole, F.col("runs")))
+        .alias("kept"),
     )
 
 
 def without_common_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the common lines cut out of ``text`` and ``n_chars`` brought up to date."""
-    marked = with_bitmaps(docs)
-    cut = F.when(F.col("runs").isNull(), F.col("text")).otherwise(kept_text(F.col("text"), F.col("runs")))
-    marked = marked.withColumn("text", cut)
-    chars = F.when(F.col("runs").isNull(), F.col("n_chars")).otherwise(F.length("text"))
-    return marked.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    untouched = F.col("runs").isNull()
+    cut = with_bitmaps(docs).withColumn(
+        "cut", F.when(untouched, F.col("row.text")).otherwise(kept_text(F.col("row.text"), F.col("runs")))
+    )
+    new = {
+        "text": F.col("cut"),
+        "n_chars": F.when(untouched, F.col("row.n_chars"))
+        .otherwise(F.length("cut"))
+        .cast(docs.schema["n_chars"].dataType),
+    }
+    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

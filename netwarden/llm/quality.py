@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netwarden.llm.common import SPACES, words
+from netwarden.llm.common import SPACES, words, wrapped
 from netwarden.plans.scale import stage
 
 ALPHA = 0.03
@@ -237,6 +237,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
     known = labels.where("quality = 1").select(F.col("doc_id").alias("__known")).distinct()
-    holdout = docs.select("doc_id", "lang", "text").join(known, F.col("doc_id") == F.col("__known"), "left_semi")
-    certified = stage(cutoffs(features(holdout).drop("text"), labels), "cutoffs")
-    return with_verdict(features(docs), certified).where("kept").select(*docs.columns)
+    plain = docs.select("doc_id", "lang", "text")
+    holdout = plain.join(known, F.col("doc_id") == F.col("__known"), "left_semi")
+    certified = stage(cutoffs(stage(features(holdout).drop("text"), "holdout"), labels), "cutoffs")
+    rows = wrapped(docs).select("row", F.col("row.lang"), F.col("row.text"))
+    return with_verdict(features(rows), certified).where("kept").select("row.*")

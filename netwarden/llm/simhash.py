@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netwarden.llm.common import connected
+from netwarden.llm.common import connected, wrapped
 from netwarden.plans.scale import stage
 
 SHINGLE = 3
@@ -160,12 +160,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Among rows with the same id the text with the smaller hash wins; of equal rows one stays.
     """
-    keyed = docs.withColumn("__key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")))
-    groups = near_duplicates(keyed.select("__key", "text"), "__key")
-    winners = stage(groups.groupBy("component").agg(F.first("fp")).select(
-        F.col("component.doc_id").alias("__id"), F.col("component.h").alias("__h")
-    ), "winners")
-    met = docs.join(
-        winners, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__h"))
-    )
-    return met.dropDuplicates(["__id", "__h"]).select(*docs.columns)
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
+    groups = near_duplicates(keyed, "key")
+    winners = stage(groups.select("component.doc_id", "component.h").distinct(), "winners")
+    met = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("h"))
+    chosen = wrapped(docs).join(winners, met).dropDuplicates(["doc_id", "h"])
+    return chosen.select("row.*")
