@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Cells with these texts count as missing.
-NA_TOKENS = ["nan", "NaN", "null", "NULL", "", "inf", "-inf"]
+# Cells with these texts count as missing; the last two lines are what CSV readers
+# commonly add by themselves.
+NA_TOKENS = [
+    "nan", "NaN", "null", "NULL", "", "inf", "-inf",
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "None", "n/a",
+]
 # Texts read as true.
 TRUE_WORDS = ["true", "1", "yes"]
 

@@ -42,7 +42,7 @@ def stratified_folds(
 def balanced_sample(
     df: DataFrame, n: int, label: str = "label", row_id: str = "id", seed: int = SEED
 ) -> DataFrame:
-    """Equally many rows of both classes, at most ``n`` together, in shuffled order."""
+    """Equally many rows of both classes, at most ``n`` together, chosen in hash order."""
     counts, rows = _counts(df, label)
     if counts.count() < 2:
         raise ValueError("both classes are needed")

@@ -10,7 +10,7 @@ from netwarden.functions.values import clean_token, safe_cast
 from netwarden.plans.scale import stage_path
 
 # What happens to malformed lines, and where they are kept.
-BAD_LINES = {"warn": "PERMISSIVE", "skip": "DROPMALFORMED", "error": "FAILFAST"}
+BAD_LINES = {"warn": "PERMISSIVE", "skip": "PERMISSIVE", "error": "FAILFAST"}
 CORRUPT = "_corrupt_record"
 
 
@@ -22,12 +22,20 @@ def scan(
     max_rows: int | None = None,
     bad_lines: str = "warn",
 ) -> DataFrame:
-    """Typed CSV scan; only the requested columns are parsed. Files split across tasks."""
+    """Typed CSV scan. Files split across tasks.
+
+    Whether a line is bad is decided on all its cells, whatever columns are used afterwards:
+    the parser only converts columns that are asked for, so a condition asks for all of them.
+    """
     reader = spark.read.option("header", True).option("mode", BAD_LINES[bad_lines])
-    if bad_lines == "warn":
+    if bad_lines != "error":
         schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
         reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
     df = reader.schema(schema).csv(path)
+    # Always true, and not known to be so before the cells are read.
+    df = df.where(F.xxhash64(*df.columns) >= F.lit(-(1 << 63)))
+    if bad_lines == "skip":
+        df = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     if columns:
         extra = [CORRUPT] if bad_lines == "warn" else []
         df = df.select(*columns, *extra)
@@ -35,11 +43,7 @@ def scan(
 
 
 def bad_line_counts(df: DataFrame) -> DataFrame:
-    """Good and malformed lines of a scan made with ``bad_lines='warn'``.
-
-    A line is only checked in the columns that are read, so the filled cells of every column
-    are counted along with the lines.
-    """
+    """Good and malformed lines of a scan made with ``bad_lines='warn'``, and filled cells by column."""
     bad = F.col(CORRUPT).isNotNull()
     return df.agg(
         F.count_if(~bad).alias("good_lines"),
