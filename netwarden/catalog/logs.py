@@ -150,6 +150,12 @@ def h6(spark: SparkSession, folder: str) -> DataFrame:
     return as_double(history.trends(standins.run_history(spark, folder)), ["health_trend", "duration_trend"])
 
 
+def h6r(spark: SparkSession, folder: str) -> DataFrame:
+    """Positions begin late and have gaps once old runs are gone."""
+    late = history.retained(standins.run_history(spark, folder), _now(), 10)
+    return as_double(history.trends(late), ["health_trend", "duration_trend"])
+
+
 def h7(spark: SparkSession, folder: str) -> DataFrame:
     runs = standins.run_history(spark, folder)
     out = history.grades(history.averages(runs))
@@ -170,6 +176,11 @@ def h10(spark: SparkSession, folder: str) -> DataFrame:
     return as_double(out, ["recent"]).withColumn("may_grow", F.col("may_grow").cast("int"))
 
 
+def h10g(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = standins.chunk_metrics(spark, folder).where("idx % 3 <> 1")
+    return as_double(history.growth_guard(chunks, 256.0), ["recent"]).withColumn("may_grow", F.col("may_grow").cast("int"))
+
+
 def h11(spark: SparkSession, folder: str) -> DataFrame:
     rows = standins.run_history(spark, folder)
     return rows.groupBy(history.status_kind(F.col("status")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
@@ -193,10 +204,12 @@ QUERIES = {
     "H4_newest": h4,
     "H5_averages": h5,
     "H6_trends": h6,
+    "H6_trends_after_retention": h6r,
     "H7_grades": h7,
     "H8_previous_entries": h8,
     "H9_load_rollup": h9,
     "H10_growth_guard": h10,
+    "H10_growth_guard_gaps": h10g,
     "H11_status_kinds": h11,
 }
 
@@ -212,6 +225,8 @@ _FULL = f'SELECT id, {_ISO} AS "timestamp", source_ip, destination_ip, protocol,
 _CUT = f"(TIMESTAMP '{NOW}' - INTERVAL 10 DAY)"
 _GRADE_IN = """SELECT avg(health_score) AS h, avg((lower(status) = 'success')::INTEGER) * 100 AS s, avg(duration) AS d FROM run_history"""
 
+_LATE = f"(seen_at IS NULL OR seen_at > {_CUT})"
+
 ORACLE = {
     "L1_full_log": with_views("attack_log", _FULL),
     "L2_latest_alerts": with_views("attack_log", _LATEST.format(n=10)),
@@ -268,15 +283,19 @@ FROM run_history""",
         """SELECT count(*) AS entries, round(avg((lower(status) = 'success')::INTEGER) * 100, 6) AS success_rate, round(avg(health_score), 6) AS avg_health,
   round(avg(duration), 6) AS avg_duration, round(avg(coalesce(model_variants, 0)), 6) AS avg_models FROM run_history""",
     ),
-    "H6_trends": with_views(
-        "run_history",
-        """WITH n AS (SELECT count(*) // 2 AS half FROM run_history),
-t AS (SELECT avg(health_score) FILTER (pos >= half) - avg(health_score) FILTER (pos < half) AS h,
-  avg(duration) FILTER (pos >= half) - avg(duration) FILTER (pos < half) AS d FROM run_history, n)
+    **{
+        name: with_views(
+            "run_history",
+            f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS nth FROM run_history WHERE {kept}),
+n AS (SELECT count(*) // 2 AS half FROM r),
+t AS (SELECT avg(health_score) FILTER (nth >= half) - avg(health_score) FILTER (nth < half) AS h,
+  avg(duration) FILTER (nth >= half) - avg(duration) FILTER (nth < half) AS d FROM r, n)
 SELECT round(h, 6) AS health_trend, round(d, 6) AS duration_trend,
   CASE WHEN h > 1 THEN 'Improving' WHEN h < -1 THEN 'Declining' ELSE 'Stable' END AS health_text,
   CASE WHEN d < -0.1 THEN 'Getting Faster' WHEN d > 0.1 THEN 'Getting Slower' ELSE 'Consistent' END AS duration_text FROM t""",
-    ),
+        )
+        for name, kept in (("H6_trends", "true"), ("H6_trends_after_retention", _LATE))
+    },
     "H7_grades": with_views(
         "run_history",
         f"""SELECT CASE WHEN h > 80 THEN 'good' WHEN h > 60 THEN 'fair' ELSE 'poor' END AS health_grade,
@@ -291,12 +310,16 @@ SELECT round(h, 6) AS health_trend, round(d, 6) AS duration_trend,
         """SELECT round(avg(throughput_rows_sec), 6) AS average_throughput, max(actual_rows) AS max_chunk_size, round(min(mem_per_row), 6) AS min_memory_per_row,
   round(max(cpu_percent), 6) AS max_cpu_usage, round(sum(load_time_sec), 6) AS total_processing_time FROM chunk_metrics""",
     ),
-    "H10_growth_guard": with_views(
-        "chunk_metrics",
-        """WITH w AS (SELECT *, avg(throughput_rows_sec) OVER (ORDER BY idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS recent FROM chunk_metrics)
+    **{
+        name: with_views(
+            "chunk_metrics",
+            f"""WITH w AS (SELECT *, avg(throughput_rows_sec) OVER (ORDER BY idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS recent,
+  row_number() OVER (ORDER BY idx) AS nth FROM chunk_metrics WHERE {kept})
 SELECT idx, throughput_rows_sec, round(recent, 6) AS recent,
-  (idx >= 3 AND throughput_rows_sec > recent * 0.9 AND ram_usage_mb < 256 * 0.8 AND cpu_percent < 85)::INTEGER AS may_grow FROM w""",
-    ),
+  (nth > 3 AND throughput_rows_sec > recent * 0.9 AND ram_usage_mb < 256 * 0.8 AND cpu_percent < 85)::INTEGER AS may_grow FROM w""",
+        )
+        for name, kept in (("H10_growth_guard", "true"), ("H10_growth_guard_gaps", "idx % 3 <> 1"))
+    },
     "H11_status_kinds": with_views(
         "run_history",
         """SELECT CASE lower(status) WHEN 'success' THEN 'SUCCESS' WHEN 'warning' THEN 'WARNING' WHEN 'partial' THEN 'WARNING' ELSE 'ERROR' END AS kind,

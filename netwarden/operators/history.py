@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netwarden.functions.values import parse_time
+from netwarden.plans.scale import running_totals
 
 # Trend and grade limits.
 HEALTH_TREND, DURATION_TREND = 1.0, 0.1
@@ -80,14 +81,18 @@ def averages(history: DataFrame) -> DataFrame:
     )
 
 
-def trends(history: DataFrame) -> DataFrame:
-    """Newer half minus older half by position; the older half is the smaller one.
+def _numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``rows`` with their 0-based rank in ``order`` as ``name``, by range partitions."""
+    ranked = running_totals(rows.withColumn("__one", F.lit(1).cast("long")), [order], {"__one": name})
+    return ranked.withColumn(name, F.col(name) - 1).drop("__one")
 
-    Positions are dense, so the cut is known from the count and no ordering is needed.
-    """
+
+def trends(history: DataFrame) -> DataFrame:
+    """Newer half minus older half by rank of the position; the older half is the smaller one."""
     half = F.expr("entries div 2")
-    sized = history.withColumn("entries", history.agg(F.count(F.lit(1))).scalar())
-    older, newer = F.col("pos") < half, F.col("pos") >= half
+    ranked = _numbered(history, "pos", "__nth")
+    sized = ranked.withColumn("entries", history.agg(F.count(F.lit(1))).scalar())
+    older, newer = F.col("__nth") < half, F.col("__nth") >= half
 
     def change(name: str) -> Column:
         value = F.coalesce(F.col(name), F.lit(0.0))
@@ -138,23 +143,24 @@ def load_rollup(chunks: DataFrame) -> DataFrame:
 def growth_guard(chunks: DataFrame, target_mb: float, cpu_limit: float = 85.0) -> DataFrame:
     """Whether chunk size may grow: throughput near the mean of the last three, RAM and CPU low.
 
-    ``idx`` is dense, so each chunk hands its throughput to itself and its two successors and
-    the mean is a plain aggregate: no ordering of the whole table.
+    Chunks are numbered in the order of ``idx``, which may have gaps; each hands its throughput
+    to itself and its two successors, and the mean is a plain aggregate.
     """
+    chunks = _numbered(chunks, "idx", "__nth")
     trail = (
         chunks.select(
-            F.explode(F.array(F.col("idx"), F.col("idx") + 1, F.col("idx") + 2)).alias("idx"),
+            F.explode(F.array(F.col("__nth"), F.col("__nth") + 1, F.col("__nth") + 2)).alias("__nth"),
             F.col("throughput_rows_sec").alias("t"),
         )
-        .groupBy("idx")
-        .agg(F.avg("t").alias("recent"), F.count(F.lit(1)).alias("n"))
+        .groupBy("__nth")
+        .agg(F.avg("t").alias("recent"))
     )
     may_grow = (
-        (F.col("idx") >= 3)
+        (F.col("__nth") >= 3)
         & (F.col("throughput_rows_sec") > F.col("recent") * 0.9)
         & (F.col("ram_usage_mb") < F.lit(target_mb * 0.8))
         & (F.col("cpu_percent") < cpu_limit)
     )
-    return chunks.join(trail, "idx").select(
+    return chunks.join(trail, "__nth").select(
         "idx", "throughput_rows_sec", "recent", may_grow.alias("may_grow")
     )
