@@ -74,6 +74,15 @@ def r7s(spark: SparkSession, folder: str) -> DataFrame:
     return points(resample.smote_tomek(vectors(spark, folder)))
 
 
+def overlapping(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes that overlap everywhere, so that neighbours often differ in class."""
+    return vectors(spark, folder).withColumn("label", (F.col("id") % 11 == 3).cast("int"))
+
+
+def r7l(spark: SparkSession, folder: str) -> DataFrame:
+    return points(resample.smote_tomek(overlapping(spark, folder)))
+
+
 def r8(spark: SparkSession, folder: str) -> DataFrame:
     out = resample.split_and_rescue(vectors(spark, folder))
     return points(out).join(out.select("id", F.col("is_test").cast("int").alias("is_test")), "id")
@@ -185,6 +194,7 @@ QUERIES = {
     "R6_borderline_smote": r6s,
     "R7_tomek_links": r7,
     "R7_smote_tomek": r7s,
+    "R7_smote_tomek_links": r7l,
     "R8_split_and_rescue": r8,
     "R9_change_report": r9,
     "R10_choose_neighbours": r10,
@@ -208,8 +218,8 @@ def dist(a: str = "a.x", b: str = "b.x") -> str:
 
 def near_sql(name: str, source: str, k: int, same_class: bool = False, asked: str | None = None) -> str:
     match = "AND a.label = b.label" if same_class else ""
-    return f"""{name} AS (SELECT * FROM (SELECT a.id, a.label, b.id AS nn_id, b.label AS nn_label, {dist()} AS dist,
-  row_number() OVER (PARTITION BY a.id ORDER BY {dist()}, b.id) AS rank FROM {asked or source} a JOIN {source} b ON a.id <> b.id {match}) WHERE rank <= {k})"""
+    return f"""{name} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nn_id) AS rank
+  FROM (SELECT a.id, a.label, b.id AS nn_id, b.label AS nn_label, {dist()} AS dist FROM {asked or source} a JOIN {source} b ON a.id <> b.id {match})) WHERE rank <= {k})"""
 
 
 POINTS = "id, label, round(x[1], 6) AS x0, round(x[20], 6) AS x19, round(list_sum(x), 5) AS sx"
@@ -309,11 +319,16 @@ SELECT * FROM f WHERE "foreign" >= 5 AND "foreign" < 10""",
         "vectors10", f"WITH {_DANGER10}, {smote_sql('vectors10', 3, 'border42', 'dg')} SELECT {POINTS} FROM syn"
     ),
     "R7_tomek_links": with_views("vectors10", f"WITH {links_sql('vectors10')} SELECT * FROM lk"),
-    "R7_smote_tomek": with_views(
-        "vectors",
-        f"""WITH {smote_sql('vectors', 3)}, al AS (SELECT id, label, x FROM vectors UNION ALL SELECT id, label, x FROM syn), {links_sql('al')}
-SELECT {POINTS} FROM al WHERE NOT (label = 1 AND (id IN (SELECT id_a FROM lk) OR id IN (SELECT id_b FROM lk)))""",
-    ),
+    # The class that was larger before, label 0, loses its members of links.
+    **{
+        name: with_views(
+            "vectors",
+            f"""WITH src AS (SELECT id, {label} AS label, x FROM vectors), {smote_sql('src', 3)},
+al AS (SELECT id, label, x FROM src UNION ALL SELECT id, label, x FROM syn), {links_sql('al')}
+SELECT {POINTS} FROM al WHERE NOT (label = 0 AND (id IN (SELECT id_a FROM lk) OR id IN (SELECT id_b FROM lk)))""",
+        )
+        for name, label in (("R7_smote_tomek", "label"), ("R7_smote_tomek_links", "(id % 11 = 3)::INTEGER"))
+    },
     "R8_split_and_rescue": with_views(
         "vectors",
         f"""WITH {_SPLIT}, {smote_sql('tr', 5)}, al AS (SELECT id, label, x, 0 AS is_test FROM tr UNION ALL SELECT id, label, x, 0 FROM syn

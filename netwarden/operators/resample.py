@@ -229,11 +229,15 @@ def tomek_links(rows: DataFrame) -> DataFrame:
     )
 
 
-def remove_tomek(rows: DataFrame) -> DataFrame:
-    """Drop the members of Tomek links that are not of the smallest class."""
+def smallest_class(rows: DataFrame):
+    """Label of the class with fewest rows; of equal ones the smallest label."""
+    return class_counts(rows).orderBy("n", "label").first()["label"]
+
+
+def remove_tomek(rows: DataFrame, spared=None) -> DataFrame:
+    """Drop the members of Tomek links that are not of the class to spare, by default the smallest."""
     rows = _base(rows)
-    counts = sorted((r["n"], r["label"]) for r in class_counts(rows).collect())
-    spared = counts[0][1]
+    spared = smallest_class(rows) if spared is None else spared
     links = stage(tomek_links(rows), "links")
     ends = links.select(F.col("id_a").alias("id"), F.col("label_a").alias("l")).unionByName(
         links.select(F.col("id_b").alias("id"), F.col("label_b").alias("l"))
@@ -242,7 +246,8 @@ def remove_tomek(rows: DataFrame) -> DataFrame:
 
 
 def smote_tomek(rows: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
-    return remove_tomek(stage(smote(rows, k, seed), "smote"))
+    """Oversample, then clean the border at the cost of the classes that were not the smallest before."""
+    return remove_tomek(stage(smote(rows, k, seed), "smote"), smallest_class(_base(rows)))
 
 
 def oversample(rows: DataFrame, method: str, k: int | None = None, seed: int = 42) -> DataFrame:
