@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +16,6 @@ from netwarden.plans.scale import lookup, pin_small, running_totals, stage
 SCALE_LOW, SCALE_HIGH = 0.1, 0.9
 ADDRESS_COLUMNS = ["IPV4_SRC_ADDR", "IPV4_DST_ADDR"]
 LABEL = "Label"
-# Widest one-hot encoding that still makes a sensible table.
-MAX_ONE_HOT = 5_000
 
 
 def fit_dictionary(df: DataFrame, column: str) -> DataFrame:
@@ -46,20 +45,19 @@ def encode(df: DataFrame, column: str, dictionary: DataFrame, target: str | None
     )
 
 
-def categories(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct values per column; they become column names, so there must be few."""
+def categories(df: DataFrame, columns: list[str], most: int | None = None) -> dict[str, list[str]]:
+    """Sorted distinct values per column, or the first ``most`` of all columns together.
+
+    Values become column names; whoever takes the leading columns only needs no more than those.
+    ``one_hot_vectors`` serves columns with very many values.
+    """
     found: dict[str, list[str]] = {}
     for c in columns:
-        values = (
-            df.where(F.col(c).isNotNull())
-            .select(F.col(c).cast("string").alias("v"))
-            .distinct()
-            .limit(MAX_ONE_HOT + 1)
-            .collect()
-        )
-        if len(values) > MAX_ONE_HOT:
-            raise ValueError(f"{c} has too many values for one-hot columns")
-        found[c] = sorted(r["v"] for r in values)
+        values = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct()
+        if most is not None:
+            values = values.orderBy("v").limit(max(most, 0))
+        found[c] = sorted(r["v"] for r in values.collect())
+        most = None if most is None else most - len(found[c])
     return found
 
 
@@ -74,6 +72,16 @@ def one_hot(df: DataFrame, values: dict[str, list[str]], keep: bool = False) ->
     return out if keep else out.drop(*values)
 
 
+def one_hot_vectors(df: DataFrame, column: str, dictionary: DataFrame, target: str) -> DataFrame:
+    """``target``: a sparse vector with a one at the value's code, for any number of values.
+
+    One place more than the dictionary has stands for unseen and missing values.
+    """
+    last = df.sparkSession.createDataFrame([(dictionary.count(),)], "__code_of long")
+    encoder = OneHotEncoder(inputCol="__code_of", outputCol=target, dropLast=False).fit(last)
+    return encoder.transform(encode(df, column, dictionary, "__code_of")).drop("__code_of")
+
+
 def label_codes(df: DataFrame, label: str = LABEL) -> DataFrame:
     """Label column replaced by its code in the global sorted order."""
     return encode(df, label, fit_dictionary(df, label))
@@ -119,14 +127,21 @@ def scale(df: DataFrame, artifacts: DataFrame) -> DataFrame:
     )
 
 
-def standard_scale(df: DataFrame, features: list[str]) -> DataFrame:
-    """Zero mean, unit population deviation; constant columns become 0."""
-    fitted = df.agg(
-        F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"f{i}") for i, c in enumerate(features)])
-    ).scalar()
+def fit_standard(df: DataFrame, features: list[str]) -> DataFrame:
+    """One row ``(fitted)`` with the mean and the population deviation of each feature."""
+    parts = [F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"f{i}") for i, c in enumerate(features)]
+    return df.agg(F.struct(*parts).alias("fitted"))
+
+
+def standard_scale(df: DataFrame, features: list[str], fitted: DataFrame | None = None) -> DataFrame:
+    """Zero mean, unit population deviation; constant columns become 0.
+
+    ``fitted`` comes from ``fit_standard`` on the training rows; without it ``df`` is fitted itself.
+    """
+    values = (fit_standard(df, features) if fitted is None else fitted).scalar()
 
     def cell(i: int, c: str) -> Column:
-        one = fitted[f"f{i}"]
+        one = values[f"f{i}"]
         return (F.col(c) - one["m"]) / F.when(one["s"] > 0, one["s"]).otherwise(1.0)
 
     return df.withColumns({c: cell(i, c) for i, c in enumerate(features)})
@@ -157,7 +172,9 @@ def fit_preprocessing(df: DataFrame, label: str = LABEL, target: int = FEATURE_C
     numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name != label]
     addresses = {c: fit_dictionary(rows, c) for c in ADDRESS_COLUMNS if c in texts}
     labels = fit_dictionary(rows, label)
-    hot = categories(rows, [c for c in texts if c not in addresses])
+    # Later columns would be cut off by ``select_and_pad``, so no more values are looked at.
+    room = target - len(numbers) - len(addresses)
+    hot = categories(rows, [c for c in texts if c not in addresses], room)
     wanted = [*numbers, *addresses, *[f"{c}_{v}" for c, vs in hot.items() for v in vs]]
     padded = select_and_pad(_encoded(df, addresses, labels, hot, label), wanted, target)
     # One row per feature, computed here once rather than at each use.
