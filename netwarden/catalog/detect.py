@@ -72,7 +72,7 @@ def t2(seconds: float, threshold: int):
 
 def t2s(spark: SparkSession, folder: str) -> DataFrame:
     return portscan.windowed_ports(portscan.tcp_only(standins.packets(spark, folder)), "1 day").select(
-        "src_ip", F.unix_micros("start").alias("start_us"), "n_packets"
+        "src_ip", F.unix_micros("start").alias("start_us"), "n_ports", "n_packets"
     )
 
 
@@ -236,7 +236,7 @@ FROM packets WHERE {SIGNED}""",
     "T2_port_scan_default": with_views("packets", _T2.format(scan_sql(5, 10))),
     "T2S_windowed_ports": with_views(
         "packets",
-        """SELECT src_ip, epoch_us(time_bucket(INTERVAL '1 day', ts)) AS start_us, count(*) AS n_packets
+        """SELECT src_ip, epoch_us(time_bucket(INTERVAL '1 day', ts)) AS start_us, count(DISTINCT dst_port) AS n_ports, count(*) AS n_packets
 FROM packets WHERE proto = 6 GROUP BY ALL""",
     ),
     "T3_scan_port_sets": with_views(

@@ -1,11 +1,13 @@
 """The stream operators over the event table, replayed as files until all input is used.
 
-A stream decides on a packet once the watermark has passed it, so the SQL leaves out what is
-still open at the end of the input.
+A stream decides on a packet once the watermark has passed it. The input of stateful detectors
+therefore ends with a row of its own, which is left out again; their SQL is that of the batch queries.
 """
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from netwarden.session import configure
 from netwarden.sources import alert_logs
 from netwarden.streaming import detectors, sources
 
+LAST_US = int(sources.END_OF_INPUT.replace(tzinfo=datetime.UTC).timestamp()) * 1_000_000
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,6 +35,16 @@ def packet_stream(spark: SparkSession, folder: str) -> DataFrame:
     return standins.as_packets(events)
 
 
+END = -1
+
+
+def finite(spark: SparkSession, folder: str) -> DataFrame:
+    """The packet stream with its end marked by packet ``END``."""
+    return sources.closed(
+        packet_stream(spark, folder), packet_id=END, src_ip="end", ts=sources.END_OF_INPUT, ts_us=LAST_US, proto=6, dst_port=0
+    )
+
+
 def t1(spark: SparkSession, folder: str) -> DataFrame:
     found = signatures.signature_alerts(packet_stream(spark, folder))
     return sources.drain(found.select("packet_id", "src_ip", "attack_type"))
@@ -53,25 +66,26 @@ def e4(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def t4(spark: SparkSession, folder: str) -> DataFrame:
-    kept = detectors.cooldown_stream(detectors.facts(packet_stream(spark, folder)), HOUR, "0 seconds")
-    return sources.drain(kept).select("packet_id", "src_ip", "ts_us")
+    kept = detectors.cooldown_stream(detectors.facts(finite(spark, folder)), HOUR, "0 seconds")
+    return sources.drain(kept).where(F.col("packet_id") != END).select("packet_id", "src_ip", "ts_us")
 
 
 def t2(spark: SparkSession, folder: str) -> DataFrame:
-    counted = detectors.scan_stream(detectors.facts(packet_stream(spark, folder)), DAY, "0 seconds")
+    counted = detectors.scan_stream(detectors.facts(finite(spark, folder)), DAY, "0 seconds")
     return sources.drain(counted.where(F.col("n_ports") > 3)).select("packet_id", "src_ip", "ts_us", "n_ports")
 
 
 def t2s(spark: SparkSession, folder: str) -> DataFrame:
-    tcp = portscan.tcp_only(packet_stream(spark, folder)).withWatermark("ts", "0 seconds")
-    out = sources.drain(portscan.windowed_ports(tcp, "1 day"))
-    return out.select("src_ip", F.unix_micros("start").alias("start_us"), "n_packets")
+    tcp = portscan.tcp_only(finite(spark, folder)).withWatermark("ts", "0 seconds")
+    out = sources.drain(portscan.windowed_ports(tcp, "1 day")).where("src_ip <> 'end'")
+    return out.select("src_ip", F.unix_micros("start").alias("start_us"), "n_ports", "n_packets")
 
 
 def t10(spark: SparkSession, folder: str) -> DataFrame:
     """Cooldown, verdict and the appended alert log, read back."""
-    rows = detectors.facts(with_scores(packet_stream(spark, folder)).drop("score", "model_class"))
-    found = detectors.sniffer_stream(detectors.cooldown_stream(rows, HOUR, "0 seconds"))
+    rows = detectors.facts(with_scores(finite(spark, folder)).drop("score", "model_class"))
+    kept = detectors.cooldown_stream(rows, HOUR, "0 seconds").where(F.col("packet_id") != END)
+    found = detectors.sniffer_stream(kept)
     path = stage_path(spark, "alert-log")
     sources.append_log(found, path, stage_path(spark, "progress"), available=True).awaitTermination()
     log = alert_logs.read_alerts(spark, path)
@@ -79,8 +93,9 @@ def t10(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def t9(spark: SparkSession, folder: str) -> DataFrame:
-    rows = detectors.facts(with_scores(packet_stream(spark, folder)).drop("prob"), 0.97)
-    found = detectors.detector_stream(detectors.scan_stream(rows, DAY, "0 seconds"), 3)
+    rows = detectors.facts(with_scores(finite(spark, folder)).drop("prob"), 0.97)
+    counted = detectors.scan_stream(rows, DAY, "0 seconds").where(F.col("packet_id") != END)
+    found = detectors.detector_stream(counted, 3)
     return sources.drain(found).withColumn("ts_us", F.unix_micros("timestamp")).drop("timestamp")
 
 
@@ -128,11 +143,6 @@ QUERIES = {
     "L5_alert_feed": l5,
 }
 
-# The watermark has millisecond steps: the last decided time and the last closed slice.
-_DONE = "(SELECT max(ts_us) // 1000 * 1000 FROM packets)"
-_DAY_US = 86_400_000_000
-_CLOSED = f"(ts_us // {_DAY_US} + 1) * {_DAY_US} <= {_DONE}"
-
 ORACLE = {
     "T1_signature_stream": with_views(
         "packets", f"SELECT packet_id, src_ip, 'Potential Exploit Detected' AS attack_type FROM packets WHERE {SIGNED}"
@@ -143,22 +153,22 @@ ORACLE = {
     ),
     "T4_cooldown_stream": with_views(
         "packets",
-        f"WITH RECURSIVE {chain_sql(HOUR)} SELECT packet_id, src_ip, ts_us FROM packets WHERE packet_id IN (SELECT packet_id FROM gate) AND ts_us <= {_DONE}",
+        f"WITH RECURSIVE {chain_sql(HOUR)} SELECT packet_id, src_ip, ts_us FROM packets WHERE packet_id IN (SELECT packet_id FROM gate)",
     ),
     "T2_port_scan_stream": with_views(
-        "packets", f"WITH {scan_sql(DAY, 3)} SELECT packet_id, src_ip, ts_us, n_ports FROM sc WHERE {_CLOSED}"
+        "packets", f"WITH {scan_sql(DAY, 3)} SELECT packet_id, src_ip, ts_us, n_ports FROM sc"
     ),
     "T2S_windowed_ports_stream": with_views(
         "packets",
-        f"""SELECT src_ip, epoch_us(time_bucket(INTERVAL '1 day', ts)) AS start_us, count(*) AS n_packets
-FROM packets WHERE proto = 6 AND (ts_us // {_DAY_US} + 1) * {_DAY_US} <= (SELECT max(ts_us) FROM packets WHERE proto = 6) GROUP BY ALL""",
+        """SELECT src_ip, epoch_us(time_bucket(INTERVAL '1 day', ts)) AS start_us, count(DISTINCT dst_port) AS n_ports, count(*) AS n_packets
+FROM packets WHERE proto = 6 GROUP BY ALL""",
     ),
     "T10_sniffer_stream": with_views(
         "packets",
         f"""WITH RECURSIVE {PACKET_SCORES}, {chain_sql(HOUR)}
 SELECT packet_id, ts_us, src_ip AS source_ip, dst_ip AS destination_ip, proto::VARCHAR AS protocol,
   CASE WHEN {SIGNED} THEN 'Potential Exploit Detected' ELSE 'Anomaly Detected' END AS attack_type
-FROM ps WHERE packet_id IN (SELECT packet_id FROM gate) AND ({SIGNED} OR prob > 0.7::DOUBLE) AND ts_us <= {_DONE}""",
+FROM ps WHERE packet_id IN (SELECT packet_id FROM gate) AND ({SIGNED} OR prob > 0.7::DOUBLE)""",
     ),
     "T9_detector_stream": with_views(
         "packets",
@@ -169,7 +179,7 @@ SELECT p.packet_id, p.ts_us, p.src_ip AS source_ip,
   CASE WHEN sc.packet_id IS NOT NULL THEN 'Port Scan' WHEN {SIGNED} THEN 'Potential Exploit Detected'
     ELSE 'Anomaly Detected' END AS attack_type
 FROM ps p LEFT JOIN sc ON p.packet_id = sc.packet_id
-WHERE (sc.packet_id IS NOT NULL OR {SIGNED} OR score > 0.97::DOUBLE OR model_class = 1) AND (p.ts_us // {_DAY_US} + 1) * {_DAY_US} <= {_DONE}""",
+WHERE sc.packet_id IS NOT NULL OR {SIGNED} OR score > 0.97::DOUBLE OR model_class = 1""",
     ),
     "S17_packet_files": with_views(
         "packets", "SELECT src_ip, count(*) AS n, sum(packet_length)::BIGINT AS bytes FROM packets GROUP BY src_ip"

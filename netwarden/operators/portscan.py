@@ -178,10 +178,13 @@ def scan_port_sets(packets: DataFrame, seconds: float = SCAN_SECONDS, threshold:
 
 
 def windowed_ports(packets: DataFrame, length: str, slide: str | None = None) -> DataFrame:
-    """Approximate distinct ports per source and tumbling or sliding window (batch or stream)."""
+    """Distinct ports per source and tumbling or sliding window (batch or stream).
+
+    The set of ports of a window has at most 65,536 members and is merged before the shuffle.
+    """
     frame = F.window("ts", length, slide) if slide else F.window("ts", length)
     return (
         packets.groupBy("src_ip", frame.alias("w"))
-        .agg(F.approx_count_distinct("dst_port").alias("n_ports"), F.count(F.lit(1)).alias("n_packets"))
+        .agg(F.size(F.collect_set("dst_port")).cast("long").alias("n_ports"), F.count(F.lit(1)).alias("n_packets"))
         .select("src_ip", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_ports", "n_packets")
     )

@@ -45,7 +45,7 @@ class CooldownGate(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         earliest = None
         for part in rows:
-            part = part.sort_values(["ts_us", "packet_id"]).drop_duplicates("ts_us")
+            part = _whole(part, "proto").sort_values(["ts_us", "packet_id"]).drop_duplicates("ts_us")
             self.waiting.appendList([_plain(r) for r in part[_FACTS].itertuples(index=False)])
             low = int(part["ts_us"].iloc[0])
             earliest = low if earliest is None else min(earliest, low)
@@ -102,12 +102,13 @@ class ScanCounter(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         end = (int(key[1]) + 1) * self.width
         for part in rows:
-            back = part[part["look_back"]]
+            part = _whole(part, "proto", "dst_port")
+            back = part[part["look_back"].astype(bool)]
             for port, at in back.groupby("dst_port")["ts_us"].max().items():
                 known = self.before.getValue((int(port),))
                 if known is None or known[0] < at:
                     self.before.updateValue((int(port),), (int(at),))
-            own = part[~part["look_back"]]
+            own = part[~part["look_back"].astype(bool)]
             if len(own):
                 names = [*_FACTS, "dst_port"]
                 self.waiting.appendList([_plain(r) for r in own[names].itertuples(index=False)])
@@ -146,12 +147,14 @@ class ScanCounter(StatefulProcessor):
         pass
 
 
+def _whole(part: pd.DataFrame, *names: str) -> pd.DataFrame:
+    """Whole numbers again, where a missing one in the batch has made them fractions."""
+    return part.astype({n: "Int64" for n in names})
+
+
 def _plain(row) -> tuple:
     """A row of Python values; state stores take no numpy types."""
-    return tuple(
-        None if v is None or (isinstance(v, float) and np.isnan(v)) else v.item() if isinstance(v, np.generic) else v
-        for v in row
-    )
+    return tuple(None if pd.isna(v) else v.item() if isinstance(v, np.generic) else v for v in row)
 
 
 def facts(packets: DataFrame, threshold: float | None = None) -> DataFrame:
@@ -164,7 +167,7 @@ def facts(packets: DataFrame, threshold: float | None = None) -> DataFrame:
         flagged = flagged | F.coalesce(is_anomaly(F.col("score"), threshold), F.lit(False))
     if "model_class" in names:
         flagged = flagged | F.coalesce(F.col("model_class") == 1, F.lit(False))
-    return packets.where(F.col("src_ip").isNotNull()).select(
+    return packets.select(
         "ts",
         "src_ip",
         "packet_id",
@@ -180,7 +183,8 @@ def facts(packets: DataFrame, threshold: float | None = None) -> DataFrame:
 def cooldown_stream(rows: DataFrame, seconds: float = COOLDOWN_SECONDS, delay: str = "10 seconds") -> DataFrame:
     """Packets (as ``facts``) that pass the cooldown of their source."""
     return (
-        rows.withWatermark("ts", delay)
+        rows.where(F.col("src_ip").isNotNull())
+        .withWatermark("ts", delay)
         .groupBy("src_ip")
         .transformWithStateInPandas(
             statefulProcessor=CooldownGate(int(round(seconds * 1_000_000))),
@@ -203,13 +207,17 @@ def scan_stream(rows: DataFrame, seconds: float = SCAN_SECONDS, delay: str = "10
         ),
         lambda c: c.isNotNull(),
     )
-    spread = rows.withWatermark("ts", delay).select("*", F.explode(copies).alias("c")).select("*", "c.*").drop("c")
-    return spread.groupBy("src_ip", "slice").transformWithStateInPandas(
+    # Without a source nothing is scanned; such packets pass with no ports.
+    unknown = rows.where(F.col("src_ip").isNull()).select("src_ip", *_FACTS, F.lit(0).cast("long").alias("n_ports"))
+    sourced = rows.where(F.col("src_ip").isNotNull()).withWatermark("ts", delay)
+    spread = sourced.select("*", F.explode(copies).alias("c")).select("*", "c.*").drop("c")
+    counted_ports = spread.groupBy("src_ip", "slice").transformWithStateInPandas(
         statefulProcessor=ScanCounter(width),
         outputStructType=SCANNED,
         outputMode="Append",
         timeMode="EventTime",
     )
+    return counted_ports.unionByName(unknown)
 
 
 def _alerts(rows: DataFrame, label) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,24 @@ def append_log(alerts: DataFrame, path: str, checkpoint: str, available: bool =
     return (writer.trigger(availableNow=True) if available else writer).start()
 
 
+# Event time of the row that ends a finite input: later than any watermark delay can hold back.
+END_OF_INPUT = datetime.datetime(2200, 1, 1)
+
+
+def closed(stream: DataFrame, **values) -> DataFrame:
+    """``stream`` with one last row that moves the watermark past everything, for inputs that end.
+
+    ``values`` mark the row, so that it can be told from the others afterwards.
+    """
+    spark = stream.sparkSession
+    row = spark.range(1).select(
+        *[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
+    )
+    path = stage_path(spark, "end-of-input")
+    row.write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is available into a table and return the table."""
     spark = stream.sparkSession

@@ -86,6 +86,20 @@ def test_scan_stream_equals_batch(spark, tmp_path):
     assert over == want and want
 
 
+def test_packets_without_port_or_source(spark, tmp_path):
+    """Missing ports and sources neither count nor disturb the packets beside them."""
+    data = rows(5)
+    holes = [(1000 + i, t, "busy", "d", 1, None, None if i % 2 else 6, 0, 64, 60, b"x") for i, t in enumerate(range(S, 90 * S, 9 * S))]
+    holes += [(2000, 50 * S, None, "d", 1, 3, 6, 0, 64, 60, b"x")]
+    parts = [[*data[:150], *holes], data[150:], closing(400 * S)]
+    got = replay(spark, str(tmp_path), lambda p: detectors.scan_stream(detectors.facts(p), 5.0, "100 seconds"), parts)
+    found = {r["packet_id"]: r["n_ports"] for r in got.collect()}
+    batch = frame(spark, [*data, *holes]).withColumn("ts_us", F.unix_micros("ts"))
+    want = {r["packet_id"]: r["n_ports"] for r in portscan.scan_alerts(batch, 5.0, 5).collect()}
+    assert want and {k: found[k] for k in want} == want and found[2000] == 0
+    assert {r[0] for r in [*data, *holes]} - set(found) == set()
+
+
 def test_late_packets_are_dropped(spark, tmp_path):
     early = [(0, 100 * S, "a", "d", 1, 1, 6, 0, 64, 60, b"x")]
     late = [(1, 1 * S, "a", "d", 1, 1, 6, 0, 64, 60, b"x")]
