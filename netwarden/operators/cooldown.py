@@ -30,7 +30,7 @@ SPAN = 16
 # Stretches joined by one composition step.
 FANOUT = 16
 # Steps a source may have in total before its stretches are composed in a tree.
-DIRECT_STEPS = 200_000
+DIRECT_STEPS = 4_096
 
 _NODE = "src_ip string, block long, upto array<long>, last array<long>"
 

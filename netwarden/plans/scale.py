@@ -23,16 +23,22 @@ GROUP_ROWS = 1 << 20
 SMALL_ROWS = 20_000
 
 
-# Folders made for applications whose session names none, as in tests.
+# Folders made for local applications whose session names none, as in tests.
 _OWN_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only if none is configured."""
+    """The cluster's checkpoint folder; a temporary one only for a local session without any.
+
+    On a cluster a folder of the driver's own is invisible to executors, so a missing setting is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_FOLDERS:
             _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="netwarden-")
@@ -44,10 +50,17 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete ``path`` when the application ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once and read it back: lineage is cut and lost executors cost nothing."""
     path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
+    _remove_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
