@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,7 +122,87 @@ QUERIES = {
 SPACES = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+
+def _fires(cutoff: str) -> str:
+    """Whether the rule named in ``rule`` fires at ``cutoff``."""
+    cases = " ".join(f"WHEN '{r}' THEN {left} > {cutoff} * {right}" for r, (left, right, _) in quality.RULES.items())
+    return f"CASE rule {cases} END"
+
+
+_RULES = ", ".join(f"('{r}', {nth}, {cut})" for r, (_, _, cuts) in quality.RULES.items() for nth, cut in enumerate(cuts))
+_RATE = quality.ALPHA / len(quality.RULES)
+_LEAST = math.ceil(math.log(quality.DELTA / len(quality.RULES)) / math.log1p(-_RATE))
+_FAILED = (
+    f"(n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words)"
+)
+
 ORACLE: dict[str, str] = {
+    "op6_quality_rules": f"""
+        WITH worded AS (
+            SELECT doc_id, lang, coalesce(text, '') AS t,
+                regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ),
+        windows AS (
+            SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM worded)
+        ),
+        repeated AS (
+            SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1
+        ),
+        covered AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n FROM repeated, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id
+        ),
+        lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM worded),
+        same AS (
+            SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE trim(line, {SPACES}) <> '' GROUP BY doc_id
+        ),
+        m AS (
+            SELECT worded.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                coalesce(same.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+                len(string_split(t, chr(10))) AS n_lines,
+                length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals,
+                length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_shouts
+            FROM worded LEFT JOIN same USING (doc_id) LEFT JOIN covered USING (doc_id)
+        ),
+        good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+        judged AS (SELECT m.* FROM m JOIN good USING (doc_id) WHERE NOT {_FAILED}),
+        big AS (
+            SELECT lang FROM judged WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {_LEAST}
+            ORDER BY count(*) DESC, lang LIMIT {quality.MAX_STRATA}
+        ),
+        held AS (
+            SELECT *, CASE WHEN lang IN (SELECT lang FROM big) THEN lang ELSE '{quality.POOLED}' END AS stratum FROM judged
+        ),
+        rules AS (SELECT * FROM (VALUES {_RULES}) v(rule, nth, cutoff)),
+        tries AS (
+            SELECT stratum, rule, nth, cutoff, count(*) AS n, count(*) FILTER ({_fires('cutoff')}) AS k
+            FROM held, rules GROUP BY ALL
+        ),
+        tails AS (
+            SELECT *, CASE WHEN k >= n * {_RATE!r}::DOUBLE THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+                exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RATE!r}::DOUBLE)
+                    + (n - i) * ln(1 - {_RATE!r}::DOUBLE)))) END AS tail
+            FROM tries
+        ),
+        passed AS (
+            SELECT *, min((tail <= {quality.DELTA} / ((SELECT count(DISTINCT stratum) FROM held) * {len(quality.RULES)}))::INT)
+                OVER (PARTITION BY stratum, rule ORDER BY nth) AS ok
+            FROM tails
+        ),
+        cuts AS (SELECT stratum, rule, max_by(cutoff, nth) AS cutoff FROM passed WHERE ok = 1 GROUP BY stratum, rule),
+        placed AS (
+            SELECT *, CASE WHEN lang IN (SELECT stratum FROM held) THEN lang ELSE '{quality.POOLED}' END AS stratum FROM m
+        ),
+        fired AS (
+            SELECT DISTINCT doc_id FROM placed JOIN cuts USING (stratum) WHERE {_fires('cutoff')}
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_FAILED} AS base_failed,
+            NOT {_FAILED} AND doc_id NOT IN (SELECT doc_id FROM fired) AS kept
+        FROM placed
+    """,
     "op9_line_dedup": f"""
         WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
         lines AS (
