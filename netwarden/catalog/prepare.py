@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from netwarden.catalog.views import unit, with_views
 from netwarden.functions import address, values
-from netwarden.operators import clean, encode
+from netwarden.operators import clean, encode, packets
 from netwarden.plans import standins
 from netwarden.plans.scale import stage_path
 from netwarden.sources import flows, tables
@@ -275,26 +275,8 @@ def e3(spark: SparkSession, folder: str) -> DataFrame:
     return standins.packets(spark, folder).select("packet_id", address.cidr_network(cidr).alias("network"))
 
 
-def packet_features(packets: DataFrame) -> DataFrame:
-    """Eight numeric fields; ports of TCP, else of UDP; zeros where a layer is missing."""
-    has_ports = F.col("proto").isin(6, 17)
-
-    def port(name: str):
-        return F.when(has_ports, F.coalesce(F.col(name), F.lit(0))).otherwise(0).cast("long").alias(name)
-
-    return packets.select(
-        "packet_id",
-        F.coalesce(address.ip_to_long(F.col("src_ip")), F.lit(0)).alias("ip_src"),
-        F.coalesce(address.ip_to_long(F.col("dst_ip")), F.lit(0)).alias("ip_dst"),
-        port("src_port"),
-        port("dst_port"),
-        F.when(F.col("proto") == 6, F.coalesce("tcp_flags", F.lit(0))).otherwise(0).cast("long").alias("tcp_flags"),
-        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("packet_length", "ttl", "proto")],
-    )
-
-
 def e4(spark: SparkSession, folder: str) -> DataFrame:
-    return packet_features(standins.packets(spark, folder))
+    return packets.packet_features(standins.packets(spark, folder))
 
 
 def e5(spark: SparkSession, folder: str) -> DataFrame:

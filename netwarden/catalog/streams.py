@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netwarden.catalog.detect import DAY, HOUR, PACKET_SCORES, SIGNED, chain_sql, scan_sql, with_scores
-from netwarden.catalog.prepare import packet_features
 from netwarden.catalog.views import with_views
-from netwarden.operators import portscan, signatures, verdict
+from netwarden.operators import packets, portscan, signatures, verdict
 from netwarden.plans import standins
 from netwarden.plans.scale import stage_path
 from netwarden.session import configure
@@ -62,7 +61,7 @@ def t5(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def e4(spark: SparkSession, folder: str) -> DataFrame:
-    return sources.drain(packet_features(packet_stream(spark, folder)))
+    return sources.drain(packets.packet_features(packet_stream(spark, folder)))
 
 
 def t4(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from netwarden.functions.values import argmax, array_sum, softmax
 from netwarden.operators.cooldown import COOLDOWN_SECONDS, after_cooldown
-from netwarden.operators.portscan import SCAN_LABEL, SCAN_PORTS, SCAN_SECONDS, scan_alerts
+from netwarden.operators.portscan import SCAN_LABEL, SCAN_PORTS, SCAN_SECONDS, TCP, scan_times, tcp_only
 from netwarden.operators.signatures import MATCH_LABEL, matches_signature
+from netwarden.plans.scale import lookup, stage
 
 # Probability above which traffic is an attack; buffer over the anomaly threshold.
 ATTACK_PROBABILITY = 0.7
@@ -86,17 +87,32 @@ def detector_verdicts(
     """Alerts of the full detector: a port scan ends the checks; else anomaly, signature or class.
 
     ``packets`` carries ``score`` and ``model_class``. A scan alert has neither destination
-    nor protocol.
+    nor protocol. Payloads and scores are reduced to flags where they are read, so neither is
+    shuffled; scans are found by source and time, not by packet.
     """
-    scans = scan_alerts(packets, seconds, ports).select("packet_id").withColumn("scan", F.lit(True))
-    signed = matches_signature(F.col("payload"))
+    tcp = tcp_only(packets)
+    times = stage(scan_times(tcp, seconds, ports), "scans")
+    counted = (F.col("proto") == TCP) & F.col("src_ip").isNotNull() & F.col("dst_port").isNotNull()
+    anomaly = is_anomaly(F.col("score"), threshold) | (F.col("model_class") == 1)
+    facts = packets.select(
+        "packet_id",
+        "ts",
+        "ts_us",
+        "src_ip",
+        "dst_ip",
+        "proto",
+        F.coalesce(counted, F.lit(False)).alias("counted"),
+        F.coalesce(matches_signature(F.col("payload")), F.lit(False)).alias("signed"),
+        F.coalesce(anomaly, F.lit(False)).alias("anomaly"),
+    )
+    found = lookup(facts, times, ["src_ip", "ts_us"], "rows", "left")
     label = (
         F.when(F.col("scan"), F.lit(SCAN_LABEL))
-        .when(signed, F.lit(MATCH_LABEL))
-        .when(is_anomaly(F.col("score"), threshold) | (F.col("model_class") == 1), F.lit("Anomaly Detected"))
+        .when(F.col("signed"), F.lit(MATCH_LABEL))
+        .when(F.col("anomaly"), F.lit("Anomaly Detected"))
     )
     return (
-        packets.join(scans, "packet_id", "left")
+        found.withColumn("scan", F.when(F.col("counted") & F.col("n_ports").isNotNull(), True))
         .withColumn("attack_type", label)
         .where(F.col("attack_type").isNotNull())
         .select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -21,23 +23,29 @@ def alert_id(*names: str):
 
 
 def with_alert_id(alerts: DataFrame) -> DataFrame:
+    """The packet, if known, tells apart what one source did in the same instant."""
+    packet = ["packet_id"] if "packet_id" in alerts.columns else []
     return alerts.withColumn(
-        "alert_id", alert_id("timestamp", "source_ip", "destination_ip", "protocol", "attack_type")
+        "alert_id", alert_id("timestamp", "source_ip", "destination_ip", "protocol", "attack_type", *packet)
     )
 
 
+def _write(alerts: DataFrame, path: str, batch: str) -> None:
+    """One layout for jobs and streams: folders by day and, below, by who wrote them."""
+    rows = with_alert_id(alerts).withColumn("day", F.col("timestamp").try_cast("date")).withColumn("batch", F.lit(batch))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+
+
 def append_alerts(alerts: DataFrame, path: str) -> None:
-    """Append to the Parquet log, partitioned by day."""
-    with_alert_id(alerts).withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy(
-        "day"
-    ).parquet(path)
+    """Append to the Parquet log."""
+    _write(alerts, path, f"job-{uuid.uuid4().hex}")
 
 
-def append_batch(path: str):
-    """``foreachBatch`` writer: each micro-batch owns one folder, so a replayed one is replaced."""
+def append_batch(path: str, stream: str = "stream"):
+    """``foreachBatch`` writer: a micro-batch owns its folders, so a replayed one replaces them."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        with_alert_id(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
+        _write(batch, path, f"{stream}-{batch_id:012d}")
 
     return write
 

@@ -111,10 +111,12 @@ def test_late_packets_are_dropped(spark, tmp_path):
 
 
 def test_replayed_batch_writes_once(spark, tmp_path):
-    from netwarden.sources.alert_logs import append_batch, read_alerts
+    from netwarden.sources.alert_logs import append_alerts, append_batch, read_alerts
 
     alerts = spark.createDataFrame([("t", "s", "d", "6", "x")], "timestamp string, source_ip string, destination_ip string, protocol string, attack_type string")
     write_batch = append_batch(str(tmp_path / "log"))
     for batch_id in (0, 1, 1):
         write_batch(alerts, batch_id)
     assert read_alerts(spark, str(tmp_path / "log")).count() == 2
+    append_alerts(alerts.withColumn("timestamp", F.lit("2024-01-02 03:04:05")), str(tmp_path / "log"))
+    assert read_alerts(spark, str(tmp_path / "log")).count() == 3
