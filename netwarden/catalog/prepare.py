@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +56,14 @@ def s2(mode: str):
     return run
 
 
+def s2_subset(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns that are well-formed in every line, from a file with lines that are bad elsewhere."""
+    path = flow_csv(spark, folder, broken=True)
+    one = flows.scan(spark, path, FLOW_CSV, ["linestatus"], bad_lines="skip")
+    rows = flows.scan(spark, path, FLOW_CSV, bad_lines="skip")
+    return one.groupBy("linestatus").agg(F.count(F.lit(1)).alias("n")).withColumn("lines", F.lit(rows.count()))
+
+
 def s3(spark: SparkSession, folder: str) -> DataFrame:
     df = flows.parse_cells(standins.dirty_flows(spark, folder), {c: "double" for c in FEATURES})
     return df.agg(
@@ -293,6 +302,17 @@ def e6(spark: SparkSession, folder: str) -> DataFrame:
     return out.groupBy(LABEL, "linestatus").agg(*[F.sum(c).alias(c) for c in hot])
 
 
+def e6v(spark: SparkSession, folder: str) -> DataFrame:
+    """A column with very many values; the last place of the vector is for values not seen when fitting."""
+    orders = standins.table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    known = encode.fit_dictionary(orders.where("o_orderkey % 5 <> 0"), "o_custkey")
+    out = encode.one_hot_vectors(orders, "o_custkey", known, "hot")
+    cells = vector_to_array("hot")
+    return out.select(
+        "o_orderkey", (F.array_position(cells, F.lit(1.0)) - 1).alias("place"), F.size(cells).alias("width")
+    )
+
+
 def e7(spark: SparkSession, folder: str) -> DataFrame:
     rows = standins.flows(spark, folder).withColumn("text", F.col(LABEL))
     return encode.label_codes(rows).groupBy("text").agg(F.min(LABEL).alias("code"), F.count(F.lit(1)).alias("n"))
@@ -376,6 +396,7 @@ QUERIES = {
     "S1_csv_scan": s1,
     "S2_bad_lines_warn": s2("warn"),
     "S2_bad_lines_skip": s2("skip"),
+    "S2_bad_lines_subset": s2_subset,
     "S3_na_tokens": s3,
     "S4_schema_sampling": s4,
     "S5_structure_validation": s5,
@@ -410,6 +431,7 @@ QUERIES = {
     "E4_packet_features": e4,
     "E5_dictionary_encode": e5,
     "E6_one_hot": e6,
+    "E6_one_hot_vectors": e6v,
     "E7_label_codes": e7,
     "E8_min_max_scale": e8,
     "E9_standard_scale": e9,
@@ -485,6 +507,11 @@ ORACLE = {
     "S2_bad_lines_skip": with_views(
         "flows", "SELECT count(*) AS good_lines, round(sum(quantity), 2) AS quantity FROM flows WHERE quantity <> 7"
     ),
+    "S2_bad_lines_subset": with_views(
+        "flows",
+        """SELECT linestatus, count(*) AS n, (SELECT count(*) FROM flows WHERE quantity <> 7) AS lines
+FROM flows WHERE quantity <> 7 GROUP BY linestatus""",
+    ),
     "S3_na_tokens": with_views(
         "dirty_flows",
         "WITH num AS (SELECT " + ", ".join(f"CASE WHEN trim({c}) IN {_TOKENS} THEN NULL ELSE TRY_CAST({c} AS DOUBLE) END AS {c}" for c in _ALL)
@@ -636,6 +663,9 @@ SELECT packet_id, coalesce(code, (SELECT count(*) FROM d)) AS code FROM packets
   sum(CASE WHEN Label = 'R' THEN 1.0::DOUBLE ELSE 0 END) AS Label_R, sum(CASE WHEN linestatus = 'F' THEN 1.0::DOUBLE ELSE 0 END) AS linestatus_F,
   sum(CASE WHEN linestatus = 'O' THEN 1.0::DOUBLE ELSE 0 END) AS linestatus_O FROM flows GROUP BY ALL""",
     ),
+    "E6_one_hot_vectors": """WITH k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM
+  (SELECT DISTINCT o_custkey::VARCHAR AS v FROM orders WHERE o_orderkey % 5 <> 0)), n AS (SELECT count(*) AS n FROM k)
+SELECT o_orderkey, coalesce(code, n) AS place, n + 1 AS width FROM orders LEFT JOIN k ON o_custkey::VARCHAR = v, n""",
     "E7_label_codes": with_views(
         "flows",
         f"WITH d AS {_codes('flows', 'Label')} SELECT Label AS text, min(code) AS code, count(*) AS n FROM flows JOIN d ON Label = v GROUP BY Label",
