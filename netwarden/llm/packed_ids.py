@@ -27,6 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from netwarden.llm.tokens import encoder
+from netwarden.plans.scale import stage
 
 # Selector -> (ids in a word, bits of each); fixed by the format. Selector 0 is an escape, 15 a run of zeros.
 LAYOUT = {
@@ -178,6 +179,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     totals = records.groupBy("shard").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n)).alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))
+    # Written first, so that its size is known and decides how it is joined.
+    bases = stage(bases, "bases")
     placed = records.join(bases, "shard").select((F.col("base") + F.col("start")).alias("start"), "ids", "sizes", "words", "literals")
     element = records.schema["ids"].dataType.elementType
     schema = T.StructType(

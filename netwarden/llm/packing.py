@@ -31,6 +31,8 @@ from netwarden.plans.scale import stage_path
 LENGTH = 2048
 END_ID = 0
 GROUP_PIECES = 1 << 14
+# Ids after which a task hands its pieces on.
+EMIT_IDS = 1 << 19
 
 
 def token_pieces(
@@ -52,7 +54,7 @@ def token_pieces(
         library = encoder(vocabulary)
         place = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows, pieces, starts, sizes, tokens = [], [], [], [], []
+            rows, pieces, starts, sizes, tokens, held = [], [], [], [], [], 0
             for row, ids in enumerate(library.encode(batch.column(1))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 first = len(ids) % length or length
@@ -63,16 +65,19 @@ def token_pieces(
                     starts.append(a)
                     sizes.append(b - a)
                     tokens.append(ids[a:b].tobytes())
-            columns = [
-                pa.array(np.arange(place, place + len(rows))),
-                batch.column(0).take(pa.array(rows, pa.int64())),
-                pa.array(pieces, pa.int32()),
-                pa.array(starts, pa.int64()),
-                pa.array(sizes, pa.int64()),
-                pa.array(tokens, pa.binary()),
-            ]
-            place += len(rows)
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
+                held += len(ids)
+                if held >= EMIT_IDS or row == batch.num_rows - 1:
+                    columns = [
+                        pa.array(np.arange(place, place + len(rows))),
+                        batch.column(0).take(pa.array(rows, pa.int64())),
+                        pa.array(pieces, pa.int32()),
+                        pa.array(starts, pa.int64()),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(tokens, pa.binary()),
+                    ]
+                    place += len(rows)
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
+                    rows, pieces, starts, sizes, tokens, held = [], [], [], [], [], 0
 
     made = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
     path = stage_path(docs.sparkSession, "pieces")

@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Pieces and ids a worker remembers before it starts anew, and bytes of text that it cuts at once.
-MAX_PIECES = 1_000_000
-MAX_IDS = 8_000_000
-SLICE_BYTES = 8 << 20
+# Pieces and ids a worker remembers at most, and bytes of text that it cuts at once.
+MAX_PIECES = 300_000
+MAX_IDS = 4_000_000
+SLICE_BYTES = 1 << 20
 # White space beyond single spaces and line breaks between words.
 IRREGULAR = r"[ \n](?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]\n|\A[ \n]"
 
@@ -50,6 +50,18 @@ class Encoder:
         self.used = 0
         self.starts = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int64)
+        # Whether a piece was met again after the slice in which it was learned.
+        self.again = np.zeros(1 << 16, bool)
+
+    def _shrink(self) -> None:
+        """Keep the pieces that were met again, the oldest of them if these are many."""
+        kept = [(p, n) for p, n in self.numbers.items() if self.again[n]][: MAX_PIECES // 2]
+        pool, starts, sizes = self.pool, self.starts, self.sizes
+        self._forget()
+        if kept:
+            ids = [pool[starts[n] : starts[n] + sizes[n]] for _, n in kept]
+            if sum(map(len, ids)) <= MAX_IDS // 2:
+                self._remember([p for p, _ in kept], np.concatenate(ids), np.array([len(x) for x in ids]))
 
     def _remember(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         have, end = len(self.numbers), self.used + len(ids)
@@ -58,6 +70,7 @@ class Encoder:
         while have + len(pieces) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
         self.pool[self.used : end] = ids
         self.starts[have : have + len(pieces)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[have : have + len(pieces)] = sizes
@@ -87,8 +100,10 @@ class Encoder:
         coded = cut.flatten().dictionary_encode()
         pieces = coded.dictionary.to_pylist()
         if len(self.numbers) + len(pieces) > MAX_PIECES or self.used > MAX_IDS:
-            self._forget()
-        self._learn([p for p in pieces if p and p not in self.numbers])
+            self._shrink()
+        known = np.fromiter((self.numbers.get(p, -1) for p in pieces), np.int64, len(pieces))
+        self.again[known[known >= 0]] = True
+        self._learn([pieces[k] for k in np.flatnonzero(known < 0).tolist() if pieces[k]])
         # The empty piece before the first line break has no ids.
         number = np.fromiter((self.numbers[p] if p else -1 for p in pieces), np.int64, len(pieces))
         number = number[coded.indices.to_numpy()]
@@ -115,11 +130,11 @@ class Encoder:
 
     def encode(self, texts: pa.Array):
         """Yield the ids of each text, null like empty, as unsigned 32-bit integers."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(texts):
             before = sizes[at - 1] if at else 0
             end = max(at + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
-            yield from self._encode(texts[at:end])
+            yield from self._encode(pc.fill_null(texts[at:end].cast(pa.large_string()), ""))
             at = end
+        pa.default_memory_pool().release_unused()
