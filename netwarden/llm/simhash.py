@@ -112,7 +112,7 @@ def close_pairs(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             table_gap = np.abs(table[at + shift] - table[at]).max(axis=1)
             at = at[table_gap <= max_bits]
             a, b = fp[at], fp[at + shift]
-            gap = np.bitwise_count(a ^ b)
+            gap = np.bitwise_count((a ^ b).view("<u8"))
             hit = (gap > 0) & (gap <= max_bits)
             yield a[hit], b[hit]
 
