@@ -162,7 +162,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
     groups = near_duplicates(keyed, "key")
-    winners = stage(groups.select("component.doc_id", "component.h").distinct(), "winners")
-    met = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("h"))
-    chosen = wrapped(docs).join(winners, met).dropDuplicates(["doc_id", "h"])
-    return chosen.select("row.*")
+    winners = stage(groups.select(F.col("component").alias("key")).distinct(), "winners")
+    key = F.struct(F.col("row.doc_id"), F.xxhash64("row.text").alias("h")).cast(winners.schema["key"].dataType)
+    rows = wrapped(docs).withColumn("key", key)
+    # Joined and reduced by the same key, so that texts are shuffled once.
+    return rows.join(winners, "key").dropDuplicates(["key"]).select("row.*")
