@@ -15,9 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Pieces and ids a worker remembers at most, and bytes of text that it cuts at once.
-MAX_PIECES = 300_000
+MAX_PIECES = 500_000
 MAX_IDS = 4_000_000
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 # White space beyond single spaces and line breaks between words.
 IRREGULAR = r"[ \n](?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]\n|\A[ \n]"
 
