@@ -8,7 +8,7 @@ not by data. Training walks through texts in windows of ``WINDOW`` tokens so tha
 stepped at once; every token of every training text is in one window, and windows inside a text have a
 start distribution of their own. Scoring runs over whole texts without windows.
 
-Counts of the ``KNOWN`` most frequent words, of bounded length, are sent to all tasks. Any other word is looked
+Counts of the most frequent words, at most ``KNOWN`` and of bounded length, are sent to all tasks. Any other word is looked
 up by a join, so the vocabulary has no limit.
 
 Defined cases: a null or empty text is the end symbol alone; a null id counts as id text ``""``; repeated rows
@@ -61,15 +61,33 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most ``most`` words of bounded length: all those above the lowest count that allows it.
+
+    Words are counted by the size of their count, in at most a thousand steps, so that no
+    task has to rank them.
+    """
+    sized = counts.where(F.octet_length("word") <= KNOWN_BYTES).withColumn(
+        "step", F.floor(F.log2("c") * 16).cast("int")
+    )
+    steps = {r["step"]: r["count"] for r in sized.groupBy("step").count().collect()}
+    lowest, total = 1 << 30, 0
+    for step in sorted(steps, reverse=True):
+        total += steps[step]
+        if total > most:
+            break
+        lowest = step
+    top = sized.where(F.col("step") >= lowest).select("word", "c").toArrow()
+    return list(zip(top.column("word").to_pylist(), top.column("c").to_pylist()))
+
+
 class Vocabulary:
     """What tasks need to turn words into symbols and shares; bounded by ``KNOWN``."""
 
     def __init__(self, counts: DataFrame, ends: int, symbols: int = SYMBOLS, known: int = KNOWN):
-        top = (
-            counts.where(F.octet_length("word") <= KNOWN_BYTES).orderBy(F.desc("c"), "word").limit(known).toArrow()
-        )
-        self.words = top.column("word").to_pylist()
-        self.counts = top.column("c").to_numpy().astype(np.float64)
+        top = sorted(_frequent(counts, known), key=lambda r: (-r[1], r[0]))
+        self.words = [word for word, _ in top]
+        self.counts = np.array([c for _, c in top], np.float64)
         whole = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
         self.ends = ends
         self.total = int(whole[1]) + ends
