@@ -90,7 +90,8 @@ def best_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     path = stage(ranked.select(F.col("at").alias("leaf"), "rank", "at"), "path")
     for jumps_back in reversed(tables[:-1]):
         moved = path.join(jumps_back.select("at", "up"), "at").where(F.col("up").isNotNull())
-        path = path.union(moved.select("leaf", "rank", F.col("up").alias("at"))).distinct()
+        # Written each time: otherwise every round would repeat the plans of all rounds before it.
+        path = stage(path.union(moved.select("leaf", "rank", F.col("up").alias("at"))).distinct(), "path")
     depth = settled.select("at", "depth")
     return path.join(depth, "at").select(
         F.col("at.tree").alias("tree"), F.col("leaf.node").alias("leaf"), "rank", F.col("at.node").alias("node"), "depth"
@@ -102,7 +103,7 @@ def formatted(messages: DataFrame, best: int = 1) -> DataFrame:
 
     ``loss`` lists ``(start, end)`` of the assistant's texts, in code points.
     """
-    paths = best_paths(messages, best)
+    paths = stage(best_paths(messages, best), "paths")
     said = messages.select(
         F.struct("tree", "node").alias("at"),
         escape_role(F.coalesce("role", F.lit(""))).alias("head"),
