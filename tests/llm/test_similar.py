@@ -1,0 +1,81 @@
+"""Near-duplicates by shingle similarity, against brute force over the same texts."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from netwarden.llm import similar, simhash
+from tests.llm.helpers import FOLDER, documents, with_clashes
+from tests.llm.test_corpus import ODD, roots_of
+
+
+def shingles_of(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def survivors(texts):
+    sets = {i: shingles_of(t) for i, t in texts.items()}
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if similarity(sets[a], sets[b]) >= 0.8]
+    return set(roots_of(ids, links).values()), links
+
+
+def edited(draw, words, edits):
+    words = list(words)
+    for at in draw.sample(range(len(words)), edits):
+        words[at] = f"edit{draw.random()}"
+    return " ".join(words)
+
+
+def family(draw, size, most):
+    base = [f"w{draw.randrange(10**6)}" for _ in range(160)]
+    return [edited(draw, base, draw.randint(0, most)) for _ in range(size)]
+
+
+@pytest.mark.parametrize("block", [2048, 8])
+def test_same_groups_as_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    draw = random.Random(3)
+    texts = ODD + [t for _ in range(8) for t in family(draw, 30, 10)] + ["two words", "TWO  words", "a b c d e", "a b c d f"]
+    texts = dict(enumerate(texts))
+    docs = with_clashes(documents(spark, list(texts.items())))
+    kept = similar.keep_one(docs)
+    wanted, links = survivors(texts)
+    assert {r.doc_id for r in kept.collect()} == wanted and kept.count() == len(wanted) and kept.columns == docs.columns
+    assert len(links) > 200 and len(wanted) > 20
+    assert similar.keep_one(documents(spark, [])).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    docs = documents(spark, [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, None), (None, ""), (7, "q r s")])
+    assert sorted(" ".join((r.text or "").split()) for r in similar.keep_one(docs).collect()) == ["", "a b c d", "q r s"]
+
+
+def test_pipeline_stage_links_copies_beyond_two_bits(spark):
+    import corpus_pipeline
+
+    draw = random.Random(4)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(160)]
+    whole = " ".join(base)
+    copies = [t for t in (edited(draw, base, 2) for _ in range(40))]
+    far = [t for t in copies if (simhash.fingerprint(t.encode()) ^ simhash.fingerprint(whole.encode())).bit_count() > 2]
+    docs = documents(spark, [whole, *far])
+    assert far and all(similarity(shingles_of(whole), shingles_of(t)) >= 0.8 for t in far)
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert [r.doc_id for r in stage(spark, docs, FOLDER).collect()] == [0]
+
+
+def test_pipeline_stage_on_documents(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    wanted, links = survivors(dict(docs.select("doc_id", "text").collect()))
+    found = stage(spark, docs, FOLDER)
+    assert sorted(r.doc_id for r in found.collect()) == sorted(wanted) and links and found.columns == docs.columns
