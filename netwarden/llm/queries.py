@@ -7,7 +7,21 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netwarden.llm import chat, decontaminate, hmm, licenses, lines, packed_ids, packing, quality, secret_scan, simhash
+from netwarden.llm import (
+    chat,
+    decontaminate,
+    hmm,
+    lexical,
+    licenses,
+    lines,
+    lsh,
+    negatives,
+    packed_ids,
+    packing,
+    quality,
+    secret_scan,
+    simhash,
+)
 from netwarden.plans.scale import stage, stage_path
 
 
@@ -103,6 +117,21 @@ def op10_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_multiprobe_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    return lsh.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op12_nra_search(spark: SparkSession, folder: str) -> DataFrame:
+    found = lexical.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op13_shared_list_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, folder, "embeddings"), F.col("id") % 100 == 0, label)
+
+
 QUERIES = {
     f.__name__: f
     for f in [
@@ -116,12 +145,15 @@ QUERIES = {
         op8_sum_of_squares_packing,
         op9_line_dedup,
         op10_benchmark_leaks,
+        op11_multiprobe_neighbours,
+        op12_nra_search,
+        op13_shared_list_negatives,
     ]
 }
 
 SPACES = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _fires(cutoff: str) -> str:
@@ -241,4 +273,54 @@ ORACLE: dict[str, str] = {
         FROM shingles JOIN sized USING (s) GROUP BY doc_id, item_id, n_shingles
         HAVING count(*) >= 0.8 * n_shingles
     """,
+    "op12_nra_search": f"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS doc, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{_TERM}') AS t
+            FROM documents WHERE doc_id IS NOT NULL
+        ),
+        sized AS (SELECT doc_id, doc, t, len(t)::BIGINT AS n FROM d WHERE len(t) > 0),
+        totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS total FROM sized),
+        tf AS (SELECT doc_id, doc, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, doc, n, unnest(t) AS term FROM sized) GROUP BY ALL),
+        items AS (SELECT item_id, min(text) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id),
+        wanted AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{_TERM}')) AS term FROM items
+        ),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM tf, totals GROUP BY term, n_docs
+        ),
+        scored AS (
+            SELECT item_id, doc_id, doc,
+                sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // total))))::BIGINT AS score
+            FROM wanted JOIN tf USING (term) JOIN weights USING (term), totals GROUP BY item_id, doc_id, doc
+        ),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, doc) AS rank FROM scored WHERE score > 0
+        )
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 50
+    """,
+    "op13_shared_list_negatives": """
+        WITH fine AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x,
+                CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        pairs AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                list_inner_product(a.x::DOUBLE[], b.x::DOUBLE[])::BIGINT AS score
+            FROM fine a JOIN fine b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+        ),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id,
+            (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+            vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN pairs USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10
+    """,
 }

@@ -28,7 +28,7 @@ def rows(df):
 
 def oracle(sql, folder=FOLDER):
     con = duckdb.connect()
-    for name in ("documents", "benchmark", "labels", "conversations"):
+    for name in ("documents", "benchmark", "labels", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     found = con.execute(sql)
     names = [d[0] for d in found.description]
