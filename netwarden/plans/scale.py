@@ -50,7 +50,7 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
+def remove_at_exit(spark: SparkSession, path: str) -> None:
     """Have the file system delete ``path`` when the application ends."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
@@ -60,7 +60,7 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once and read it back: lineage is cut and lost executors cost nothing."""
     path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
-    _remove_at_exit(df.sparkSession, path)
+    remove_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
