@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from netwarden.llm.common import running
 from netwarden.plans.scale import stage
 
 OPEN, CLOSE = "<turn>", "</turn>\n"
@@ -117,17 +118,13 @@ def formatted(messages: DataFrame, best: int = 1) -> DataFrame:
     written = F.transform(
         "turns", lambda t: F.concat(F.lit(OPEN), t["head"], F.lit("\n"), t["body"], F.lit(CLOSE))
     )
-    row = "array<struct<start:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(row).alias("out"))
 
-    def step(a, t):
-        begin = a["at"] + len(OPEN) + F.length(t["head"]) + 1
+    def step(at, t):
+        begin = at + len(OPEN) + F.length(t["head"]) + 1
         end = begin + F.length(t["body"])
-        one = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        out = F.when(t["learned"], F.concat(a["out"], one)).otherwise(a["out"])
-        return F.struct((end + len(CLOSE)).alias("at"), out.cast(row).alias("out"))
+        return end + len(CLOSE), F.when(t["learned"], F.struct(begin.alias("start"), end.alias("end")))
 
-    loss = F.aggregate("turns", start, step, lambda a: a["out"])
+    loss = running(F.col("turns"), "struct<start:int,end:int>", step)
     return turns.select("tree", "leaf", "rank", F.array_join(written, "").alias("text"), loss.alias("loss"))
 
 

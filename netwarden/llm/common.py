@@ -29,6 +29,39 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BREAK))
 
 
+# Elements that one inner fold of ``running`` takes.
+CHUNK = 256
+
+
+def running(values: Column, one: str, step) -> Column:
+    """The list that ``step`` makes from ``values`` while it carries an int, ``at``.
+
+    ``step(at, value)`` gives ``(next at, element or null)``; ``one`` is the element's type. Lists grow
+    within stretches of ``CHUNK`` values and are joined once per stretch, so that many values cost
+    little more than few.
+    """
+    none = F.array().cast(f"array<{one}>")
+
+    def stretch(every: Column):
+        def grow(a, x):
+            at, new = step(a["at"], x)
+            more = F.when(new.isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(new)))
+            return F.struct(at.alias("at"), more.cast(f"array<{one}>").alias("out"))
+
+        def join(a, chunk):
+            start = F.struct(a["at"].alias("at"), none.alias("out"))
+            part = F.slice(every, chunk * CHUNK + 1, F.lit(CHUNK))
+            return F.aggregate(
+                part, start, grow, lambda b: F.struct(b["at"].alias("at"), F.concat(a["out"], b["out"]).alias("out"))
+            )
+
+        chunks = F.sequence(F.lit(0), F.floor((F.size(every) - 1) / CHUNK).cast("int"))
+        begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.when(F.size(every) == 0, none).otherwise(F.aggregate(chunks, begin, join, lambda a: a["out"]))
+
+    return F.get(F.transform(F.array(values), stretch), 0)
+
+
 def connected(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """``(node, root)``: for every node of the undirected ``edges`` the smallest node it is linked with.
 

@@ -1,9 +1,10 @@
 """Secrets in texts: fixed patterns, and strings whose characters are too evenly spread to be words.
 
-Candidates of the second kind are long runs of one character class. A window slides over a run; when
-a character enters or leaves, only its own count changes, so the entropy is carried along by two
-terms of ``c log c`` per step. A run is reported from the first to the last window above the threshold
-of its class, unless the allow-list knows its shape.
+Candidates of the second kind are long runs of one character class. A window slides over a run and
+carries the count of every character of the class along, packed in a string. When a character enters
+or leaves, only its own count is read and written, and the sum of ``c log c`` changes by two terms. A
+run is reported from the first to the last window above the threshold of its class, unless the
+allow-list knows its shape, or next to nothing is left of it without a placeholder's words.
 
 Everything is built from SQL functions on the row of the text; nothing is shuffled. Defined cases: a
 null or empty text has no spans; repeated rows and null ids are answered row by row; an empty table
@@ -17,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netwarden.llm.common import running
+
 # Fixed patterns, in the order in which kinds with the same start are listed. Of ``assign`` the value,
 # of the others the whole match has a smallest length; shorter matches are dropped, not looked past.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -26,10 +29,12 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
 WINDOW = 20
-# Character class -> (pattern of its runs, least entropy of a window in bits per character).
+_HEX_DIGITS = "0123456789ABCDEFabcdef"
+_BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+# Character class -> (pattern of its runs, least entropy of a window in bits per character, its characters).
 CLASSES = {
-    "entropy_hex": (r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{20,}", 3.0),
-    "entropy_base64": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", 3.8),
+    "entropy_hex": (r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{20,}", 3.0, _HEX_DIGITS),
+    "entropy_base64": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", 3.8, _BASE64),
 }
 # Shapes that are no secrets however evenly their characters are spread.
 ALLOWED = {
@@ -37,8 +42,9 @@ ALLOWED = {
     "number": r"^[0-9_=+/-]+$",
     "universally unique id": r"^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$",
     "words joined by marks": r"^(?:[A-Za-z]+|[0-9]+)(?:[+/_=-]+(?:[A-Za-z]+|[0-9]+))+$",
-    "placeholder": r"(?i:example|placeholder|x{6}|0123456789|abcdefghij)",
 }
+# Words that mark a placeholder. They only excuse a run that is shorter than a window without them.
+PLACEHOLDER = r"(?i:example|placeholder|x{6,}|0123456789|abcdefghij)"
 KINDS = ["assign", "access", "hex", *CLASSES]
 
 
@@ -51,18 +57,14 @@ def found(text: Column, pattern: str) -> Column:
     between = F.split(text, pattern)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     row = "struct<start:int,match:string>"
-    none = F.struct(F.lit(0).alias("at"), _empty(row).alias("out"))
 
-    def step(a, x):
-        start = a["at"] + F.length(x["between"])
+    def step(at, x):
+        start = at + F.length(x["between"])
         end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), x["match"].alias("match")))
-        more = F.when(x["match"].isNull(), a["out"]).otherwise(F.concat(a["out"], one))
-        return F.struct(end.alias("at"), more.cast(f"array<{row}>").alias("out"))
+        return end, F.when(x["match"].isNotNull(), F.struct(start.alias("start"), x["match"].alias("match")))
 
     zipped = F.arrays_zip(between.alias("between"), matches.alias("match"))
-    every = F.aggregate(zipped, none, step, lambda a: a["out"])
-    return F.when(text.rlike(pattern), every).otherwise(_empty(row))
+    return F.when(text.rlike(pattern), running(zipped, row, step)).otherwise(_empty(row))
 
 
 def _span(kind: str, start: Column, end: Column) -> Column:
@@ -75,48 +77,62 @@ def _whole(kind: str, matches: Column) -> Column:
     return F.transform(matches, lambda m: _span(kind, m["start"], m["start"] + F.length(m["match"])))
 
 
-def high_windows(run: Column, least: float, window: int = WINDOW) -> Column:
+def high_windows(run: Column, least: float, alphabet: str, window: int = WINDOW) -> Column:
     """``(first, last)``: where the first window of ``run`` with entropy ``least`` or more begins and the last ends.
 
     ``sum`` is the sum of ``c log2 c`` over the counts ``c`` in the window; the entropy is
-    ``log2(window) - sum / window``.
+    ``log2(window) - sum / window``. ``counts`` holds a letter per character of ``alphabet``, A for none.
     """
     weights = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
+    zero = ord("A")
 
     def slide(chars):
-        def count(i, size, char):
-            """Occurrences of ``char`` among the ``size`` characters that end at place ``i``."""
-            begin = F.greatest(i - size + 1, F.lit(1))
-            return F.size(F.filter(F.slice(chars, begin, i - begin + 1), lambda x: x == char))
-
-        def step(a, i):
-            new = F.get(chars, i - 1)
-            after = count(i, window, new)
-            grown = F.get(weights, after) - F.get(weights, after - 1)
-            before = count(i - 1, window, F.get(chars, i - window - 1))
-            shrunk = F.when(i > window, F.get(weights, before) - F.get(weights, before - 1)).otherwise(0.0)
-            total = a["sum"] + grown - shrunk
-            high = (i >= window) & (F.lit(math.log2(window)) - total / window >= F.lit(least - 1e-9))
+        def change(a, place, by):
+            """``counts`` and ``sum`` after the character of ``place`` entered (1) or left (-1)."""
+            slot = F.instr(F.lit(alphabet), F.get(chars, place))
+            count = F.ascii(F.substr(a["counts"], slot, F.lit(1))) - zero
+            counts = F.overlay(a["counts"], F.char(count + (zero + by)), slot, F.lit(1))
+            return counts, a["sum"] + F.get(weights, count + by) - F.get(weights, count)
+
+        def step(a, j):
+            # Two steps per character: first the one that falls out, then the one that comes in.
+            i = F.shiftright(j, 1)
+            leaves = (j % 2 == 0) & (i > window)
+            fewer, less = change(a, i - window - 1, -1)
+            more, sum_ = change(a, i - 1, 1)
+            entered = j % 2 == 1
+            total = F.when(entered, sum_).when(leaves, less).otherwise(a["sum"])
+            high = entered & (i >= window) & (F.lit(math.log2(window)) - sum_ / window >= F.lit(least - 1e-9))
             return F.struct(
+                F.when(entered, more).when(leaves, fewer).otherwise(a["counts"]).alias("counts"),
                 total.alias("sum"),
                 F.when(high, F.coalesce(a["first"], i - window)).otherwise(a["first"]).alias("first"),
                 F.when(high, i).otherwise(a["last"]).alias("last"),
             )
 
         nowhere = F.lit(None).cast("int")
-        start = F.struct(F.lit(0.0).alias("sum"), nowhere.alias("first"), nowhere.alias("last"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, step)
+        start = F.struct(
+            F.lit("A" * len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"),
+            nowhere.alias("first"), nowhere.alias("last"),
+        )
+        steps = F.sequence(F.lit(2), 2 * F.size(chars) + 1)
+        return F.aggregate(steps, start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
     chars = F.split(run, "")
     return F.get(F.transform(F.array(chars), slide), 0)
 
 
 def _uneven(kind: str, text: Column) -> Column:
-    pattern, least = CLASSES[kind]
+    pattern, least, alphabet = CLASSES[kind]
     allowed = "|".join(f"(?:{shape})" for shape in ALLOWED.values())
-    wanted = F.filter(found(text, pattern), lambda m: ~m["match"].rlike(allowed))
+
+    def unknown(m):
+        rest = F.regexp_replace(m["match"], PLACEHOLDER, "")
+        return ~m["match"].rlike(allowed) & (F.length(rest) >= WINDOW)
+
+    wanted = F.filter(found(text, pattern), unknown)
     marked = F.transform(
-        wanted, lambda m: F.struct(m["start"].alias("start"), high_windows(m["match"], least).alias("w"))
+        wanted, lambda m: F.struct(m["start"].alias("start"), high_windows(m["match"], least, alphabet).alias("w"))
     )
     return F.transform(
         F.filter(marked, lambda m: m["w"]["first"].isNotNull()),
