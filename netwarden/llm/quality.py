@@ -9,7 +9,9 @@ first failure ends the series (fixed-sequence testing, which needs no further co
 probability ``1 - DELTA`` no stratum loses more than ``ALPHA`` of its good documents to all rules together.
 
 A stratum with too few good labels to certify any cutoff is judged by the pooled stratum, which takes in
-all such strata; if that is too small as well, only the fixed base rules reject.
+all such strata; if that is too small as well, only the fixed base rules reject. How many labels are enough
+depends on the number of strata, as all share ``DELTA``: from the best labelled language down, as many get
+cutoffs of their own as could certify one beside the others and the pool.
 
 Defined cases: a null text has no words and fails the base rules; a document labelled more than once is
 good only if all labels say so; null labels are ignored; null languages belong to the pooled stratum;
@@ -26,14 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from netwarden.llm.common import SPACES, words, wrapped
-from netwarden.plans.scale import stage
+from netwarden.plans.scale import pin_small, stage
 
 ALPHA = 0.03
 DELTA = 0.05
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-# Strata that get cutoffs of their own, the best labelled first; the others are pooled.
-MAX_STRATA = 256
 POOLED = "*"
 
 # Rules: name -> (left side, right side without the cutoff, cutoffs from lenient to strict).
@@ -145,6 +145,12 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
     return F.when(k >= n * F.lit(rate), 1.0).otherwise(F.exp(top) * total)
 
 
+def least_labels(strata: Column | int) -> Column:
+    """Good documents that certify a cutoff which rejects none of them, if ``strata`` share ``DELTA``."""
+    share = F.lit(DELTA / len(RULES)) / strata
+    return F.ceil(F.log(share) / F.lit(math.log1p(-ALPHA / len(RULES))))
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, row_id: str = "doc_id", stratum: str = "lang") -> DataFrame:
     """``(stratum, rule, cutoff, n_good, n_rejected)``: the strictest certified cutoff of each rule.
 
@@ -163,18 +169,22 @@ def cutoffs(measured: DataFrame, labels: DataFrame, row_id: str = "doc_id", stra
         F.sum(F.when(_fires(rule, cut), 1).otherwise(0)).cast("long").alias(f"k_{rule}_{nth}")
         for rule, nth, cut in cells
     ]
-    own = judged.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *sums)
-    # How many good documents without a rejection certify a cutoff, were there one stratum only.
-    least = math.ceil(math.log(DELTA / len(RULES)) / math.log1p(-ALPHA / len(RULES)))
-    big = own.where(F.col("stratum").isNotNull() & (F.col("n") >= least)).orderBy(F.desc("n"), "stratum").limit(MAX_STRATA)
-    names = big.select(F.col("stratum").alias("__big"))
-    rest = own.join(F.broadcast(names), F.col("stratum") == F.col("__big"), "left_anti")
+    own = stage(judged.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *sums), "labelled")
+    # Languages that could have cutoffs of their own beside the pool; one row each, with labels by the hundred.
+    able = own.where(F.col("stratum").isNotNull() & (F.col("n") >= least_labels(F.lit(2))))
+    ranked = able.select(
+        "stratum", "n", F.row_number().over(Window.orderBy(F.desc("n"), "stratum")).alias("nth")
+    )
+    upto = ranked.where(F.col("n") >= least_labels(F.col("nth") + 1)).agg(F.max("nth")).first()[0] or 0
+    names = ranked.where(F.col("nth") <= upto).select(F.col("stratum").alias("__big"))
+    big = own.join(names, F.col("stratum") == F.col("__big"), "left_semi")
+    rest = own.join(names, F.col("stratum") == F.col("__big"), "left_anti")
     numbers = ["n", *[f"k_{rule}_{nth}" for rule, nth, _ in cells]]
     pooled = rest.select(F.lit(POOLED).alias("stratum"), *numbers).groupBy("stratum").agg(
         *[F.sum(c).alias(c) for c in numbers]
     )
-    counted = stage(big.unionByName(pooled), "labelled")
-    tests = counted.count() * len(RULES)
+    counted = stage(big.unionByName(pooled), "strata")
+    tests = (upto + 1) * len(RULES)
     tries = counted.select(
         "stratum",
         "n",
@@ -191,7 +201,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, row_id: str = "doc_id", stra
         ).alias("x"),
     ).select("stratum", "n", "x.*")
     tail = binomial_tail(F.col("k"), F.col("n"), ALPHA / len(RULES))
-    tested = tries.withColumn("passes", tail <= F.lit(DELTA / max(tests, 1)))
+    tested = tries.withColumn("passes", tail <= F.lit(DELTA / tests))
     upto = Window.partitionBy("stratum", "rule").orderBy("nth")
     certified = tested.withColumn("all", F.min("passes").over(upto)).where("all")
     best = certified.groupBy("stratum", "rule").agg(
@@ -207,17 +217,15 @@ def cutoffs(measured: DataFrame, labels: DataFrame, row_id: str = "doc_id", stra
 
 
 def with_verdict(measured: DataFrame, certified: DataFrame, stratum: str = "lang") -> DataFrame:
-    """``measured`` with ``base_failed`` and ``kept``. ``certified`` has at most ``MAX_STRATA + 1`` strata."""
-    table = (
-        certified.groupBy("stratum")
-        .agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in RULES])
-        .limit(MAX_STRATA + 1)
+    """``measured`` with ``base_failed`` and ``kept``; a row per stratum joins, broadcast if there are few."""
+    table = pin_small(
+        certified.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in RULES])
     )
     cuts = F.struct(*RULES)
     own = table.select(F.col("stratum").alias("__stratum"), cuts.alias("__own"))
     pooled = table.where(F.col("stratum") == POOLED).select(cuts.alias("__pooled"))
     shared = pooled.first()
-    met = measured.join(F.broadcast(own), F.col(stratum) == F.col("__stratum"), "left")
+    met = measured.join(own, F.col(stratum) == F.col("__stratum"), "left")
 
     def cutoff(rule: str) -> Column:
         value = shared["__pooled"][rule] if shared else None
@@ -235,10 +243,12 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep."""
-    known = labels.where("quality = 1").select(F.col("doc_id").alias("__known")).distinct()
-    plain = docs.select("doc_id", "lang", "text")
-    holdout = plain.join(known, F.col("doc_id") == F.col("__known"), "left_semi")
-    certified = stage(cutoffs(stage(features(holdout).drop("text"), "holdout"), labels), "cutoffs")
-    rows = wrapped(docs).select("row", F.col("row.lang"), F.col("row.text"))
-    return with_verdict(features(rows), certified).where("kept").select("row.*")
+    """The rows of ``docs`` that the rules keep.
+
+    Every text is measured once and stored beside its measures unless the base rules reject it; labels
+    then meet measures only, and the cutoffs come to the stored rows without a shuffle.
+    """
+    rows = wrapped(docs).select("row", F.col("row.doc_id"), F.col("row.lang"), F.col("row.text"))
+    measured = stage(features(rows).drop("text").where(~base_failed()), "measures")
+    certified = stage(cutoffs(measured.select("doc_id", "lang", "measures"), labels), "cutoffs")
+    return with_verdict(measured.drop("doc_id"), certified).where("kept").select("row.*")

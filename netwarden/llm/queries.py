@@ -111,9 +111,12 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontaminate.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
-    return found.select(
-        F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_shingles", "n_shared", "containment"
+    items = _table(spark, folder, "benchmark")
+    found = decontaminate.leaks(_table(spark, folder, "documents"), items)
+    # Items with equal words are found together; each of them is reported.
+    members = decontaminate.item_classes(items).distinct().withColumnRenamed("item", "item_id")
+    return found.join(members, found["item"] == members["class"]).select(
+        F.col("id").alias("doc_id"), "item_id", "n_shingles", "n_shared", "containment"
     )
 
 
@@ -164,7 +167,13 @@ def _fires(cutoff: str) -> str:
 
 _RULES = ", ".join(f"('{r}', {nth}, {cut})" for r, (_, _, cuts) in quality.RULES.items() for nth, cut in enumerate(cuts))
 _RATE = quality.ALPHA / len(quality.RULES)
-_LEAST = math.ceil(math.log(quality.DELTA / len(quality.RULES)) / math.log1p(-_RATE))
+
+
+def _least(strata: str) -> str:
+    """Good documents that certify a cutoff where ``strata`` share the chance of failure."""
+    return f"ceil(ln({quality.DELTA / len(quality.RULES)!r}::DOUBLE / ({strata})) / {math.log1p(-_RATE)!r}::DOUBLE)"
+
+
 _FAILED = (
     f"(n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words)"
 )
@@ -201,10 +210,12 @@ ORACLE: dict[str, str] = {
         ),
         good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
         judged AS (SELECT m.* FROM m JOIN good USING (doc_id) WHERE NOT {_FAILED}),
-        big AS (
-            SELECT lang FROM judged WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {_LEAST}
-            ORDER BY count(*) DESC, lang LIMIT {quality.MAX_STRATA}
+        able AS (
+            SELECT lang, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, lang) AS nth
+            FROM judged WHERE lang IS NOT NULL GROUP BY lang
         ),
+        own AS (SELECT coalesce(max(nth), 0) AS m FROM able WHERE n >= {_least('nth + 1')}),
+        big AS (SELECT lang FROM able, own WHERE nth <= m),
         held AS (
             SELECT *, CASE WHEN lang IN (SELECT lang FROM big) THEN lang ELSE '{quality.POOLED}' END AS stratum FROM judged
         ),
@@ -220,7 +231,7 @@ ORACLE: dict[str, str] = {
             FROM tries
         ),
         passed AS (
-            SELECT *, min((tail <= {quality.DELTA} / ((SELECT count(DISTINCT stratum) FROM held) * {len(quality.RULES)}))::INT)
+            SELECT *, min((tail <= {quality.DELTA} / ((SELECT m + 1 FROM own) * {len(quality.RULES)}))::INT)
                 OVER (PARTITION BY stratum, rule ORDER BY nth) AS ok
             FROM tails
         ),
@@ -260,17 +271,16 @@ ORACLE: dict[str, str] = {
             FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM worded)
         ),
         items AS (
-            SELECT min(item_id) AS item_id, w
+            SELECT DISTINCT item_id, w
             FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark)
-            GROUP BY w
         ),
         wanted AS (
-            SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
+            SELECT DISTINCT item_id, w, array_to_string(w[i:i + 4], ' ') AS s
             FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM items)
         ),
-        sized AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_shingles FROM wanted)
+        sized AS (SELECT *, count(*) OVER (PARTITION BY item_id, w) AS n_shingles FROM wanted)
         SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles AS containment
-        FROM shingles JOIN sized USING (s) GROUP BY doc_id, item_id, n_shingles
+        FROM shingles JOIN sized USING (s) GROUP BY doc_id, item_id, w, n_shingles
         HAVING count(*) >= 0.8 * n_shingles
     """,
     "op12_nra_search": f"""

@@ -63,8 +63,32 @@ def test_close_pairs_finds_all(spark):
         assert found == wanted and wanted
 
 
+def bits_of(text):
+    """The contract's fingerprint, bit by bit."""
+    import xxhash
+
+    lowered = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    ones = [0] * 64
+    for g in grams:
+        h = xxhash.xxh64_intdigest(g.encode(), 42)
+        for b in range(64):
+            ones[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * ones[b] > len(grams))
+
+
+def test_fingerprint_of_very_long_texts():
+    draw = random.Random(2)
+    for n in (simhash.CHUNK + 1, simhash.CHUNK + 2, simhash.CHUNK + 3, 2 * simhash.CHUNK + 777):
+        text = " ".join(draw.choices(["aa", "Bb", "cc", "ÄÖ", "x1"], k=n))
+        assert simhash.fingerprint(text.encode()) == bits_of(text)
+
+
 def groups_of(texts):
-    fps = {i: simhash.fingerprint(t.encode() if t is not None else None) for i, t in texts.items()}
+    fps = {i: bits_of(t) for i, t in texts.items()}
     ids = sorted(fps)
     links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 2]
     return fps, roots_of(ids, links)
@@ -107,12 +131,16 @@ def key_of(line):
     return line.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
 
 
-def cut(texts, least=10):
+def cut(texts, least=10, keep_first=False):
     found = collections.Counter(k for t in texts.values() for k in {key_of(x) for x in (t or "").split("\n")} if k)
-    out = {}
-    for i, t in texts.items():
+    out, met = {}, set()
+    for i, t in sorted(texts.items()):
         every = (t or "").split("\n")
-        stay = [x for x in every if found[key_of(x)] < least]
+        stay = []
+        for x in every:
+            if found[key_of(x)] < least or keep_first and key_of(x) not in met:
+                stay.append(x)
+            met.add(key_of(x))
         out[i] = (len(every), len(every) - len(stay), "\n".join(stay))
     return out
 
@@ -213,9 +241,29 @@ def test_fingerprint_query(spark):
     assert found == {i: (f"{fps[i]:016x}", roots[i]) for i in texts}
 
 
+def test_every_repeated_item_is_reported(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(30))
+    docs = documents(spark, [(1, f"x {text} y"), (2, "nothing here")])
+    items = [(7, text), (5, text.upper() + "!"), (9, text), (9, text), (11, "other words that are not there at all")]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = queries.op10_benchmark_leaks(spark, str(tmp_path)).select("doc_id", "item_id")
+    assert rows(found) == [(1, 5), (1, 7), (1, 9)]
+
+
 # The pipeline
 
 
+def test_lines_of_many_copies_survive(spark):
+    """A text with ten copies or more keeps its lines in the first of them, and near-dedup keeps that one."""
+    import corpus_pipeline
+
+    clean = "\n".join(" ".join(f"w{i}x{k}" for i in range(12)) for k in range(8))
+    docs = documents(spark, [(i, clean) for i in range(5, 25)] + [(30, "a text of its own that stays")])
+    kept = corpus_pipeline.near_dedup(spark, corpus_pipeline.line_dedup(spark, docs, ""), "").collect()
+    assert {r.doc_id: r.text for r in kept if r.text} == {5: clean, 30: "a text of its own that stays"}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -224,7 +272,7 @@ def test_pipeline(spark):
     items = dict(spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect())
     verdicts = dict(queries.op6_quality_rules(spark, FOLDER).select("doc_id", "kept").collect())
     texts = {r.doc_id: r.text for r in docs.collect() if verdicts[r.doc_id]}
-    texts = {i: t for i, (_, _, t) in cut(texts).items()}
+    texts = {i: t for i, (_, _, t) in cut(texts, keep_first=True).items()}
     _, roots = groups_of(texts)
     texts = {i: t for i, t in texts.items() if roots[i] == i}
     held = {i for i, *_ in leaks_of(texts, items)}
