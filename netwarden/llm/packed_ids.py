@@ -40,16 +40,26 @@ STRIDE = 256
 RECORD_IDS = 1 << 18
 
 
+# Bits of every number below 2 to the 16th.
+SHORT_BITS = np.ceil(np.log2(np.arange(1, (1 << 16) + 1))).astype(np.uint8)
+
+
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """How many bits each unsigned 64-bit number has."""
+    if ids.max() < 1 << 16:
+        return SHORT_BITS[ids.astype(np.uint16)]
+    high = (ids >> np.uint64(32)).astype(np.float64)
+    low = np.ceil(np.log2((ids & np.uint64(0xFFFFFFFF)).astype(np.float64) + 1))
+    return np.where(high > 0, np.floor(np.log2(np.maximum(high, 1))) + 33, low).astype(np.uint8)
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(words, literals)`` of unsigned 64-bit ids."""
     ids = ids.astype("<u8")
     n = len(ids)
     if not n:
         return np.zeros(0, "<u8"), np.zeros(0, "<u8")
-    high = (ids >> np.uint64(32)).astype(np.float64)
-    bits = np.where(
-        high > 0, np.floor(np.log2(np.maximum(high, 1))) + 33, np.ceil(np.log2((ids & np.uint64(0xFFFFFFFF)).astype(np.float64) + 1))
-    ).astype(np.uint8)
+    bits = _bits(ids)
     # widest[k][i]: bits of the widest of the k ids from i on; ids past the end are no obstacle.
     best = np.zeros(n, np.uint8)
     widest, span = bits, 1

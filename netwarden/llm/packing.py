@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netwarden.llm.tokens import encoder
-from netwarden.plans.scale import stage_path
+from netwarden.plans.scale import remove_at_exit, stage_path
 
 LENGTH = 2048
 END_ID = 0
@@ -83,6 +83,7 @@ def token_pieces(
     path = stage_path(docs.sparkSession, "pieces")
     # Ids of 32 bits hold many zero bytes; they compress to about half.
     made.write.option("compression", "zstd").parquet(path)
+    remove_at_exit(docs.sparkSession, path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 

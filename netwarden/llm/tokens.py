@@ -9,14 +9,15 @@ text is encoded whole. The ids are the same either way.
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 # Pieces and ids a worker remembers at most, and bytes of text that it cuts at once.
-MAX_PIECES = 500_000
-MAX_IDS = 4_000_000
+MAX_PIECES = 1_000_000
+MAX_IDS = 8_000_000
 SLICE_BYTES = 4 << 20
 # White space beyond single spaces and line breaks between words.
 IRREGULAR = r"[ \n](?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]\n|\A[ \n]"
@@ -48,43 +49,44 @@ class Encoder:
         self.numbers: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, "<u4")
         self.used = 0
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.sizes = np.zeros(1 << 16, np.int64)
+        # Where the ids of each piece begin in the pool; the next piece begins where they end.
+        self.starts = np.zeros(1 << 16, np.int32)
         # Whether a piece was met again after the slice in which it was learned.
         self.again = np.zeros(1 << 16, bool)
 
     def _shrink(self) -> None:
         """Keep the pieces that were met again, the oldest of them if these are many."""
-        kept = [(p, n) for p, n in self.numbers.items() if self.again[n]][: MAX_PIECES // 2]
-        pool, starts, sizes = self.pool, self.starts, self.sizes
-        self._forget()
-        if kept:
-            ids = [pool[starts[n] : starts[n] + sizes[n]] for _, n in kept]
-            if sum(map(len, ids)) <= MAX_IDS // 2:
-                self._remember([p for p, _ in kept], np.concatenate(ids), np.array([len(x) for x in ids]))
+        kept = np.flatnonzero(self.again[: len(self.numbers)])[: MAX_PIECES // 2]
+        sizes = np.diff(self.starts[: len(self.numbers) + 1])[kept]
+        ends = np.cumsum(sizes)
+        if len(kept) and ends[-1] <= MAX_IDS // 2:
+            pieces = list(self.numbers)
+            ids = self.pool[np.arange(ends[-1]) + np.repeat(self.starts[kept] - (ends - sizes), sizes)]
+            self._forget()
+            self._remember([pieces[n] for n in kept.tolist()], ids, sizes)
+        else:
+            self._forget()
 
     def _remember(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Number ``pieces`` in order after those known; ``ids`` are theirs, one after the other."""
         have, end = len(self.numbers), self.used + len(ids)
         while end > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while have + len(pieces) > len(self.starts):
+        while have + len(pieces) >= len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
             self.again = np.concatenate([self.again, np.zeros_like(self.again)])
         self.pool[self.used : end] = ids
-        self.starts[have : have + len(pieces)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[have : have + len(pieces)] = sizes
+        self.starts[have + 1 : have + len(pieces) + 1] = self.used + np.cumsum(sizes)
         self.numbers.update(zip(pieces, range(have, have + len(pieces))))
         self.used = end
 
-    def _learn(self, pieces: list[str]) -> None:
-        spaced = [p for p in pieces if p[0] != "\n"]
+    def _learn(self, spaced: list[str], broken: list[str]) -> None:
+        """Encode and remember pieces that follow a space, then those that begin with a line break."""
         if spaced:
             whole = self.library.encode_batch_fast([" " + " ".join(spaced)], add_special_tokens=False)[0]
             ids = np.array(whole.ids, "<u4")
             at = np.flatnonzero(self.opens[ids])
             self._remember(spaced, ids, np.diff(np.append(at, len(ids))))
-        broken = [p for p in pieces if p[0] == "\n"]
         if broken:
             each = [e.ids for e in self.library.encode_batch_fast(broken, add_special_tokens=False)]
             self._remember(
@@ -101,15 +103,21 @@ class Encoder:
         pieces = coded.dictionary.to_pylist()
         if len(self.numbers) + len(pieces) > MAX_PIECES or self.used > MAX_IDS:
             self._shrink()
-        known = np.fromiter((self.numbers.get(p, -1) for p in pieces), np.int64, len(pieces))
+        known = np.fromiter(map(self.numbers.get, pieces, repeat(-1)), np.int32, len(pieces))
         self.again[known[known >= 0]] = True
-        self._learn([pieces[k] for k in np.flatnonzero(known < 0).tolist() if pieces[k]])
-        # The empty piece before the first line break has no ids.
-        number = np.fromiter((self.numbers[p] if p else -1 for p in pieces), np.int64, len(pieces))
-        number = number[coded.indices.to_numpy()]
-        sizes = np.where(number >= 0, self.sizes[number], 0)
-        ends = np.cumsum(sizes)
-        place = np.arange(ends[-1]) + np.repeat(self.starts[number] - (ends - sizes), sizes)
+        unseen = np.flatnonzero(known < 0).tolist()
+        # The empty piece before the first line break has no ids and stays unknown.
+        broken = [k for k in unseen if pieces[k][:1] == "\n"]
+        spaced = [k for k in unseen if pieces[k] and pieces[k][0] != "\n"]
+        have = len(self.numbers)
+        self._learn([pieces[k] for k in spaced], [pieces[k] for k in broken])
+        known[spaced] = np.arange(have, have + len(spaced), dtype=np.int32)
+        known[broken] = np.arange(have + len(spaced), len(self.numbers), dtype=np.int32)
+        piece_sizes = np.where(known >= 0, self.starts[known + 1] - self.starts[known], 0)
+        at = coded.indices.to_numpy()
+        sizes, begins = piece_sizes[at], self.starts[known][at]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        place = np.arange(ends[-1], dtype=np.int32) + np.repeat(begins - (ends - sizes).astype(np.int32), sizes)
         ids = self.pool[place]
         bounds = np.concatenate([[0], ends])[cut.offsets.to_numpy()]
         # Each text begins with the line break put before it, one id.
