@@ -5,7 +5,8 @@ hash *and* document, so a line that a third of the documents share spreads over
 sorted by position inside. The first occurrence in a document streams out of that order and is summed
 per hash, partial sums first. What returns per document is a run-length bitmap of the lines to keep.
 
-A document is known by its id and the hash of its text. Defined cases: a null or empty text is one
+Lines are equal if 96 hash bits are: among a billion different lines a false match has a chance of about
+1 in 10 to the 11th. A document is known by its id and the hash of its text. Defined cases: a null or empty text is one
 empty line; a key is the line without ASCII white space at both ends, A-Z in lower case, and empty
 keys are never dropped; equal rows count as one document and get the same answer; null ids are ids
 like any other; an empty table gives an empty result; columns besides id and text pass through.
@@ -117,10 +118,10 @@ def dropped_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text", *
     )
 
 
-def without_common_lines(docs: DataFrame) -> DataFrame:
+def without_common_lines(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with the common lines cut out of ``text`` and ``n_chars`` brought up to date."""
     untouched = F.col("runs").isNull()
-    cut = with_bitmaps(docs).withColumn(
+    cut = with_bitmaps(docs, **how).withColumn(
         "cut", F.when(untouched, F.col("row.text")).otherwise(kept_text(F.col("row.text"), F.col("runs")))
     )
     new = {
