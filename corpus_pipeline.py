@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netwarden.llm import decontaminate, lines, packing, quality, similar
+from netwarden.llm import decontaminate, lines, packing, quality, simhash
 from netwarden.llm.queries import vocabulary
 from netwarden.plans.scale import stage
 
@@ -19,13 +19,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more are cut out of all of them."""
-    return lines.without_common_lines(docs)
+    """Lines found in ten documents or more are cut out of all but the first, so that no text is lost in all copies."""
+    return lines.without_common_lines(docs, keep_first=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles with a Jaccard similarity of 0.8 or more stays."""
-    return similar.keep_one(docs)
+    """One document of each group linked by fingerprints of three-word shingles within two bits stays."""
+    return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Fingerprints and token ids have no counterpart in SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
+
 QUERIES = {"pipeline": run}
 ORACLE: dict[str, str] = {}
