@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from netwarden.catalog.prepare import as_double
 from netwarden.catalog.views import digest, unit, with_views
 from netwarden.functions.values import array_sum
-from netwarden.operators import quality, resample
-from netwarden.operators.neighbours import nearest, silhouette
+from netwarden.operators import margin, quality, resample
+from netwarden.operators.neighbours import nearest, nearest_approximate, recall, silhouette
 from netwarden.plans import standins
+from netwarden.plans.scale import stage
 
 vectors = standins.vectors
 
@@ -94,12 +95,53 @@ def r9(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def r10(spark: SparkSession, folder: str) -> DataFrame:
-    out = resample.choose_neighbours(vectors(spark, folder), "both", folds=3, most=6)
+    out = resample.choose_neighbours(vectors(spark, folder), "both", folds=3)
     return as_double(out, ["silhouette", "davies_bouldin", "score"]).withColumn("best", F.col("best").cast("int"))
 
 
+_COMPARED: dict[tuple[str, str], DataFrame] = {}
+
+
+def compared(spark: SparkSession, folder: str) -> DataFrame:
+    """The comparison of all methods, stored once per application: two queries read it."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _COMPARED:
+        _COMPARED[key] = stage(resample.compare_methods(vectors(spark, folder)), "compared")
+    return _COMPARED[key]
+
+
 def r11(spark: SparkSession, folder: str) -> DataFrame:
-    return as_double(resample.compare_methods(vectors(spark, folder), [42, 43]), ["avg", "std"])
+    return as_double(compared(spark, folder), ["avg", "std"])
+
+
+def r11_flow(spark: SparkSession, folder: str) -> DataFrame:
+    """Comparison, significance against the first method, and selection, each from the one before."""
+    results = compared(spark, folder)
+    summary_ = resample.comparison_summary(results.where("metric <> 'time'"))
+    tests = resample.significance(summary_, n=len(resample.COMPARED_SEEDS))
+    differing = tests.groupBy("method").agg(F.count_if("significant").alias("n_significant"))
+    chosen = resample.select_method(resample.comparison_results(results))
+    return chosen.join(differing, "method", "left").select(
+        "method",
+        F.round("total_score", 6).alias("total_score"),
+        *[F.col(c).cast("int").alias(c) for c in ("filtered", "selected")],
+        F.coalesce("n_significant", F.lit(0)).alias("n_significant"),
+    )
+
+
+def q2m(spark: SparkSession, folder: str) -> DataFrame:
+    """How the margin holds against plain facts: it is wrong on no more rows than the larger class would be."""
+    rows = stage(resample.smote(vectors(spark, folder)).withColumn("scope", F.lit("all")), "margin")
+    found = margin.errors(rows, margin.fit(rows)).first()
+    least = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("n"), F.sum("n").alias("rows"))
+    return least.select(F.col("rows"), (F.lit(found["wrong"]) <= F.col("n")).cast("int").alias("holds"))
+
+
+def r3a(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall of the approximate search against the exact one, over all rows."""
+    rows = vectors(spark, folder, None)
+    found = recall(nearest_approximate(rows, 3), nearest(rows, 3)).select("n", "recall")
+    return found.select("n", (F.col("recall") >= 0.9).cast("int").alias("enough"), F.round("recall", 4).alias("recall"))
 
 
 def summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,6 +241,9 @@ QUERIES = {
     "R9_change_report": r9,
     "R10_choose_neighbours": r10,
     "R11_compare_methods": r11,
+    "R11_to_R13_flow": r11_flow,
+    "R3_approximate": r3a,
+    "Q2_margin_holds": q2m,
     "R12_significance": r12,
     "R13_select_method": r13,
     "Q1_neighbour_distance": q1,
@@ -304,6 +349,10 @@ ORACLE = {
         "vectors10",
         f"WITH {near_sql('nr', 'vectors10', 3, True)} SELECT label::VARCHAR AS cls, id, nn_id, rank::INTEGER AS rank, round(dist, 6) AS dist FROM nr",
     ),
+    "Q2_margin_holds": with_views(
+        "vectors",
+        "WITH c AS (SELECT count(*) AS n FROM vectors GROUP BY label) SELECT (max(n) * count(*))::BIGINT AS rows, 1 AS holds FROM c",
+    ),
     "R4_smote": with_views(
         "vectors",
         f"WITH {smote_sql('vectors', 3)} SELECT {POINTS} FROM (SELECT id, label, x FROM vectors UNION ALL SELECT id, label, x FROM syn)",

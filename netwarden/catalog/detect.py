@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netwarden.catalog.views import unit, with_views
 from netwarden.operators import cooldown, portscan, signatures, verdict
 from netwarden.plans import standins
-from netwarden.plans.scale import hash_unit
+from netwarden.plans.scale import hash_unit, stage
 
 HOUR, DAY = 3600.0, 86400.0
 ALERT_COLUMNS = "packet_id, epoch_us(ts) AS ts_us"
@@ -62,6 +62,28 @@ def t1(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def t1r(spark: SparkSession, folder: str) -> DataFrame:
+    """The patterns as a table, with one more that only wins where no other matches."""
+    rules = [(i, 10 * i, p, signatures.MATCH_LABEL) for i, p in enumerate(signatures.PATTERNS)]
+    rules += [(7, 1000, "GET /", "Web Request"), (8, 2000, None, "never")]
+    table = spark.createDataFrame(rules[::-1], "rule_id int, priority int, pattern string, label string")
+    return signatures.match_rules(standins.packets(spark, folder), table).select("packet_id", "rule_id", "label")
+
+
+def t2k(spark: SparkSession, folder: str) -> DataFrame:
+    """Ports per source over all days, from stored daily sketches, against the exact count."""
+    tcp = portscan.tcp_only(standins.packets(spark, folder))
+    stored = stage(portscan.port_sketches(tcp, "1 day"), "sketches")
+    merged = portscan.merged_ports(stored, "src_ip")
+    exact = tcp.groupBy("src_ip").agg(F.count_distinct("dst_port").alias("exact"))
+    # Four deviations of the sketch's relative error, and one port where counts are small.
+    bound = F.greatest(F.lit(1.0), F.col("exact") * (4 * 0.8 / 2 ** (portscan.SKETCH_BITS / 2)))
+    return exact.join(merged, "src_ip").select(
+        "src_ip", F.col("exact").alias("n_ports"), "n_packets",
+        (F.abs(F.col("n_ports") - F.col("exact")) <= bound).cast("int").alias("within"),
+    )
+
+
 def t2(seconds: float, threshold: int):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         found = portscan.scan_alerts(standins.packets(spark, folder), seconds, threshold)
@@ -200,6 +222,8 @@ def v11(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "T1_signature_match": t1,
+    "T1_rules_table": t1r,
+    "T2S_merged_sketches": t2k,
     "T2_port_scan_hour": t2(HOUR, 2),
     "T2_port_scan_day": t2(DAY, 3),
     "T2_port_scan_default": t2(portscan.SCAN_SECONDS, portscan.SCAN_PORTS),
@@ -224,6 +248,17 @@ _T2 = "WITH {} SELECT packet_id, src_ip, ts_us, n_ports FROM sc"
 _T4 = "WITH RECURSIVE {} SELECT packet_id, src_ip, ts_us FROM packets WHERE packet_id IN (SELECT packet_id FROM gate)"
 
 ORACLE = {
+    "T1_rules_table": with_views(
+        "packets",
+        """SELECT * FROM (SELECT packet_id, CASE WHEN payload LIKE '%GET /etc/passwd%' THEN 0 WHEN regexp_matches(payload, 'SQL SELECT .* FROM') THEN 1
+  WHEN regexp_matches(payload, 'admin.*password') THEN 2 WHEN payload LIKE '%GET /%' THEN 7 END AS rule_id,
+  CASE rule_id WHEN 7 THEN 'Web Request' ELSE 'Potential Exploit Detected' END AS label FROM packets) WHERE rule_id IS NOT NULL""",
+    ),
+    "T2S_merged_sketches": with_views(
+        "packets",
+        """SELECT src_ip, count(DISTINCT dst_port) AS n_ports, count(*) AS n_packets, 1 AS within
+FROM packets WHERE proto = 6 AND src_ip IS NOT NULL AND dst_port IS NOT NULL GROUP BY src_ip""",
+    ),
     "T1_signature_match": with_views(
         "packets",
         f"""SELECT packet_id, src_ip, 'Potential Exploit Detected' AS attack_type,

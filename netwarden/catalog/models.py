@@ -58,11 +58,11 @@ def m1(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("id", F.round(F.col("logits")[1], 6).alias("logit"), F.round("prob", 6).alias("prob"))
 
 
-def m2(variant: str, iterations: int):
+def m2(variant: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         """Split, oversample the training part, fit, and evaluate on the held-out part."""
         parts = stage(resample.split_and_rescue(vectors(spark, folder)), "parts")
-        models = score.train(parts.where(~F.col("is_test")), variant, iterations)
+        models = score.train(parts.where(~F.col("is_test")), variant)
         held = score.predict(models, parts.where("is_test"))
         return evaluate.performance(held).select("tn", "fp", "fn", "tp", F.round("accuracy", 4).alias("accuracy"))
 
@@ -155,11 +155,12 @@ QUERIES = {
     "T11_autoencoder": t11,
     "T12_threshold_calibration": t12,
     "M1_batch_inference": m1,
-    "M2_train_simple": m2("simple", 30),
-    "M2_train_stabilized": m2("stabilized", 15),
+    "M2_train_simple": m2("simple"),
+    "M2_train_stabilized": m2("stabilized"),
+    "M2_train_standard": m2("standard"),
     "M2_train_weighted": m2w,
     "M3_ensemble_logits": m3,
-    "M3_train_ensemble": m2("ensemble", 10),
+    "M3_train_ensemble": m2("ensemble"),
     "M4_feature_widths": m4,
     "G1_perturb": g1,
     "G2_robustness": g2,

@@ -11,9 +11,10 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netwarden.catalog import models
 from netwarden.catalog.detect import DAY, HOUR, PACKET_SCORES, SIGNED, chain_sql, scan_sql, with_scores
 from netwarden.catalog.views import with_views
-from netwarden.operators import packets, portscan, signatures, verdict
+from netwarden.operators import packets, portscan, score, signatures, verdict
 from netwarden.plans import standins
 from netwarden.plans.scale import stage_path
 from netwarden.session import configure
@@ -128,7 +129,64 @@ def l5(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("source_ip string, attack_type string, packet_id long").json(path)
 
 
+def vector_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The vectors of the batch queries, as a stream of files."""
+    configure(spark)
+    schema = spark.read.parquet(f"{folder}/embeddings.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(folder)
+    return standins.as_vectors(rows)
+
+
+def t8(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole cascade per micro-batch: row checks, classifier, autoencoder, verdict."""
+    rows = vector_stream(spark, folder).withColumn("x", F.transform("x", lambda v: v * 8))
+    scored = score.hybrid(rows, models.CLASSIFIER, models.ENCODER, 1.0)
+    return sources.drain(scored.select("id", "verdict"))
+
+
+def t11(spark: SparkSession, folder: str) -> DataFrame:
+    """Reconstruction and its error per micro-batch."""
+    out = score.reconstruct(vector_stream(spark, folder), models.ENCODER)
+    return sources.drain(
+        out.select(
+            "id", F.round(F.col("xhat")[0], 6).alias("x0"), F.round(F.col("xhat")[19], 6).alias("x19"), F.round("mse", 6).alias("mse")
+        )
+    )
+
+
+def m1(spark: SparkSession, folder: str) -> DataFrame:
+    out = score.score(vector_stream(spark, folder), models.CLASSIFIER)
+    return sources.drain(out.select("id", F.round(F.col("logits")[1], 6).alias("logit"), F.round("prob", 6).alias("prob")))
+
+
+def s10(spark: SparkSession, folder: str) -> DataFrame:
+    """Signature alerts to all three logs, the same batch written twice, and what each log then holds."""
+    found = signatures.signature_alerts(packet_stream(spark, folder)).select(
+        "packet_id", F.col("ts").alias("timestamp"), F.col("src_ip").alias("source_ip"),
+        F.col("dst_ip").alias("destination_ip"), F.col("proto").cast("string").alias("protocol"), "attack_type",
+    )
+    path = stage_path(spark, "logs")
+    sources.write_logs(found, path, stage_path(spark, "progress"), available=True).awaitTermination()
+    # Without its progress the stream begins anew: batch 0 comes a second time.
+    sources.write_logs(found, path, stage_path(spark, "progress"), available=True).awaitTermination()
+    logs = {
+        "table": alert_logs.read_alerts(spark, f"{path}/table"),
+        "json": spark.read.schema("source_ip string, destination_ip string, protocol string").json(f"{path}/json"),
+        "text": alert_logs.read_text_log(spark, f"{path}/text"),
+    }
+    each = [
+        log.groupBy("source_ip", "protocol").agg(F.count(F.lit(1)).alias("n"), F.count("destination_ip").alias("destinations"))
+        .select(F.lit(name).alias("log"), "*")
+        for name, log in logs.items()
+    ]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 QUERIES = {
+    "T8_hybrid_stream": t8,
+    "T11_autoencoder_stream": t11,
+    "M1_inference_stream": m1,
+    "S10_three_logs": s10,
     "T1_signature_stream": t1,
     "T5_rules_stream": t5,
     "E4_packet_features_stream": e4,
@@ -143,6 +201,11 @@ QUERIES = {
 }
 
 ORACLE = {
+    "S10_three_logs": with_views(
+        "packets",
+        f"""SELECT log, src_ip AS source_ip, proto::VARCHAR AS protocol, count(*) AS n, count(dst_ip) AS destinations
+FROM packets, (VALUES ('table'), ('json'), ('text')) v(log) WHERE {SIGNED} GROUP BY ALL""",
+    ),
     "T1_signature_stream": with_views(
         "packets", f"SELECT packet_id, src_ip, 'Potential Exploit Detected' AS attack_type FROM packets WHERE {SIGNED}"
     ),
@@ -193,6 +256,9 @@ WHERE sc.packet_id IS NOT NULL OR {SIGNED} OR score > 0.97::DOUBLE OR model_clas
 def _shared() -> None:
     from netwarden.catalog import logs, prepare
 
+    ORACLE["T8_hybrid_stream"] = models.ORACLE["T8_hybrid_networks"]
+    ORACLE["T11_autoencoder_stream"] = models.ORACLE["T11_autoencoder"]
+    ORACLE["M1_inference_stream"] = models.ORACLE["M1_batch_inference"]
     ORACLE["S13_text_log_stream"] = logs.ORACLE["S13_text_log"]
     ORACLE["E4_packet_features_stream"] = prepare.ORACLE["E4_packet_features"]
 

@@ -66,7 +66,7 @@ SELECT event_id AS id, ts AS "timestamp",
   '10.1.0.' || (event_id % 256)::VARCHAR AS destination_ip,
   CASE WHEN event_id % 3 = 0 THEN '17' ELSE '6' END AS protocol,
   CASE event_id % 3 WHEN 0 THEN 'Port Scan' WHEN 1 THEN 'Potential Exploit Detected' ELSE 'Anomaly Detected' END AS attack_type
-FROM events WHERE event_type = 'error'"""
+FROM events"""
 
 VIEWS["run_history"] = """
 SELECT event_id AS pos, event_type AS label,

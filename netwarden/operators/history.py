@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from netwarden.functions.values import parse_time
 from netwarden.plans.scale import running_totals
@@ -11,6 +12,8 @@ from netwarden.plans.scale import running_totals
 # Trend and grade limits.
 HEALTH_TREND, DURATION_TREND = 1.0, 0.1
 HISTORY_CAP, SHOWN = 50, 5
+# Chunks in order that one window group of ``growth_guard`` holds.
+STRETCH = 1 << 14
 
 
 def latest_per_label(history: DataFrame) -> DataFrame:
@@ -143,17 +146,17 @@ def load_rollup(chunks: DataFrame) -> DataFrame:
 def growth_guard(chunks: DataFrame, target_mb: float, cpu_limit: float = 85.0) -> DataFrame:
     """Whether chunk size may grow: throughput near the mean of the last three, RAM and CPU low.
 
-    Chunks are numbered in the order of ``idx``, which may have gaps; each hands its throughput
-    to itself and its two successors, and the mean is a plain aggregate.
+    Chunks are numbered in the order of ``idx``, which may have gaps, and looked at in stretches of
+    ``STRETCH`` numbers; the last two rows of a stretch are repeated in front of the next.
     """
     chunks = _numbered(chunks, "idx", "__nth")
-    trail = (
-        chunks.select(
-            F.explode(F.array(F.col("__nth"), F.col("__nth") + 1, F.col("__nth") + 2)).alias("__nth"),
-            F.col("throughput_rows_sec").alias("t"),
-        )
-        .groupBy("__nth")
-        .agg(F.avg("t").alias("recent"))
+    own = F.expr(f"__nth div {STRETCH}")
+    both = F.when(F.col("__nth") % STRETCH >= STRETCH - 2, F.array(own, own + 1)).otherwise(F.array(own))
+    last_three = Window.partitionBy("__stretch").orderBy("__nth").rowsBetween(-2, 0)
+    ranked = (
+        chunks.withColumn("__stretch", F.explode(both))
+        .withColumn("recent", F.avg("throughput_rows_sec").over(last_three))
+        .where(F.col("__stretch") == own)
     )
     may_grow = (
         (F.col("__nth") >= 3)
@@ -161,6 +164,6 @@ def growth_guard(chunks: DataFrame, target_mb: float, cpu_limit: float = 85.0) -
         & (F.col("ram_usage_mb") < F.lit(target_mb * 0.8))
         & (F.col("cpu_percent") < cpu_limit)
     )
-    return chunks.join(trail, "__nth").select(
+    return ranked.select(
         "idx", "throughput_rows_sec", "recent", may_grow.alias("may_grow")
     )

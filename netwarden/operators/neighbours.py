@@ -240,6 +240,54 @@ def nearest(
     )
 
 
+# Tables of the approximate search, and sign bits that make a bucket.
+HASH_TABLES, HASH_BITS = 12, 4
+
+
+def _signs(width: int, tables: int, bits: int, seed: int):
+    """Buckets of every row: in each table, on which side of ``bits`` random planes it lies."""
+    axes = np.random.default_rng(seed).standard_normal((width, tables * bits))
+    powers = 1 << np.arange(bits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            side = (_matrix(rows["x"]) @ axes > 0).reshape(len(rows), tables, bits)
+            keys = (side * powers).sum(axis=2)
+            names = [[f"{t}:{key}" for t, key in enumerate(row)] for row in keys.tolist()]
+            yield rows.assign(bucket=names)
+
+    return run
+
+
+def nearest_approximate(
+    data: DataFrame, k: int, tables: int = HASH_TABLES, bits: int = HASH_BITS, seed: int = 42
+) -> DataFrame:
+    """``id, nn_id, rank, dist``: the ``k`` nearest rows met in a common bucket of random planes.
+
+    For callers that can do without certainty: rows at angle ``a`` share a table's bucket with probability
+    ``(1 - a / pi) ** bits`` and are met in one of ``tables`` such tables. Inside a bucket, which
+    is cut into blocks like any scope, the search is exact. The planes pass through the mean.
+    """
+    width = len(data.select("x").first()["x"])
+    mean = data.agg(F.array(*[F.avg(F.col("x")[i]) for i in range(width)])).first()[0]
+    centred = data.select(
+        F.col("id").cast("long").alias("id"),
+        F.zip_with("x", F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b).alias("x"),
+    )
+    keyed = centred.mapInPandas(_signs(width, tables, bits, seed), "id long, x array<double>, bucket array<string>")
+    met = nearest(keyed.select("id", "x", F.explode("bucket").alias("bucket")), k, scope="bucket")
+    single = met.groupBy("id", "nn_id").agg(F.min("dist").alias("dist"))
+    return top_per(single, ["id"], [F.col("dist"), F.col("nn_id")], k).select("id", "nn_id", "rank", "dist")
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """``n, hits, recall``: how many of the exact neighbours were found."""
+    both = exact.select("id", "nn_id").join(found.select("id", "nn_id", F.lit(1).alias("hit")), ["id", "nn_id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits")).withColumn(
+        "recall", F.col("hits") / F.col("n")
+    )
+
+
 def _part_numbers() -> Column:
     return F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))
 

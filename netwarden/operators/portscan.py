@@ -177,6 +177,27 @@ def scan_port_sets(packets: DataFrame, seconds: float = SCAN_SECONDS, threshold:
     )
 
 
+# Buckets of a port sketch, as a power of two: a relative error of about 0.8 / sqrt(2 ** bits).
+SKETCH_BITS = 12
+
+
+def port_sketches(packets: DataFrame, length: str, bits: int = SKETCH_BITS) -> DataFrame:
+    """``src_ip, start, sketch, n_packets``: a mergeable sketch of the ports per source and tumbling window."""
+    frame = F.window("ts", length)
+    return (
+        packets.groupBy("src_ip", frame.alias("w"))
+        .agg(F.hll_sketch_agg("dst_port", F.lit(bits)).alias("sketch"), F.count(F.lit(1)).alias("n_packets"))
+        .select("src_ip", F.col("w.start").alias("start"), "sketch", "n_packets")
+    )
+
+
+def merged_ports(sketches: DataFrame, *by: str) -> DataFrame:
+    """Estimated distinct ports of stored sketches, merged over all rows that share ``by``."""
+    return sketches.groupBy(*by).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_ports"), F.sum("n_packets").alias("n_packets")
+    )
+
+
 def windowed_ports(packets: DataFrame, length: str, slide: str | None = None) -> DataFrame:
     """Distinct ports per source and tumbling or sliding window (batch or stream).
 

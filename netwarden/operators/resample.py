@@ -6,12 +6,17 @@ negative ids. Every random choice follows a digest, so results repeat exactly.
 
 from __future__ import annotations
 
+import time
+from functools import reduce
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from netwarden.operators import margin
 from netwarden.operators.neighbours import nearest, nearest_lists, silhouette
-from netwarden.operators.quality import correlation_difference, davies_bouldin
+from netwarden.operators.quality import correlation_difference, davies_bouldin, divergence
 from netwarden.operators.split import class_counts, stratified_folds, stratified_split
 from netwarden.plans.scale import hash_unit, index_by_hash, pin_small, repeat_rows, running_totals, stage
 
@@ -20,6 +25,7 @@ RATIO_GATE = 10.0
 MAX_NEIGHBOURS, DANGER_NEIGHBOURS = 3, 10
 RESCUE_BELOW, RESCUE_NEIGHBOURS = 1000, 5
 MAX_TESTED_NEIGHBOURS = 10
+COMPARED_SEEDS = [42, 43, 44, 45, 46]
 METHODS = ["SMOTE", "ADASYN", "SMOTE+TOMEK", "Borderline-SMOTE"]
 
 
@@ -269,8 +275,9 @@ def split_and_rescue(rows: DataFrame, below: int = RESCUE_BELOW, seed: int = 42)
     parts = stage(stratified_split(_base(rows), seed=seed), "split")
     train = parts.where(~F.col("is_test")).drop("is_test")
     least = class_counts(train).agg(F.min("n")).first()[0]
-    if least < below and least > 1:
-        train = smote(train, min(RESCUE_NEIGHBOURS, least - 1), seed)
+    if least is not None and least < below:
+        # A class of one row cannot be oversampled: an error, as everywhere else.
+        train = smote(train, default_neighbours(train, RESCUE_NEIGHBOURS), seed)
     return train.withColumn("is_test", F.lit(False)).unionByName(
         parts.where("is_test").select("id", "label", "x", "is_test")
     )
@@ -356,29 +363,81 @@ def _mark_best(means: DataFrame, metric: str) -> DataFrame:
     return scored.withColumn("best", F.col("k") == best)
 
 
-def compare_methods(rows: DataFrame, seeds: list[int], methods: list[str] = METHODS) -> DataFrame:
-    """Quality of each method over several seeds: ``method, metric, avg, std`` (population)."""
-    rows = _base(rows)
-    tables = None
+def compare_methods(
+    rows: DataFrame, seeds: list[int] = COMPARED_SEEDS, methods: list[str] = METHODS, share_seed: int = 42
+) -> DataFrame:
+    """Each method over several seeds: ``method, metric, avg, std, n, error`` (population deviation).
+
+    A stratified part of the rows is held out; the rest is oversampled by every method and seed. All
+    resulting tables are scopes of one table, and every metric is computed for all of them in the same
+    jobs: the eight quality metrics against the rows before, the accuracy on the held-out part of the margin
+    fitted to each table (``val_acc``), and the seconds that oversampling took (``time``). A method
+    that fails for a seed loses that seed; one that fails for all has a row with its error instead.
+    """
+    parts = stage(stratified_split(_base(rows), seed=share_seed), "parts")
+    train, held = parts.where(~F.col("is_test")).drop("is_test"), parts.where("is_test").drop("is_test")
+    spark = rows.sparkSession
+    made, taken, failed = [], [], {}
     for method in methods:
         for seed in seeds:
-            one = stage(oversample(rows, method, seed=seed), "method").select(
-                F.lit(f"{method}/{seed}").alias("scope"), "label", "x"
-            )
-            tables = one if tables is None else tables.unionByName(one)
+            begin = time.perf_counter()
+            try:
+                one = stage(oversample(train, method, seed=seed), "method")
+            except (ValueError, PySparkException) as e:
+                failed[method] = str(e)
+                continue
+            scope = f"{method}/{seed}"
+            taken.append((scope, time.perf_counter() - begin))
+            made.append(one.select(F.lit(scope).alias("scope"), "id", "label", "x"))
+    error_rows = spark.createDataFrame(
+        [(m, "error", None, None, 0, e) for m, e in failed.items()],
+        "method string, metric string, avg double, std double, n long, error string",
+    )
+    if not made:
+        return error_rows
+    tables = stage(reduce(DataFrame.unionByName, made), "compared")
     counts = tables.groupBy("scope", "label").agg(F.count(F.lit(1)).alias("n"))
-    ratio = counts.groupBy("scope").agg((F.max("n") / F.min("n")).alias("imbalance_ratio"))
+    weights = margin.fit(tables)
+    judged = margin.errors(tables, weights)
+    scopes = F.explode(F.array(*[F.lit(scope) for scope, _ in taken])).alias("scope")
+    told = margin.errors(held.select(scopes, "label", "x"), weights)
     wide = (
-        silhouette(tables, "scope")
-        .withColumnRenamed("silhouette", "silhouette_score")
-        .join(ratio, "scope")
-        .join(correlation_difference(rows, tables, "scope"), "scope")
+        nearest(tables, 1, scope="scope")
+        .groupBy("scope")
+        .agg(F.avg("dist").alias("avg_neighbor_distance"), F.stddev_pop("dist").alias("neighbor_std"))
+        .join(
+            judged.select(
+                "scope",
+                F.col("wrong").cast("double").alias("boundary_violations"),
+                (F.col("wrong") / F.col("n")).alias("boundary_violation_rate"),
+            ),
+            "scope",
+        )
+        .join(divergence(train, tables, "scope"), "scope")
+        .join(silhouette(tables, "scope").withColumnRenamed("silhouette", "silhouette_score"), "scope")
+        .join(counts.groupBy("scope").agg((F.max("n") / F.min("n")).alias("new_imbalance_ratio")), "scope")
+        .join(correlation_difference(train, tables, "scope"), "scope")
+        .join(told.select("scope", (1 - F.col("wrong") / F.col("n")).alias("val_acc")), "scope")
+        .join(spark.createDataFrame(taken, "scope string, time double"), "scope")
     )
-    names = ["silhouette_score", "imbalance_ratio", "feature_correlation_diff"]
+    names = [c for c in wide.columns if c != "scope"]
     tall = wide.unpivot(["scope"], names, "metric", "value")
-    return tall.groupBy(F.substring_index("scope", "/", 1).alias("method"), "metric").agg(
-        F.avg("value").alias("avg"), F.stddev_pop("value").alias("std")
+    found = tall.groupBy(F.substring_index("scope", "/", 1).alias("method"), "metric").agg(
+        F.avg("value").alias("avg"), F.stddev_pop("value").alias("std"), F.count("value").alias("n")
     )
+    return found.withColumn("error", F.lit(None).cast("string")).unionByName(error_rows)
+
+
+def comparison_summary(compared: DataFrame, methods: list[str] = METHODS) -> DataFrame:
+    """What ``significance`` reads: the compared metrics with the methods' order."""
+    order = F.array_position(F.array(*[F.lit(m) for m in methods]), F.col("method"))
+    return compared.where("error IS NULL").select("method", order.alias("ord"), "metric", "avg", "std")
+
+
+def comparison_results(compared: DataFrame) -> DataFrame:
+    """What ``select_method`` reads: a row per method with its metrics and its error, if any."""
+    found = [F.max(F.when(F.col("metric") == m, F.col("avg"))).alias(m) for m in SELECT_WEIGHTS]
+    return compared.groupBy("method").agg(*found, F.max("error").alias("error"))
 
 
 def t_test_p(mean1: Column, std1: Column, mean2: Column, std2: Column, n: int) -> Column:

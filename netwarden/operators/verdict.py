@@ -127,8 +127,11 @@ def detector_verdicts(
 
 
 def label_processed(packets: DataFrame) -> DataFrame:
-    """Signature or classifier alerts among packets that already passed the cooldown."""
-    signed = matches_signature(F.col("payload"))
+    """Signature or classifier alerts among packets that already passed the cooldown.
+
+    ``packets`` carries ``signed``, or the payload to find it in.
+    """
+    signed = F.col("signed") if "signed" in packets.columns else matches_signature(F.col("payload"))
     return packets.where(signed | supervised_attack(F.col("prob"))).select(
         "packet_id",
         "ts",
@@ -140,8 +143,13 @@ def label_processed(packets: DataFrame) -> DataFrame:
 
 
 def sniffer_verdicts(packets: DataFrame, seconds: float = COOLDOWN_SECONDS) -> DataFrame:
-    """Cooldown gate per source, then classifier or signature. ``packets`` carries ``prob``."""
-    return label_processed(after_cooldown(packets, seconds))
+    """Cooldown gate per source, then classifier or signature. ``packets`` carries ``prob``.
+
+    Payloads are reduced to a flag where they are read, so the gate does not shuffle them.
+    """
+    signed = F.coalesce(matches_signature(F.col("payload")), F.lit(False))
+    facts = packets.withColumn("signed", signed).drop("payload")
+    return label_processed(after_cooldown(facts, seconds))
 
 
 def prediction_scale(rows: DataFrame, logits: str = "logits") -> DataFrame:

@@ -68,11 +68,13 @@ def with_logits(rows: DataFrame) -> DataFrame:
 
 def vectors(spark: SparkSession, folder: str, positive: int | None = 5) -> DataFrame:
     """``id, label, x``: the first 20 dimensions; label 1 for one class, or all ten classes."""
+    return as_vectors(table(spark, folder, "embeddings"), positive)
+
+
+def as_vectors(embeddings: DataFrame, positive: int | None = 5) -> DataFrame:
     label = F.col("label") if positive is None else (F.col("label") == positive).cast("int")
     x = F.transform(F.slice("embedding", 1, 20), lambda v: v.cast("double"))
-    return table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("id"), label.alias("label"), x.alias("x")
-    )
+    return embeddings.select(F.col("vec_id").alias("id"), label.alias("label"), x.alias("x"))
 
 
 FLOW_NUMERIC = ["quantity", "extendedprice", "discount", "tax", "linenumber", "partkey", "suppkey"]
@@ -123,7 +125,6 @@ def attack_log(spark: SparkSession, folder: str) -> DataFrame:
     )
     return (
         table(spark, folder, "events")
-        .where(F.col("event_type") == "error")
         .select(
             F.col("event_id").alias("id"),
             F.col("ts").cast("timestamp").alias("timestamp"),

@@ -50,6 +50,27 @@ def append_batch(path: str, stream: str = "stream"):
     return write
 
 
+def fan_out(path: str, stream: str = "stream"):
+    """``foreachBatch`` writer to all three logs below ``path``: table, JSON lines and text lines.
+
+    A micro-batch owns its folders in each of them, so a repeated batch replaces what it wrote, and a
+    batch that failed between two logs is made whole by its repetition.
+    """
+    table = append_batch(f"{path}/table", stream)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        # Written once and read back: all three logs hold the same rows, and the plan runs once.
+        table(batch, batch_id)
+        name = f"{stream}-{batch_id:012d}"
+        rows = batch.sparkSession.read.parquet(f"{path}/table").where(F.col("batch") == name).drop("day", "batch")
+        rows.withColumn("timestamp", iso_time(F.col("timestamp"))).write.mode("overwrite").json(f"{path}/json/batch={name}")
+        format_lines(rows).write.mode("overwrite").text(f"{path}/text/batch={name}")
+
+    return write
+
+
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("day", "batch")
 
@@ -106,9 +127,14 @@ def read_text_log(spark: SparkSession, path: str) -> DataFrame:
 def format_lines(log: DataFrame) -> DataFrame:
     """Alerts as text lines in the attack layout."""
     stamp = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss,SSS")
+
+    def known(name: str):
+        """A field that an alert lacks, as a scan's destination, leaves its place empty."""
+        return F.coalesce(F.col(name), F.lit(""))
+
     return log.select(
         F.concat(
-            stamp, F.lit(" - Attack from "), F.col("source_ip"), F.lit(" to "), F.col("destination_ip"),
-            F.lit(" | Protocol: "), F.col("protocol"), F.lit(" | Type: "), F.col("attack_type"),
+            stamp, F.lit(" - Attack from "), known("source_ip"), F.lit(" to "), known("destination_ip"),
+            F.lit(" | Protocol: "), known("protocol"), F.lit(" | Type: "), F.col("attack_type"),
         ).alias("value")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netwarden.plans.scale import stage_path
-from netwarden.sources.alert_logs import append_batch, parse_lines
+from netwarden.sources.alert_logs import append_batch, fan_out, parse_lines
 
 PACKET = (
     "packet_id long, ts timestamp, src_ip string, dst_ip string, src_port int, dst_port int, proto int, "
@@ -54,6 +54,12 @@ def feed(alerts: DataFrame, kind: str, checkpoint: str, name: str | None = None,
     return (writer.queryName(name) if name else writer).start()
 
 
+def write_logs(alerts: DataFrame, path: str, checkpoint: str, available: bool = False):
+    """Every alert to the table, the JSON log and the text log below ``path``; replays replace what they wrote."""
+    writer = alerts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fan_out(path))
+    return (writer.trigger(availableNow=True) if available else writer).start()
+
+
 def append_log(alerts: DataFrame, path: str, checkpoint: str, available: bool = False):
     """Append alerts to the Parquet log; a repeated micro-batch replaces its own folder."""
     writer = alerts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(append_batch(path))
@@ -78,6 +84,13 @@ def closed(stream: DataFrame, **values) -> DataFrame:
     return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
 
 
+def late_rows(query) -> int:
+    """Rows that a finished or running query left out because they came behind the watermark."""
+    return sum(
+        operator["numRowsDroppedByWatermark"] for progress in query.recentProgress for operator in progress["stateOperators"]
+    )
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is available into a table and return the table."""
     spark = stream.sparkSession
