@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netwarden.plans.scale import stage
+from netwarden.plans.scale import pin_small, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
@@ -29,6 +29,12 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BREAK))
 
 
+def sent(table: DataFrame) -> DataFrame:
+    """A table that was counted and found small goes to all tasks; a larger one is joined by shuffle."""
+    pinned = pin_small(table)
+    return table if pinned is table else F.broadcast(pinned)
+
+
 # Elements that one inner fold of ``running`` takes.
 CHUNK = 256
 

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netwarden.llm.common import ascii_lower
+from netwarden.llm.common import ascii_lower, sent
 from netwarden.llm.vectors import meet
 from netwarden.operators.neighbours import top_per
-from netwarden.plans.scale import pin_small, stage
+from netwarden.plans.scale import stage
 
 TOP = 50
 SHARD_ROWS = 8192
@@ -56,12 +56,6 @@ def _wanted(items: DataFrame) -> DataFrame:
     return stage(known.select("item", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")), "wanted")
 
 
-def _sent(table: DataFrame) -> DataFrame:
-    """A table that was counted and found small goes to all tasks; a larger one is joined by shuffle."""
-    pinned = pin_small(table)
-    return table if pinned is table else F.broadcast(pinned)
-
-
 def _counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(doc, id, n, term_id, tf)`` for the terms of items, and one row per document with the marker."""
     cut = docs.where(F.col("id").isNotNull()).select(
@@ -70,7 +64,7 @@ def _counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     each = cut.where(F.size("t") > 0).select(
         "doc", "id", F.size("t").cast("long").alias("n"), F.explode(F.array_append("t", F.lit(MARK))).alias("term")
     )
-    met = each.join(_sent(vocabulary), "term")
+    met = each.join(sent(vocabulary), "term")
     return stage(met.groupBy("doc", "id", "n", "term_id").agg(F.count(F.lit(1)).alias("tf")), "counts")
 
 
@@ -157,7 +151,7 @@ def search(
     impact = F.expr(f"({SCALE}L * tf) div (1000L * tf + {SATURATION}L * m)")
     shards = max(1, math.ceil(n_docs / SHARD_ROWS))
     lists = (
-        counts.join(_sent(weights), "term_id")
+        counts.join(sent(weights), "term_id")
         .withColumn("m", size)
         .select("doc", "id", "term_id", (F.col("w") * impact).alias("gain"))
         .where("gain > 0")

@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netwarden.llm.common import SPACES, words, wrapped
-from netwarden.plans.scale import pin_small, stage
+from netwarden.llm.common import SPACES, sent, words, wrapped
+from netwarden.plans.scale import stage
 
 ALPHA = 0.03
 DELTA = 0.05
@@ -218,14 +218,14 @@ def cutoffs(measured: DataFrame, labels: DataFrame, row_id: str = "doc_id", stra
 
 def with_verdict(measured: DataFrame, certified: DataFrame, stratum: str = "lang") -> DataFrame:
     """``measured`` with ``base_failed`` and ``kept``; a row per stratum joins, broadcast if there are few."""
-    table = pin_small(
-        certified.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in RULES])
+    table = certified.groupBy("stratum").agg(
+        *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in RULES]
     )
     cuts = F.struct(*RULES)
     own = table.select(F.col("stratum").alias("__stratum"), cuts.alias("__own"))
     pooled = table.where(F.col("stratum") == POOLED).select(cuts.alias("__pooled"))
     shared = pooled.first()
-    met = measured.join(own, F.col(stratum) == F.col("__stratum"), "left")
+    met = measured.join(sent(own), F.col(stratum) == F.col("__stratum"), "left")
 
     def cutoff(rule: str) -> Column:
         value = shared["__pooled"][rule] if shared else None
