@@ -2,7 +2,7 @@
 
 Packets may arrive out of order. Each detector holds packets until the watermark has passed
 them, so that its decision equals the batch operator's on the same rows. Rows later than the
-watermark are dropped by Spark, which counts them in the progress of the query.
+watermark are dropped by Spark; ``late_rows`` tells how many.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.query import StreamingQuery
 
 from netwarden.operators.cooldown import COOLDOWN_SECONDS
 from netwarden.operators.portscan import SCAN_LABEL, SCAN_PORTS, SCAN_SECONDS, TCP
@@ -26,58 +28,153 @@ KEPT = f"src_ip string, {_FACT_TYPES}"
 SCANNED = f"src_ip string, {_FACT_TYPES}, n_ports long"
 
 
+# What waits of a packet; the last column says whether its port counts.
+_HELD = pa.schema(
+    [
+        ("packet_id", pa.int64()),
+        ("ts_us", pa.int64()),
+        ("dst_ip", pa.string()),
+        ("proto", pa.int32()),
+        ("signed", pa.bool_()),
+        ("flagged", pa.bool_()),
+        ("counted", pa.bool_()),
+    ]
+)
+# Stretches that the packets of one scan slice are kept in.
+SCAN_CELLS = 16
+_NO_FIRST, _NO_LAST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+
+
 def _ms(us: int) -> int:
     """First whole millisecond at or after a time in microseconds."""
     return -(-int(us) // 1000)
 
 
+class Waiting:
+    """Packets of one key that the watermark has not passed, and the key's one pending timer.
+
+    Packets lie in pieces by stretch of time. A piece is what one batch brought to a stretch: it is
+    written once, read when the watermark reaches its stretch, and never grows. A timer
+    touches only stretches it has reached, so a packet is read a bounded number of times however
+    many micro-batches pass while it waits.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, cell: int):
+        self.handle, self.cell = handle, max(int(cell), 1)
+        self.pieces = handle.getMapState("pieces", "cell long, piece long", "rows binary")
+        self.numbered = handle.getValueState("numbered", "piece long")
+        self.timer = handle.getValueState("timer", "at_ms long")
+
+    def add(self, rows: pd.DataFrame) -> None:
+        piece = self.numbered.get()[0] if self.numbered.exists() else 0
+        for cell, part in rows.groupby(rows["ts_us"] // self.cell, sort=False):
+            self._put(int(cell), piece, part)
+            piece += 1
+        self.numbered.update((piece,))
+
+    def _put(self, cell: int, piece: int, rows: pd.DataFrame) -> None:
+        columns = [pa.array(rows[f.name], f.type, from_pandas=True) for f in _HELD]
+        held = pa.RecordBatch.from_arrays(columns, schema=_HELD)
+        self.pieces.updateValue((cell, piece), (held.serialize().to_pybytes(),))
+
+    def ready(self, done: int) -> Iterator[pd.DataFrame]:
+        """Take out what lies at ``done`` or before, a stretch at a time and in order of time.
+
+        ``self.next`` is then a time no later than the first packet left, or ``None``.
+        """
+        self.next = None
+        stretches: dict[int, list[int]] = {}
+        for cell, piece in self.pieces.keys():
+            stretches.setdefault(cell, []).append(piece)
+        for cell in sorted(stretches):
+            if cell * self.cell > done:
+                self.next = cell * self.cell if self.next is None else min(self.next, cell * self.cell)
+                break
+            parts = [
+                pa.ipc.read_record_batch(pa.py_buffer(bytes(self.pieces.getValue((cell, piece))[0])), _HELD)
+                for piece in stretches[cell]
+            ]
+            rows = pa.Table.from_batches(parts).to_pandas(integer_object_nulls=True)
+            later = rows[rows["ts_us"] > done]
+            if len(later) < len(rows):
+                for piece in stretches[cell]:
+                    self.pieces.removeKey((cell, piece))
+                if len(later):
+                    self._put(cell, stretches[cell][0], later)
+                yield rows[rows["ts_us"] <= done].sort_values(["ts_us", "packet_id"], ignore_index=True)
+            if len(later):
+                self.next = int(later["ts_us"].min())
+
+    def wake(self, us: int) -> None:
+        """Have the key called at ``us``, unless it is called earlier."""
+        at = _ms(us)
+        if self.timer.exists():
+            pending = self.timer.get()[0]
+            if pending <= at:
+                return
+            self.handle.deleteTimer(pending)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def woken(self) -> None:
+        self.timer.clear()
+
+    def clear(self) -> None:
+        self.pieces.clear()
+        self.numbered.clear()
+        self.timer.clear()
+
+
 class CooldownGate(StatefulProcessor):
-    """Keeps a packet if the source kept none in the last ``cooldown`` microseconds."""
+    """Keeps a packet if the source kept none in the last ``cooldown`` microseconds.
+
+    The last kept time is final, so packets inside its cooldown are not held at all.
+    """
 
     def __init__(self, cooldown: int):
-        self.cooldown = cooldown
+        # Packets of one instant are peers, of which one is kept even without a cooldown.
+        self.cooldown = max(cooldown, 1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.last = handle.getValueState("last", "ts_us long")
-        self.waiting = handle.getListState("waiting", _FACT_TYPES)
+        self.waiting = Waiting(handle, self.cooldown)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
+        last = self.last.get()[0] if self.last.exists() else None
         for part in rows:
-            part = _whole(part, "proto").sort_values(["ts_us", "packet_id"]).drop_duplicates("ts_us")
-            self.waiting.appendList([_plain(r) for r in part[_FACTS].itertuples(index=False)])
-            low = int(part["ts_us"].iloc[0])
-            earliest = low if earliest is None else min(earliest, low)
-        if earliest is not None:
-            # A timer at the first waiting packet; firing releases all the watermark has passed.
-            self.handle.registerTimer(_ms(earliest))
+            if last is not None:
+                part = part[part["ts_us"] >= last + self.cooldown]
+            part = part.sort_values(["ts_us", "packet_id"]).drop_duplicates("ts_us")
+            if len(part):
+                self.waiting.add(part.assign(counted=False))
+                self.waiting.wake(part["ts_us"].iloc[0])
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         done = timerValues.getCurrentWatermarkInMs() * 1000
-        held = pd.DataFrame(list(self.waiting.get()), columns=_FACTS)
-        ready = held[held["ts_us"] <= done].sort_values(["ts_us", "packet_id"])
-        later = held[held["ts_us"] > done]
+        self.waiting.woken()
         last = self.last.get()[0] if self.last.exists() else None
-        kept = []
-        for place, at in enumerate(ready["ts_us"]):
-            if last is None or at >= last + self.cooldown:
+        for rows in self.waiting.ready(done):
+            times = rows["ts_us"].to_numpy(np.int64)
+            kept, place = [], 0
+            while True:
+                if last is not None:
+                    place = int(np.searchsorted(times, last + self.cooldown))
+                if place >= len(times):
+                    break
                 kept.append(place)
-                last = int(at)
-        self.waiting.clear()
-        if len(later):
-            self.waiting.put([_plain(r) for r in later.itertuples(index=False)])
-            self.handle.registerTimer(_ms(later["ts_us"].min()))
-        if last is not None and (len(later) or last + self.cooldown > done):
-            self.last.update((last,))
-            if not len(later):
-                # Comes back once the cooldown is over, to forget an idle source.
-                self.handle.registerTimer(_ms(last + self.cooldown))
-        else:
+                last = int(times[place])
+            if kept:
+                yield rows.iloc[kept].assign(src_ip=key[0])[["src_ip", *_FACTS]]
+        left = self.waiting.next
+        if left is None and (last is None or last + self.cooldown <= done):
             self.last.clear()
-        if kept:
-            yield ready.iloc[kept].assign(src_ip=key[0])[["src_ip", *_FACTS]]
+            self.waiting.clear()
+            return
+        if last is not None:
+            self.last.update((last,))
+        # An idle source comes back once its cooldown is over, to be forgotten.
+        self.waiting.wake(left if left is not None else last + self.cooldown)
 
     def close(self) -> None:
         pass
@@ -87,74 +184,80 @@ class ScanCounter(StatefulProcessor):
     """Counts distinct ports in the trailing window for one source and one window-long slice.
 
     A key sees the packets of its slice and, for the look-back, those of the slice before, so
-    a busy source is a different key in every slice. Of the look-back only the last time of
-    each port is kept.
+    a busy source is a different key in every slice. Of the ports it keeps the first time in the
+    slice and the last time in the one before, as three arrays. A packet is counted and let go
+    when the watermark reaches it: first times up to there cannot change any more.
     """
 
     def __init__(self, width: int):
         self.width = width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.before = handle.getMapState("before", "port int", "ts_us long")
-        self.waiting = handle.getListState("waiting", f"{_FACT_TYPES}, dst_port int")
+        self.ports = handle.getValueState("ports", "port binary, first_us binary, before_us binary")
+        self.waiting = Waiting(handle, self.width // SCAN_CELLS)
+
+    def _known(self) -> list[np.ndarray]:
+        held = self.ports.get() if self.ports.exists() else (b"", b"", b"")
+        return [np.frombuffer(bytes(x), kind) for x, kind in zip(held, (np.int32, np.int64, np.int64))]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        end = (int(key[1]) + 1) * self.width
+        port, first, before = self._known()
+        earliest = (int(key[1]) + 1) * self.width
         for part in rows:
-            part = _whole(part, "proto", "dst_port")
-            back = part[part["look_back"].astype(bool)]
-            for port, at in back.groupby("dst_port")["ts_us"].max().items():
-                known = self.before.getValue((int(port),))
-                if known is None or known[0] < at:
-                    self.before.updateValue((int(port),), (int(at),))
-            own = part[~part["look_back"].astype(bool)]
+            back = part["look_back"].astype(bool)
+            counted = ((part["proto"] == TCP) & part["dst_port"].notna()).fillna(False).astype(bool)
+            seen = part[counted]
+            old, times = back[counted].to_numpy(), seen["ts_us"].to_numpy(np.int64)
+            met, place = np.unique(np.concatenate([port, seen["dst_port"].to_numpy(np.int32)]), return_inverse=True)
+            firsts, lasts = np.full(len(met), _NO_FIRST), np.full(len(met), _NO_LAST)
+            np.minimum.at(firsts, place, np.concatenate([first, np.where(old, _NO_FIRST, times)]))
+            np.maximum.at(lasts, place, np.concatenate([before, np.where(old, times, _NO_LAST)]))
+            port, first, before = met.astype(np.int32), firsts, lasts
+            own = part[~back].assign(counted=counted[~back])
             if len(own):
-                names = [*_FACTS, "dst_port"]
-                self.waiting.appendList([_plain(r) for r in own[names].itertuples(index=False)])
-        self.handle.registerTimer(_ms(end))
+                self.waiting.add(own)
+                earliest = min(earliest, int(own["ts_us"].min()))
+        self.ports.update((port.tobytes(), first.tobytes(), before.tobytes()))
+        self.waiting.wake(earliest)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.waiting.get()), columns=[*_FACTS, "dst_port"])
-        before = {k[0]: v[0] for k, v in self.before.iterator()}
-        self.waiting.clear()
-        self.before.clear()
-        if len(held):
-            yield self._count(held, before).assign(src_ip=key[0])[["src_ip", *_FACTS, "n_ports"]]
-
-    def _count(self, held: pd.DataFrame, before: dict[int, int]) -> pd.DataFrame:
-        tcp = held[(held["proto"] == TCP) & held["dst_port"].notna()]
-        first = tcp.groupby("dst_port")["ts_us"].min().to_dict()
-        starts, ends = [], []
-        for port in set(first) | set(before):
-            gone = before[port] + self.width + 1 if port in before else None
-            begin = first.get(port)
-            if gone is not None and begin is not None and begin < gone:
-                continue
-            if begin is not None:
-                starts.append(begin)
-            if gone is not None:
-                ends.append(gone)
-        at = tcp["ts_us"].to_numpy()
-        rising = np.searchsorted(np.sort(starts), at, side="right")
-        falling = np.searchsorted(np.sort(ends), at, side="right")
-        counts = pd.Series(0, index=held.index, dtype="int64")
-        counts[tcp.index] = len(before) + rising - falling
-        return held.assign(n_ports=counts)
+        done = timerValues.getCurrentWatermarkInMs() * 1000
+        end = (int(key[1]) + 1) * self.width
+        self.waiting.woken()
+        count = self._steps()
+        for rows in self.waiting.ready(done):
+            counted = rows["counted"].to_numpy(bool)
+            n_ports = np.where(counted, count(rows["ts_us"].to_numpy(np.int64)), 0)
+            yield rows.assign(src_ip=key[0], n_ports=n_ports)[["src_ip", *_FACTS, "n_ports"]]
+        if done >= end:
+            self.ports.clear()
+            self.waiting.clear()
+        else:
+            self.waiting.wake(end if self.waiting.next is None else self.waiting.next)
+
+    def _steps(self):
+        """The number of ports in the window as a function of time."""
+        _, first, before = self._known()
+        old, new = before != _NO_LAST, first != _NO_FIRST
+        gone = np.where(old, before, 0) + self.width + 1
+        stays = old & new & (first < gone)
+        rises, falls = np.sort(first[new & ~stays]), np.sort(gone[old & ~stays])
+        base = int(old.sum())
+        return lambda at: base + np.searchsorted(rises, at, "right") - np.searchsorted(falls, at, "right")
 
     def close(self) -> None:
         pass
 
 
-def _whole(part: pd.DataFrame, *names: str) -> pd.DataFrame:
-    """Whole numbers again, where a missing one in the batch has made them fractions."""
-    return part.astype({n: "Int64" for n in names})
-
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark and were left out, over the progress the query remembers.
 
-def _plain(row) -> tuple:
-    """A row of Python values; state stores take no numpy types."""
-    return tuple(None if pd.isna(v) else v.item() if isinstance(v, np.generic) else v for v in row)
+    A row that a scan also looks back at from the next slice counts once for each slice it is late for.
+    """
+    return sum(
+        state.get("numRowsDroppedByWatermark", 0) for report in query.recentProgress for state in report["stateOperators"]
+    )
 
 
 def facts(packets: DataFrame, threshold: float | None = None) -> DataFrame:

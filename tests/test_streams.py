@@ -110,6 +110,100 @@ def test_late_packets_are_dropped(spark, tmp_path):
     assert {r["packet_id"] for r in got.collect()} - {10**6} == {0}
 
 
+def test_late_rows_are_told(spark, tmp_path):
+    """What lies behind the watermark of the first file is counted exactly."""
+    spark.conf.set(STATE_PROVIDER, ROCKS)
+    folder, late = str(tmp_path), 0
+    lots = [
+        [(i, (100 + i) * S, "a", "d", 1, 1, 6, 0, 64, 60, b"x") for i in range(5)],
+        [(10 + i, (90 + 3 * i) * S, "a", "d", 1, 1, 6, 0, 64, 60, b"x") for i in range(6)],
+    ]
+    for i, data in enumerate(lots):
+        write(spark, data, f"{folder}/in", f"b{i}")
+        stream = detectors.cooldown_stream(detectors.facts(sources.packet_files(spark, f"{folder}/in/*")), 5.0, "2 seconds")
+        query = (
+            stream.writeStream.option("checkpointLocation", f"{folder}/p").trigger(availableNow=True).start(f"{folder}/out")
+        )
+        query.awaitTermination()
+        late += detectors.late_rows(query)
+    # The watermark after the first file is 102 s: 90, 93, 96, 99 and 102 are not above it.
+    assert late == 5
+
+
+def test_gate_holds_only_what_it_may_still_keep():
+    """Pieces are written once, read when due, and packets inside a final cooldown are not held."""
+    import pandas as pd
+
+    class Cell:
+        def __init__(self):
+            self.held = {}
+
+        def exists(self):
+            return () in self.held
+
+        def get(self):
+            return self.held.get(())
+
+        def update(self, value):
+            self.held[()] = value
+
+        def clear(self):
+            self.held.clear()
+
+        def keys(self):
+            return list(self.held)
+
+        def getValue(self, key):
+            return self.held[key]
+
+        def updateValue(self, key, value):
+            assert key not in self.held
+            self.held[key] = value
+
+        def removeKey(self, key):
+            del self.held[key]
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+
+        def getMapState(self, *_):
+            return Cell()
+
+        getValueState = getMapState
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class Clock:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    def packets(times):
+        return pd.DataFrame(
+            {"packet_id": times, "ts_us": [t * S for t in times], "dst_ip": "d", "proto": 6, "signed": False, "flagged": False}
+        )
+
+    handle, gate = Handle(), detectors.CooldownGate(10 * S)
+    gate.init(handle)
+    gate.handleInputRows(("a",), iter([packets([3, 1, 12]), packets([2, 30])]), None)
+    assert handle.timers == {1000}
+    handle.timers.clear()
+    out = [r for f in gate.handleExpiredTimer(("a",), Clock(15_000), None) for r in f["packet_id"]]
+    assert out == [1, 12] and handle.timers == {30_000} and len(gate.waiting.pieces.held) == 1
+    gate.handleInputRows(("a",), iter([packets([16, 20, 21])]), None)
+    assert len(gate.waiting.pieces.held) == 1 and handle.timers == {30_000}
+    handle.timers.clear()
+    out = [r for f in gate.handleExpiredTimer(("a",), Clock(100_000), None) for r in f["packet_id"]]
+    assert out == [30] and not handle.timers and not gate.waiting.pieces.held and not gate.last.held
+
+
 def test_replayed_batch_writes_once(spark, tmp_path):
     from netwarden.sources.alert_logs import append_alerts, append_batch, read_alerts
 
