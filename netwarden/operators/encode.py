@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netwarden.operators.clean import FEATURE_COUNT, drop_null_rows, select_and_pad
+from netwarden.operators.clean import FEATURE_COUNT, PADDING, drop_null_rows
 from netwarden.plans.scale import lookup, pin_small, running_totals, stage
 
 # Target range of the scaler, address columns, label column.
@@ -18,23 +18,27 @@ ADDRESS_COLUMNS = ["IPV4_SRC_ADDR", "IPV4_DST_ADDR"]
 LABEL = "Label"
 
 
-def fit_dictionary(df: DataFrame, column: str) -> DataFrame:
-    """``(value, code, rows)`` with codes 0.. in sorted order of the distinct values."""
-    values = stage(
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("string").alias("value"))
-        .agg(F.count(F.lit(1)).alias("rows")),
-        "values",
-    )
+def _dictionary(values: DataFrame) -> DataFrame:
+    """Codes for distinct ``(value, rows)``."""
     small = pin_small(values)
     if small is not values:
         found = sorted((r["value"], r["rows"]) for r in small.collect())
         coded = [(value, code, rows) for code, (value, rows) in enumerate(found)]
-        return df.sparkSession.createDataFrame(coded, "value string, code long, rows long")
+        return values.sparkSession.createDataFrame(coded, "value string, code long, rows long")
     ranked = running_totals(values.withColumn("one", F.lit(1).cast("long")), ["value"], {"one": "rank"})
     return stage(ranked.select("value", (F.col("rank") - 1).alias("code"), "rows"), "dictionary")
 
 
+def fit_dictionary(df: DataFrame, column: str) -> DataFrame:
+    """``(value, code, rows)`` with codes 0.. in sorted order of the distinct values."""
+    values = (
+        df.where(F.col(column).isNotNull())
+        .groupBy(F.col(column).cast("string").alias("value"))
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    return _dictionary(stage(values, "values"))
+
+
 def encode(df: DataFrame, column: str, dictionary: DataFrame, target: str | None = None) -> DataFrame:
     """Replace a column by its dictionary code; unseen values get the next free code."""
     size = dictionary.count()
@@ -165,21 +169,58 @@ def _encoded(df: DataFrame, addresses, labels, hot, label: str) -> DataFrame:
     return one_hot(rows, hot)
 
 
+def _values(rows: DataFrame, texts: list[str]) -> DataFrame:
+    """``(column, value, rows)`` of all text columns from one scan and one grouping."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in texts])
+    counted = (
+        rows.select(F.explode(cells).alias("cell"))
+        .groupBy("cell.column", "cell.value")
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    return pin_small(stage(counted, "values"))
+
+
 def fit_preprocessing(df: DataFrame, label: str = LABEL, target: int = FEATURE_COUNT) -> Preprocessing:
-    """Fit dictionaries, categories and bounds on all rows of the training table."""
+    """Fit dictionaries, categories and bounds on all rows of the training table, in two scans.
+
+    The bounds of codes and of 0/1 columns follow from the values: codes run from 0 without gaps, and a
+    0/1 column is constant only where all rows share its value.
+    """
     rows = drop_null_rows(df)
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != label]
     numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name != label]
-    addresses = {c: fit_dictionary(rows, c) for c in ADDRESS_COLUMNS if c in texts}
-    labels = fit_dictionary(rows, label)
-    # Later columns would be cut off by ``select_and_pad``, so no more values are looked at.
-    room = target - len(numbers) - len(addresses)
-    hot = categories(rows, [c for c in texts if c not in addresses], room)
-    wanted = [*numbers, *addresses, *[f"{c}_{v}" for c, vs in hot.items() for v in vs]]
-    padded = select_and_pad(_encoded(df, addresses, labels, hot, label), wanted, target)
-    # One row per feature, computed here once rather than at each use.
-    bounds = pin_small(fit_min_max(padded, padded.columns))
-    return Preprocessing(addresses, labels, hot, padded.columns, bounds)
+    values = _values(rows, [*texts, label])
+    ranges = rows.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[f(c).alias(f"{name}_{i}") for i, c in enumerate(numbers) for name, f in (("lo", F.min), ("hi", F.max))],
+    ).first()
+
+    def of(column: str) -> DataFrame:
+        return values.where(F.col("column") == column).select("value", "rows")
+
+    addresses = {c: _dictionary(of(c)) for c in ADDRESS_COLUMNS if c in texts}
+    bounds = {c: (ranges[f"lo_{i}"], ranges[f"hi_{i}"]) for i, c in enumerate(numbers)}
+    for c, dictionary in addresses.items():
+        size = dictionary.count()
+        bounds[c] = (0, size - 1) if size else (None, None)
+    # Later columns would be cut off, so no more values are looked at.
+    room = target - len(bounds)
+    hot: dict[str, list[str]] = {}
+    for c in [c for c in texts if c not in addresses]:
+        found = of(c).orderBy("value").limit(max(room, 0)).collect()
+        hot[c] = [r["value"] for r in found]
+        bounds |= {f"{c}_{r['value']}": (float(r["rows"] == ranges["rows"]), 1.0) for r in found}
+        room -= len(found)
+    features = list(bounds)[:target]
+    features += [f"{PADDING}{i}" for i in range(target - len(features))]
+    fitted = []
+    for i, c in enumerate(features):
+        low, high = bounds.get(c, (0.0, 0.0) if ranges["rows"] else (None, None))
+        fitted.append((c, i, "minmax", None if low is None else float(low), None if high is None else float(high)))
+    artifacts = df.sparkSession.createDataFrame(
+        fitted, "feature string, ord int, kind string, data_min double, data_max double"
+    )
+    return Preprocessing(addresses, _dictionary(of(label)), hot, features, artifacts)
 
 
 def transform_preprocessing(df: DataFrame, fitted: Preprocessing, label: str = LABEL) -> DataFrame:

@@ -155,15 +155,43 @@ def scan_alerts(packets: DataFrame, seconds: float = SCAN_SECONDS, threshold: in
     return lookup(tcp, times, ["src_ip", "ts_us"], "rows")
 
 
+# Parts of a slice in which alert times meet ports, so that a busy slice is not one task's work.
+SET_PARTS = 64
+
+
 def scan_port_sets(packets: DataFrame, seconds: float = SCAN_SECONDS, threshold: int = SCAN_PORTS) -> DataFrame:
-    """One row per source and alert time with the sorted ports in its window."""
+    """One row per source and alert time with the sorted ports in its window.
+
+    A port is in the window from its first time in the slice on, and up to its last time in the slice
+    before plus the window. It is sent only to those parts of a slice whose alert times meet one
+    of these two intervals.
+    """
     width = int(round(seconds * 1_000_000))
     tcp = tcp_only(packets)
-    times = scan_times(tcp, seconds, threshold).withColumn("slice", F.expr(f"ts_us div {width}"))
-    # At most 65,536 ports per source and slice, so the list is bounded.
+    times = stage(
+        scan_times(tcp, seconds, threshold)
+        .withColumn("slice", F.expr(f"ts_us div {width}"))
+        .withColumn("part", F.floor((F.col("ts_us") - F.col("slice") * width) / F.lit(width / SET_PARTS)).cast("int")),
+        "alert_times",
+    )
+    # At most ``SET_PARTS`` spans of alert times per slice.
+    spans = (
+        times.groupBy("src_ip", "slice", "part")
+        .agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
+        .groupBy("src_ip", "slice")
+        .agg(F.collect_list(F.struct("part", "lo", "hi")).alias("spans"))
+    )
+    met = F.filter(
+        "spans",
+        lambda s: F.coalesce(F.col("first_us") <= s["hi"], F.lit(False))
+        | F.coalesce(F.col("before_us") >= s["lo"] - width, F.lit(False)),
+    )
+    # At most 65,536 ports per source and slice, so the list of a part is bounded.
     known = (
         _port_times(tcp, width)
-        .groupBy("src_ip", "slice")
+        .join(spans, ["src_ip", "slice"])
+        .select("src_ip", "slice", "port", "first_us", "before_us", F.explode(met).alias("span"))
+        .groupBy("src_ip", "slice", "span.part")
         .agg(F.collect_list(F.struct("port", "first_us", "before_us")).alias("known"))
     )
     in_window = F.filter(
@@ -171,7 +199,7 @@ def scan_port_sets(packets: DataFrame, seconds: float = SCAN_SECONDS, threshold:
         lambda p: (p["first_us"] <= F.col("ts_us")) | (p["before_us"] >= F.col("ts_us") - width),
     )
     return (
-        times.join(known, ["src_ip", "slice"])
+        times.join(known, ["src_ip", "slice", "part"])
         .withColumn("ports", F.array_sort(F.transform(in_window, lambda p: p["port"])))
         .select("src_ip", "ts_us", "n_ports", "ports")
     )

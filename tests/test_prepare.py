@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from netwarden.functions import address, registry, values
 from netwarden.operators import clean, encode, evaluate, history, score
+from netwarden.operators.clean import select_and_pad
 from netwarden.plans import scale
 from netwarden.sources import alert_logs, flows, tables
 from netwarden.sources import history as history_files
@@ -156,3 +157,22 @@ def test_training_beats_chance(spark):
     df = scale.stage(rows.select(F.monotonically_increasing_id().alias("id"), F.col("Label").alias("label"), x.alias("x")))
     out = score.predict(score.train(df, "simple", 20), df)
     assert evaluate.performance(out).first()["accuracy"] > 0.9
+
+
+def test_bounds_follow_from_the_values(spark):
+    """Bounds taken from dictionaries equal those measured on the encoded rows, also for constant columns."""
+    rows = [(float(i % 5), 7, "x", "a" if i % 3 else "b", f"10.0.0.{i % 4}", "one" if i % 2 else "two") for i in range(24)]
+    rows += [(None, 1, "y", "c", "10.0.0.9", "three"), (99.0, 1, None, "c", "10.0.0.9", "one")]
+    df = spark.createDataFrame(rows, "n double, k int, same string, kind string, IPV4_SRC_ADDR string, Label string")
+    for target in (4, 6, 8):
+        fitted = encode.fit_preprocessing(df, target=target)
+        whole = encode._encoded(df, fitted.addresses, fitted.labels, fitted.one_hot, "Label")
+        padded = select_and_pad(whole, fitted.features, target)
+        want = encode.fit_min_max(padded, padded.columns).collect()
+        assert sorted(map(tuple, fitted.bounds.collect())) == sorted(map(tuple, want)) and len(want) == target
+        out = encode.transform_preprocessing(df, fitted)
+        assert out.columns == [*fitted.features, "Label"] and out.count() == 24
+    assert fitted.one_hot == {"same": ["x"], "kind": ["a", "b"]}
+    empty = encode.fit_preprocessing(df.limit(0), target=4)
+    assert [r["data_min"] for r in empty.bounds.collect()] == [None] * 4
+    assert encode.transform_preprocessing(df.limit(0), empty).count() == 0
