@@ -5,8 +5,9 @@ one symbol, behind which a word has its smoothed share of that class, so every t
 probability. A further symbol ends a text. Baum-Welch counts, expected under the current model, are
 gathered per partition and summed per symbol; what returns to the driver is bounded by states and symbols,
 not by data. Training walks through texts in windows of ``WINDOW`` tokens so that many are
-stepped at once; every token of every training text is in one window, and windows inside a text have a
-start distribution of their own. Scoring runs over whole texts without windows.
+stepped at once. A window inside a text starts from the last token of the one before, with a start
+distribution of its own, so every token and every step of every training text is counted once. Scoring
+runs over whole texts without windows.
 
 Counts of the most frequent words, at most ``KNOWN`` and of bounded length, are sent to all tasks. Any other word is looked
 up by a join, so the vocabulary has no limit.
@@ -35,6 +36,8 @@ ROUNDS = 6
 WINDOW = 512
 # Words whose counts every task holds, and the longest of them in bytes: at most 24 MB.
 KNOWN, KNOWN_BYTES = 1 << 18, 64
+# Ranges of hashes that words of about one count are taken by, where not all of them fit.
+TIE_RANGES = 4_096
 # Weight of the overall word shares in each state's emissions, and of every transition.
 PRIOR, STEP_PRIOR = 50.0, 1.0
 # Different words a task counts before it hands its counts on, and windows that are stepped together.
@@ -62,22 +65,31 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def _frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """At most ``most`` words of bounded length: all those above the lowest count that allows it.
+    """The most frequent words of bounded length, at most ``most``.
 
-    Words are counted by the size of their count, in at most a thousand steps, so that no
-    task has to rank them.
+    Words are counted by the size of their count, in at most a thousand steps, so that no task has to
+    rank them. Of the step that does not fit as a whole, those ranges of the words' hash are
+    taken that still fit, so that words of one count do not push each other out.
     """
     sized = counts.where(F.octet_length("word") <= KNOWN_BYTES).withColumn(
         "step", F.floor(F.log2("c") * 16).cast("int")
     )
     steps = {r["step"]: r["count"] for r in sized.groupBy("step").count().collect()}
-    lowest, total = 1 << 30, 0
+    lowest, left = 1 << 30, most
+    wanted = F.lit(False)
     for step in sorted(steps, reverse=True):
-        total += steps[step]
-        if total > most:
+        if steps[step] > left:
+            place = F.pmod(F.xxhash64("word"), F.lit(TIE_RANGES)).cast("int")
+            ranges = sized.where(F.col("step") == step).groupBy(place.alias("place")).count().collect()
+            upto = 0
+            for r in sorted(ranges):
+                if r["count"] > left:
+                    break
+                left, upto = left - r["count"], r["place"] + 1
+            wanted = (F.col("step") == step) & (place < upto)
             break
-        lowest = step
-    top = sized.where(F.col("step") >= lowest).select("word", "c").toArrow()
+        lowest, left = step, left - steps[step]
+    top = sized.where((F.col("step") >= lowest) | wanted).select("word", "c").toArrow()
     return list(zip(top.column("word").to_pylist(), top.column("c").to_pylist()))
 
 
@@ -189,8 +201,17 @@ def forward(model: Model, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarra
     return out
 
 
+def windows(symbols: np.ndarray, length: int = WINDOW):
+    """``(window, opens)``: ``length`` tokens each and, inside a text, the token before them."""
+    for a in range(0, len(symbols), length):
+        yield symbols[max(a - 1, 0) : a + length], a == 0
+
+
 class Expected:
-    """Baum-Welch counts of windows under a model, in single precision per window and double in sum."""
+    """Baum-Welch counts of windows under a model, in single precision per window and double in sum.
+
+    The first token of a window that does not open its text was counted by the window before it.
+    """
 
     def __init__(self, model: Model):
         k = len(model.start)
@@ -227,7 +248,7 @@ class Expected:
             beta = np.ones((n, k), np.float32)
             beta[:after] = onward @ step.T
             gammas[t] = alphas[t] * beta
-        gamma, symbol = np.concatenate(gammas), np.concatenate(symbols)
+        gamma, symbol = np.concatenate([gammas[0] * opens[:, None], *gammas[1:]]), np.concatenate(symbols)
         for s in range(k):
             self.emit[:, s] += np.bincount(symbol, gamma[:, s], len(self.emit))
         self.step += steps * self.model.step
@@ -253,9 +274,9 @@ def improved(rows: DataFrame, model: Model, shares: np.ndarray) -> Model:
         for batch in batches:
             for text in batch.column(0):
                 symbols = np.frombuffer(text.as_buffer(), "<u2").astype(np.int64)
-                for a in range(0, len(symbols), WINDOW):
-                    pieces.append(symbols[a : a + WINDOW])
-                    opens.append(a == 0)
+                for piece, first in windows(symbols):
+                    pieces.append(piece)
+                    opens.append(first)
                     if len(pieces) == TOGETHER:
                         work()
         if pieces:

@@ -210,13 +210,36 @@ def test_expected_counts_by_enumeration():
             share = p / sum(weights.values())
             (start if first else later)[path[0]] += share
             for t, s in enumerate(path):
-                emit[window[t], s] += share
+                if t or first:
+                    emit[window[t], s] += share
                 if t:
                     step[path[t - 1], s] += share
     for found, wanted in ((expected.emit, emit), (expected.step, step), (expected.start, start), (expected.later, later)):
         assert np.allclose(found, wanted, atol=1e-5)
 
 
+def test_windows_hold_every_token_and_step_once():
+    for n in (0, 1, 4, 5, 8, 9, 23):
+        text, tokens, steps = np.arange(n), [], []
+        for window, first in hmm.windows(text, 4):
+            tokens += window.tolist()[0 if first else 1 :]
+            steps += list(zip(window[:-1].tolist(), window[1:].tolist()))
+        assert tokens == text.tolist() and steps == [(i, i + 1) for i in range(n - 1)]
+
+
+def test_words_of_one_count_do_not_push_each_other_out(spark):
+    rows = [(f"w{i}".encode(), 1) for i in range(1000)] + [(b"often", 50), (b"l" * 65, 90)]
+    counts = spark.createDataFrame(rows, "word binary, c long").repartition(3)
+    for most in (0, 1, 300, 5000):
+        found = hmm._frequent(counts, most)
+        assert len(found) == len(set(found)) <= most and (b"often" in dict(found)) == (most > 0)
+        assert found == [] or set(found) <= set(rows) - {(b"l" * 65, 90)}
+        assert len(found) >= min(most, 1001) - 5
+    vocabulary = hmm.Vocabulary(counts, 3, 100, 300)
+    assert vocabulary.symbols == 100 and vocabulary.words[0] == b"often"
+    assert sorted(hmm._frequent(counts, 300)) == sorted(hmm._frequent(counts.repartition(7), 300))
+
+
 def test_scores(spark, monkeypatch):
     monkeypatch.setattr(hmm, "KNOWN", 300)
     monkeypatch.setattr(hmm.Vocabulary.__init__, "__defaults__", (100, 300))
