@@ -225,6 +225,23 @@ i AS (SELECT pm.id, f, max(abs(pm.p - pb.p)) AS d FROM pm JOIN pb USING (id) GRO
 SELECT f::INTEGER AS feature, round(avg(d), 6) AS impact FROM i GROUP BY f ORDER BY avg(d) DESC, f LIMIT 10"""
 
 
+def _probes_sql() -> str:
+    def drawn(low: float, high: float) -> str:
+        return f"{low}::DOUBLE + {unit('probe', 'n', 'i')} * ({high}::DOUBLE - {low}::DOUBLE)"
+
+    normal = f"0.5::DOUBLE + 0.1::DOUBLE * sqrt(-2 * ln(1 - {unit('probe1', 'n', 'i')})) * cos({_TAU} * {unit('probe2', 'n', 'i')})"
+    cells = {
+        "zeros": (1, "0.0::DOUBLE"), "ones": (1, "1.0::DOUBLE"), "small": (1, "0.1::DOUBLE"), "half": (1, "0.5::DOUBLE"),
+        "large": (1, "0.9::DOUBLE"), "random_normal": (1, normal), "random_low": (5, drawn(0.0, 0.3)),
+        "random_high": (5, drawn(0.7, 1.0)), "low_then_high": (1, "(i >= 10)::INTEGER::DOUBLE"),
+        "high_then_low": (1, "(i < 10)::INTEGER::DOUBLE"), "alternating": (1, "(i % 2)::DOUBLE"),
+    }
+    return " UNION ALL ".join(
+        f"""SELECT '{name}' AS "case", n, i, {cell} AS v FROM range({count}) p(n), range(20) q(i)"""
+        for name, (count, cell) in cells.items()
+    )
+
+
 ORACLE = {
     "T8_hybrid_networks": with_views(
         "vectors",
@@ -268,6 +285,13 @@ SELECT round(avg((pa.p > 1 - pa.p)::INTEGER), 6) AS clean_attack_rate, round(avg
         f"""WITH {_REPAIRED}, f AS (SELECT v, CASE WHEN isfinite(v) THEN v END AS ok FROM cells)
 SELECT count(*) AS cells, round(min(ok), 6) AS min, round(max(ok), 6) AS max, round(avg(ok), 6) AS mean, round(stddev_pop(ok), 6) AS std,
   max(isnan(v))::INTEGER AS has_nan, max(isinf(v))::INTEGER AS has_inf, count(*) FILTER (v = 0) AS zero_count, count(DISTINCT v) AS distinct_values FROM f""",
+    ),
+    "G4_probe_patterns": with_views(
+        "vectors",
+        f"""WITH w AS (SELECT i, avg(x[i + 1]) FILTER (label = 1) - avg(x[i + 1]) FILTER (label = 0) AS w FROM vectors, range(20) q(i) GROUP BY i),
+c AS ({_probes_sql()}), z AS (SELECT "case", n, sum(v * w) AS z FROM c JOIN w USING (i) GROUP BY ALL)
+SELECT "case", n, CASE WHEN z > 0 THEN 'Attack' ELSE 'Normal' END AS predicted, round(1 / (1 + exp(-abs(z))), 6) AS confidence,
+  round(least(0.0::DOUBLE, z), 6) AS low, round(greatest(0.0::DOUBLE, z), 6) AS high, isfinite(z)::INTEGER AS success FROM z""",
     ),
     "G5_feature_importance": with_views("vectors", "WITH " + _importance_sql()),
     "G6_choose_repair": with_views(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from netwarden.operators.alerts import iso_time
+from netwarden.sources.json_arrays import read_arrays
 
 ALERT_JSON = "source_ip string, destination_ip string, protocol string, attack_type string"
 
@@ -91,12 +92,14 @@ def export(log: DataFrame, path: str, kind: str = "json", single_file: bool = Fa
 
 
 def read_json_log(spark: SparkSession, path: str, schema: str = ALERT_JSON) -> DataFrame:
-    """JSON arrays of alerts, one per file; a missing or corrupt file gives no rows."""
+    """JSON arrays of alerts, one per file and read in pieces; a missing or corrupt file gives no rows."""
     try:
-        files = spark.read.option("wholetext", True).text(path)
-    except AnalysisException:
+        found = read_arrays(spark, path, f"struct<{schema}>")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return files.select(F.inline(F.from_json("value", f"array<struct<{schema}>>")))
+    return found.select("item.*")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

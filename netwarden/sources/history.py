@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netwarden.plans.scale import running_totals
+from netwarden.sources.json_arrays import read_arrays
+
 RUN_JSON = "label string, timestamp string, command string, status string, duration double, error string"
 DASHBOARD_JSON = (
     "timestamp string, data struct<status:string, health_score:double, duration_seconds:double, "
@@ -14,10 +17,9 @@ DASHBOARD_JSON = (
 
 def read_array(spark: SparkSession, path: str, element: str = RUN_JSON) -> DataFrame:
     """Elements of each file's JSON array with their position; one file is one array."""
-    files = spark.read.option("wholetext", True).text(path)
-    return files.select(
-        F.posexplode(F.from_json("value", f"array<struct<{_fields(element)}>>"))
-    ).select(F.col("pos").cast("long").alias("pos"), "col.*")
+    found = read_arrays(spark, path, f"struct<{_fields(element)}>").withColumn("one", F.lit(1).cast("long"))
+    placed = running_totals(found, ["start", "n"], {"one": "upto"}, by=["file"])
+    return placed.select((F.col("upto") - 1).alias("pos"), "item.*")
 
 
 def _fields(ddl: str) -> str:

@@ -1,5 +1,7 @@
 """Encoders, scalers, cleaning limits, sources."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -8,7 +10,7 @@ from netwarden.functions import address, registry, values
 from netwarden.operators import clean, encode, evaluate, history, score
 from netwarden.operators.clean import select_and_pad
 from netwarden.plans import scale
-from netwarden.sources import alert_logs, flows, tables
+from netwarden.sources import alert_logs, flows, json_arrays, tables
 from netwarden.sources import history as history_files
 
 
@@ -176,3 +178,48 @@ def test_bounds_follow_from_the_values(spark):
     empty = encode.fit_preprocessing(df.limit(0), target=4)
     assert [r["data_min"] for r in empty.bounds.collect()] == [None] * 4
     assert encode.transform_preprocessing(df.limit(0), empty).count() == 0
+
+
+def test_json_arrays_in_pieces(spark, tmp_path):
+    """A file above one split parses in several tasks; torn, nested, corrupt and empty files as whole texts."""
+    rows = [{"source_ip": f"10.0.0.{i % 250}", "attack_type": f"say \"{i}\" \\ ä, [x]"} for i in range(2000)]
+    nested = [{"source_ip": "n", "more": {"a": 1}}, {"source_ip": "m"}]
+    braces = [{"source_ip": "a}b{\"c", "attack_type": "}"}, {"source_ip": "}{"}]
+    files = {
+        "long.json": json.dumps(rows, indent=1),
+        "nested.json": json.dumps(nested),
+        "braces.json": json.dumps(braces) + "\n",
+        "empty.json": "",
+        "none.json": " [ ]\n",
+        "cut.json": json.dumps(rows[:9])[:-1],
+        "late.json": json.dumps(rows[:9])[:-30],
+        "two.json": json.dumps(rows[:3]) + json.dumps(rows[:3]),
+        "null.json": json.dumps([{"source_ip": "z"}, None]),
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    element = f"struct<{alert_logs.ALERT_JSON}>"
+    whole = spark.read.text(str(tmp_path), wholetext=True).select(
+        F.col("_metadata.file_name").alias("name"), F.posexplode(F.from_json("value", f"array<{element}>")).alias("pos", "item")
+    )
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.option("lineSep", "}").text(str(tmp_path / "long.json")).rdd.getNumPartitions() > 4
+        found = json_arrays.read_arrays(spark, str(tmp_path), element).collect()
+        log = alert_logs.read_json_log(spark, str(tmp_path)).collect()
+        order = history_files.read_array(spark, str(tmp_path / "long.json"), "source_ip string, attack_type string")
+        assert [r.attack_type for r in order.orderBy("pos").collect()] == [r["attack_type"] for r in rows]
+        assert [r.pos for r in order.orderBy("pos").collect()] == list(range(2000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    lists = {}
+    for r in sorted(found, key=lambda r: (r.file, r.start, r.n)):
+        lists.setdefault(r.file.rsplit("/", 1)[1], []).append(r.item)
+    wanted = {}
+    for r in sorted(whole.collect(), key=lambda r: (r.name, r.pos)):
+        wanted.setdefault(r.name, []).append(r.item)
+    assert lists == wanted
+    assert len(lists["long.json"]) == 2000 and len(lists["braces.json"]) == 2 and len(lists["nested.json"]) == 2
+    assert "cut.json" not in lists and "late.json" not in lists
+    assert len(log) == sum(len(items) for items in wanted.values())
