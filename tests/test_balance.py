@@ -126,3 +126,71 @@ def test_linear_margin_finds_a_separable_split(spark):
     rows = [(i, int(i % 2), [float(i % 2) * 4 + i / 100, 1.0]) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, label int, x array<double>")
     assert quality.boundary_violations(df, 15).first()["boundary_violations"] == 0
+
+
+def block(x, first=0):
+    """One block as the tasks see it."""
+    return [{"id": first + i, "x": [float(v) for v in r]} for i, r in enumerate(x)]
+
+
+def test_a_task_keeps_only_the_nearest_of_all_pairs_it_meets():
+    """Pairs of one query block met in a row give ``keep`` rows for each query, not for each pair."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, size=(300, 4)).astype(float) + 1e6
+    rows = [
+        {"scope": "a", "cell": 0, "part": 0, "rows": block(x[:40]), "data": block(x[i : i + 60], i), "bound": [np.inf] * 40}
+        for i in range(0, 300, 60)
+    ]
+    batches = [pa.RecordBatch.from_pylist(rows[:2]), pa.RecordBatch.from_pylist(rows[2:])]
+    found = pa.Table.from_batches(neighbours._compare(4, ["x"])(iter(batches))).to_pylist()
+    assert len(found) == 40 * 4
+    for i in range(40):
+        d2 = neighbours._squared(x[i : i + 1], x)[0]
+        want = sorted((d, j) for j, d in enumerate(np.sqrt(d2)))[:4]
+        assert [(r["dist"], r["nn_id"]) for r in found if r["qid"] == i] == want
+    assert all(r["nn_x"] == x[r["nn_id"]].tolist() for r in found)
+
+
+def test_class_sums_leave_a_task_once_and_short_distances_are_exact():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(100, 5)), rng.normal(size=(100, 5)) * 1e-9]) + 7
+    data = [{**r, "label": r["id"] % 2, "copies": 1 + r["id"] % 3} for r in block(x)]
+    rows = [
+        {"scope": "a", "cell": 0, "part": 0, "rows": data[:150], "data": data[i : i + 50]} for i in range(0, 200, 50)
+    ]
+    found = pa.Table.from_batches(neighbours._class_sums()(iter([pa.RecordBatch.from_pylist(rows)]))).to_pylist()
+    assert len(found) == 150 * 2
+    for r in found:
+        want = sum(
+            p["copies"] * np.sqrt(neighbours._squared(x[r["id"] : r["id"] + 1], x[p["id"] : p["id"] + 1])[0, 0])
+            for p in data
+            if p["label"] == r["other"]
+        )
+        assert r["total"] == pytest.approx(want, rel=1e-12)
+
+
+def test_strips_give_what_whole_blocks_give(monkeypatch):
+    monkeypatch.setattr(neighbours, "STRIP_CELLS", 64)
+    rng = np.random.default_rng(10)
+    q, d = rng.normal(size=(50, 3)), rng.normal(size=(70, 3))
+    d[3, 1] = np.nan
+    for far in (np.inf, 1.0):
+        row, col, d2 = neighbours._near(q, d, np.full(50, far), 5)
+        full = neighbours._squared(q, d)
+        full[~(full <= far)] = np.inf
+        for i in range(50):
+            got = sorted(d2[row == i])[:5]
+            assert got == sorted(v for v in full[i] if np.isfinite(v))[:5]
+    assert (neighbours._kth(q, q, 2) ** 2 >= np.sort(neighbours._squared(q, q), axis=1)[:, 1]).all()
+
+
+def test_pivots_follow_the_largest_scope(spark, tiny):
+    """Many scopes of one row each need no more than one cell."""
+    df = spark.range(400).select(
+        F.col("id").cast("string").alias("scope"), "id", F.array(F.col("id").cast("double")).alias("x")
+    )
+    assert len(neighbours._pivots(df)) == 1
