@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -308,9 +307,13 @@ def e6v(spark: SparkSession, folder: str) -> DataFrame:
     orders = standins.table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     known = encode.fit_dictionary(orders.where("o_orderkey % 5 <> 0"), "o_custkey")
     out = encode.one_hot_vectors(orders, "o_custkey", known, "hot")
-    cells = vector_to_array("hot")
+    # The places are read from the sparse form; the full one has as many cells as there are values.
+    hot = F.unwrap_udt("hot")
+    place = F.array_position(hot["values"], F.lit(1.0)).cast("int") - 1
     return out.select(
-        "o_orderkey", (F.array_position(cells, F.lit(1.0)) - 1).alias("place"), F.size(cells).alias("width")
+        "o_orderkey",
+        F.coalesce(F.get(hot["indices"], place), F.lit(-1)).cast("long").alias("place"),
+        hot["size"].alias("width"),
     )
 
 

@@ -223,3 +223,18 @@ def test_json_arrays_in_pieces(spark, tmp_path):
     assert len(lists["long.json"]) == 2000 and len(lists["braces.json"]) == 2 and len(lists["nested.json"]) == 2
     assert "cut.json" not in lists and "late.json" not in lists
     assert len(log) == sum(len(items) for items in wanted.values())
+
+
+def test_places_of_wide_vectors_are_read_from_the_sparse_form(spark, tmp_path):
+    """No vector is written out in full: its cells are as many as the column has values."""
+    from netwarden.catalog.prepare import e6v
+
+    orders = [(i, i % 7) for i in range(40)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    out = e6v(spark, str(tmp_path))
+    known = sorted({str(c) for o, c in orders if o % 5})
+    assert {r["o_orderkey"]: (r["place"], r["width"]) for r in out.collect()} == {
+        o: (known.index(str(c)), len(known) + 1) for o, c in orders
+    }
+    # The one-hot encoder's own function is left, none that reads the vector.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("UDF(") == 1
