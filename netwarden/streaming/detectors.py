@@ -40,8 +40,15 @@ _HELD = pa.schema(
         ("counted", pa.bool_()),
     ]
 )
+# Of a scan every packet waits with its source: a key holds many sources.
+_SCANNED_HELD = pa.schema([("src_ip", pa.string()), *_HELD])
+_SEEN = pa.schema([("src_ip", pa.string()), ("port", pa.int32()), ("first_us", pa.int64()), ("before_us", pa.int64())])
+# Packets that a piece holds at least before it may end with its stretch.
+PIECE_ROWS = 64
 # Stretches that the packets of one scan slice are kept in.
 SCAN_CELLS = 16
+# Keys that the sources of one scan slice are spread over, and pieces of their ports before they are merged.
+SCAN_BUCKETS, SEEN_PIECES = 64, 8
 _NO_FIRST, _NO_LAST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
 
@@ -50,32 +57,49 @@ def _ms(us: int) -> int:
     return -(-int(us) // 1000)
 
 
+def _packed(rows: pd.DataFrame, schema: pa.Schema) -> tuple[bytes]:
+    columns = [pa.array(rows[f.name], f.type, from_pandas=True) for f in schema]
+    return (pa.RecordBatch.from_arrays(columns, schema=schema).serialize().to_pybytes(),)
+
+
+def _unpacked(held: list[tuple], schema: pa.Schema) -> pd.DataFrame:
+    parts = [pa.ipc.read_record_batch(pa.py_buffer(bytes(x[0])), schema) for x in held]
+    return pa.Table.from_batches(parts, schema).to_pandas(integer_object_nulls=True)
+
+
 class Waiting:
     """Packets of one key that the watermark has not passed, and the key's one pending timer.
 
     Packets lie in pieces by stretch of time. A piece is what one batch brought to a stretch: it is
     written once, read when the watermark reaches its stretch, and never grows. A timer
     touches only stretches it has reached, so a packet is read a bounded number of times however
-    many micro-batches pass while it waits.
+    many micro-batches pass while it waits. Where a batch brings few packets to a stretch, a piece
+    takes those of the next ones too, up to ``PIECE_ROWS`` packets and the end of their stretch:
+    state is not addressed once for every packet of a quiet key.
     """
 
-    def __init__(self, handle: StatefulProcessorHandle, cell: int):
-        self.handle, self.cell = handle, max(int(cell), 1)
-        self.pieces = handle.getMapState("pieces", "cell long, piece long", "rows binary")
+    def __init__(self, handle: StatefulProcessorHandle, cell: int, schema: pa.Schema = _HELD):
+        self.handle, self.cell, self.schema = handle, max(int(cell), 1), schema
+        self.pieces = handle.getMapState("pieces", "cell long, last long, piece long", "rows binary")
         self.numbered = handle.getValueState("numbered", "piece long")
         self.timer = handle.getValueState("timer", "at_ms long")
 
     def add(self, rows: pd.DataFrame) -> None:
         piece = self.numbered.get()[0] if self.numbered.exists() else 0
-        for cell, part in rows.groupby(rows["ts_us"] // self.cell, sort=False):
-            self._put(int(cell), piece, part)
-            piece += 1
+        rows = rows.sort_values("ts_us", kind="stable")
+        cells = rows["ts_us"].to_numpy(np.int64) // self.cell
+        ends = np.append(np.flatnonzero(cells[1:] != cells[:-1]) + 1, len(cells))
+        begin = 0
+        for end in ends:
+            if end - begin >= PIECE_ROWS or end == len(cells):
+                self._put(piece, rows.iloc[begin:end])
+                begin, piece = end, piece + 1
         self.numbered.update((piece,))
 
-    def _put(self, cell: int, piece: int, rows: pd.DataFrame) -> None:
-        columns = [pa.array(rows[f.name], f.type, from_pandas=True) for f in _HELD]
-        held = pa.RecordBatch.from_arrays(columns, schema=_HELD)
-        self.pieces.updateValue((cell, piece), (held.serialize().to_pybytes(),))
+    def _put(self, piece: int, rows: pd.DataFrame) -> None:
+        """One piece of rows in order of time."""
+        first, last = (int(t) // self.cell for t in rows["ts_us"].iloc[[0, -1]])
+        self.pieces.updateValue((first, last, piece), _packed(rows, self.schema))
 
     def ready(self, done: int) -> Iterator[pd.DataFrame]:
         """Take out what lies at ``done`` or before, a stretch at a time and in order of time.
@@ -83,27 +107,34 @@ class Waiting:
         ``self.next`` is then a time no later than the first packet left, or ``None``.
         """
         self.next = None
-        stretches: dict[int, list[int]] = {}
-        for cell, piece in self.pieces.keys():
-            stretches.setdefault(cell, []).append(piece)
-        for cell in sorted(stretches):
-            if cell * self.cell > done:
-                self.next = cell * self.cell if self.next is None else min(self.next, cell * self.cell)
+
+        def left(us: int) -> None:
+            self.next = us if self.next is None else min(self.next, us)
+
+        # Pieces that share a stretch are read together.
+        together: list[list[tuple]] = []
+        reach = None
+        for key in sorted(tuple(k) for k in self.pieces.keys()):
+            if key[0] * self.cell > done:
+                left(key[0] * self.cell)
                 break
-            parts = [
-                pa.ipc.read_record_batch(pa.py_buffer(bytes(self.pieces.getValue((cell, piece))[0])), _HELD)
-                for piece in stretches[cell]
-            ]
-            rows = pa.Table.from_batches(parts).to_pandas(integer_object_nulls=True)
+            if reach is not None and key[0] <= reach:
+                together[-1].append(key)
+                reach = max(reach, key[1])
+            else:
+                together.append([key])
+                reach = key[1]
+        for keys in together:
+            rows = _unpacked([self.pieces.getValue(key) for key in keys], self.schema)
             later = rows[rows["ts_us"] > done]
             if len(later) < len(rows):
-                for piece in stretches[cell]:
-                    self.pieces.removeKey((cell, piece))
+                for key in keys:
+                    self.pieces.removeKey(key)
                 if len(later):
-                    self._put(cell, stretches[cell][0], later)
+                    self._put(keys[0][2], later.sort_values("ts_us", kind="stable"))
                 yield rows[rows["ts_us"] <= done].sort_values(["ts_us", "packet_id"], ignore_index=True)
             if len(later):
-                self.next = int(later["ts_us"].min())
+                left(int(later["ts_us"].min()))
 
     def wake(self, us: int) -> None:
         """Have the key called at ``us``, unless it is called earlier."""
@@ -181,43 +212,64 @@ class CooldownGate(StatefulProcessor):
 
 
 class ScanCounter(StatefulProcessor):
-    """Counts distinct ports in the trailing window for one source and one window-long slice.
-
-    A key sees the packets of its slice and, for the look-back, those of the slice before, so
-    a busy source is a different key in every slice. Of the ports it keeps the first time in the
-    slice and the last time in the one before, as three arrays. A packet is counted and let go
-    when the watermark reaches it: first times up to there cannot change any more.
+    """Counts distinct ports in the trailing window for some sources and one window-long slice.
+
+    A key sees the packets of its sources in its slice and, for the look-back, those of the slice before,
+    so a busy source is in a different key in every slice. Of the ports of each source it keeps the first
+    time in the slice and the last time in the one before. A batch adds what it saw as a piece of its
+    own; pieces are merged when they have become ``SEEN_PIECES``. A packet is counted and let go
+    when the watermark reaches it: first times up to there cannot change any more. All sources
+    of a key are counted in one go, since most have only a few packets in a slice.
     """
 
     def __init__(self, width: int):
         self.width = width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ports = handle.getValueState("ports", "port binary, first_us binary, before_us binary")
-        self.waiting = Waiting(handle, self.width // SCAN_CELLS)
-
-    def _known(self) -> list[np.ndarray]:
-        held = self.ports.get() if self.ports.exists() else (b"", b"", b"")
-        return [np.frombuffer(bytes(x), kind) for x, kind in zip(held, (np.int32, np.int64, np.int64))]
+        self.seen = handle.getMapState("seen", "piece long", "rows binary")
+        self.waiting = Waiting(handle, self.width // SCAN_CELLS, _SCANNED_HELD)
+
+    @staticmethod
+    def _merged(seen: pd.DataFrame) -> pd.DataFrame:
+        """One row for each source and port."""
+        return seen.groupby(["src_ip", "port"], as_index=False, sort=False).agg({"first_us": "min", "before_us": "max"})
+
+    def _known(self) -> pd.DataFrame:
+        numbers = [k[0] for k in self.seen.keys()]
+        known = self._merged(_unpacked([self.seen.getValue((n,)) for n in numbers], _SEEN))
+        if len(numbers) >= SEEN_PIECES:
+            self.seen.clear()
+            self.seen.updateValue((max(numbers) + 1,), _packed(known, _SEEN))
+        return known
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        port, first, before = self._known()
         earliest = (int(key[1]) + 1) * self.width
+        met: list[pd.DataFrame] = []
         for part in rows:
             back = part["look_back"].astype(bool)
             counted = ((part["proto"] == TCP) & part["dst_port"].notna()).fillna(False).astype(bool)
             seen = part[counted]
             old, times = back[counted].to_numpy(), seen["ts_us"].to_numpy(np.int64)
-            met, place = np.unique(np.concatenate([port, seen["dst_port"].to_numpy(np.int32)]), return_inverse=True)
-            firsts, lasts = np.full(len(met), _NO_FIRST), np.full(len(met), _NO_LAST)
-            np.minimum.at(firsts, place, np.concatenate([first, np.where(old, _NO_FIRST, times)]))
-            np.maximum.at(lasts, place, np.concatenate([before, np.where(old, times, _NO_LAST)]))
-            port, first, before = met.astype(np.int32), firsts, lasts
+            met.append(
+                self._merged(
+                    pd.DataFrame(
+                        {
+                            "src_ip": seen["src_ip"].to_numpy(),
+                            "port": seen["dst_port"].to_numpy(np.int32),
+                            "first_us": np.where(old, _NO_FIRST, times),
+                            "before_us": np.where(old, times, _NO_LAST),
+                        }
+                    )
+                )
+            )
             own = part[~back].assign(counted=counted[~back])
             if len(own):
                 self.waiting.add(own)
                 earliest = min(earliest, int(own["ts_us"].min()))
-        self.ports.update((port.tobytes(), first.tobytes(), before.tobytes()))
+        new = self._merged(pd.concat(met)) if met else []
+        if len(new):
+            # Numbers grow, so that a piece never replaces another.
+            self.seen.updateValue((max((k[0] for k in self.seen.keys()), default=-1) + 1,), _packed(new, _SEEN))
         self.waiting.wake(earliest)
         return iter([])
 
@@ -228,23 +280,39 @@ class ScanCounter(StatefulProcessor):
         count = self._steps()
         for rows in self.waiting.ready(done):
             counted = rows["counted"].to_numpy(bool)
-            n_ports = np.where(counted, count(rows["ts_us"].to_numpy(np.int64)), 0)
-            yield rows.assign(src_ip=key[0], n_ports=n_ports)[["src_ip", *_FACTS, "n_ports"]]
+            n_ports = np.where(counted, count(rows["src_ip"].to_numpy(), rows["ts_us"].to_numpy(np.int64)), 0)
+            yield rows.assign(n_ports=n_ports)[["src_ip", *_FACTS, "n_ports"]]
         if done >= end:
-            self.ports.clear()
+            self.seen.clear()
             self.waiting.clear()
         else:
             self.waiting.wake(end if self.waiting.next is None else self.waiting.next)
 
     def _steps(self):
-        """The number of ports in the window as a function of time."""
-        _, first, before = self._known()
+        """The number of ports in the window as a function of source and time."""
+        known = self._known()
+        first, before = known["first_us"].to_numpy(np.int64), known["before_us"].to_numpy(np.int64)
         old, new = before != _NO_LAST, first != _NO_FIRST
         gone = np.where(old, before, 0) + self.width + 1
         stays = old & new & (first < gone)
-        rises, falls = np.sort(first[new & ~stays]), np.sort(gone[old & ~stays])
-        base = int(old.sum())
-        return lambda at: base + np.searchsorted(rises, at, "right") - np.searchsorted(falls, at, "right")
+        rise, fall = new & ~stays, old & ~stays
+
+        def count(source: np.ndarray, at: np.ndarray) -> np.ndarray:
+            code, _ = pd.factorize(np.concatenate([known["src_ip"].to_numpy(), source]))
+            mine, asked = code[: len(known)], code[len(known) :]
+            codes = np.concatenate([mine[rise], mine[fall], asked])
+            times = np.concatenate([first[rise], gone[fall], at])
+            step = np.repeat([1, -1, 0], [rise.sum(), fall.sum(), len(at)])
+            # In order of source and time, and steps before the packets of the same instant.
+            order = np.lexsort((step == 0, times, codes))
+            total = np.empty(len(step), np.int64)
+            total[order] = np.cumsum(step[order])
+            many = int(code.max(initial=-1)) + 1
+            each = np.bincount(codes, step, many).astype(np.int64)
+            base = np.bincount(mine[old], minlength=many) - (np.cumsum(each) - each)
+            return base[asked] + total[len(step) - len(at) :]
+
+        return count
 
     def close(self) -> None:
         pass
@@ -314,7 +382,8 @@ def scan_stream(rows: DataFrame, seconds: float = SCAN_SECONDS, delay: str = "10
     unknown = rows.where(F.col("src_ip").isNull()).select("src_ip", *_FACTS, F.lit(0).cast("long").alias("n_ports"))
     sourced = rows.where(F.col("src_ip").isNotNull()).withWatermark("ts", delay)
     spread = sourced.select("*", F.explode(copies).alias("c")).select("*", "c.*").drop("c")
-    counted_ports = spread.groupBy("src_ip", "slice").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("src_ip"), F.lit(SCAN_BUCKETS))
+    counted_ports = spread.withColumn("bucket", bucket).groupBy("bucket", "slice").transformWithStateInPandas(
         statefulProcessor=ScanCounter(width),
         outputStructType=SCANNED,
         outputMode="Append",

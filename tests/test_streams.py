@@ -214,3 +214,109 @@ def test_replayed_batch_writes_once(spark, tmp_path):
     assert read_alerts(spark, str(tmp_path / "log")).count() == 2
     append_alerts(alerts.withColumn("timestamp", F.lit("2024-01-02 03:04:05")), str(tmp_path / "log"))
     assert read_alerts(spark, str(tmp_path / "log")).count() == 3
+
+
+class Held:
+    """State of one key, in memory."""
+
+    def __init__(self):
+        self.held, self.writes = {}, 0
+
+    def exists(self):
+        return () in self.held
+
+    def get(self):
+        return self.held[()]
+
+    def update(self, value):
+        self.held[()] = value
+
+    def clear(self):
+        self.held.clear()
+
+    def keys(self):
+        return list(self.held)
+
+    def getValue(self, key):
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        assert key not in self.held
+        self.held[key] = value
+        self.writes += 1
+
+    def removeKey(self, key):
+        del self.held[key]
+
+
+class Handle:
+    def __init__(self):
+        self.timers = set()
+
+    def getMapState(self, *_):
+        return Held()
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def waiting_rows(times, first=0, **more):
+    import pandas as pd
+
+    n = len(times)
+    return pd.DataFrame(
+        {"packet_id": range(first, first + n), "ts_us": times, "dst_ip": "d", "proto": 6, "signed": False, "flagged": False, "counted": True, **more}
+    )
+
+
+def test_quiet_keys_wait_in_few_pieces():
+    """50 packets in 50 stretches are one piece; a busy stretch still has a piece of its own."""
+    waiting = detectors.Waiting(Handle(), S)
+    waiting.add(waiting_rows([i * S for i in range(50)][::-1]))
+    assert waiting.pieces.writes == 1
+    waiting.add(waiting_rows([i * S + j for i in (3, 4) for j in range(100)], 100))
+    assert waiting.pieces.writes == 3
+    out, done = [], 0
+    for done in (3 * S + 10, 4 * S + 1, 20 * S, 100 * S):
+        times = [t for part in waiting.ready(done) for t in part["ts_us"]]
+        assert times == sorted(times) and all(t <= done for t in times)
+        left = {t for k in waiting.pieces.keys() for t in detectors._unpacked([waiting.pieces.getValue(k)], waiting.schema)["ts_us"]}
+        assert not left if waiting.next is None else done < waiting.next <= min(left)
+        out += times
+    assert sorted(out) == sorted([i * S for i in range(50)] + [i * S + j for i in (3, 4) for j in range(100)])
+
+
+def test_sources_of_one_scan_key_are_counted_apart():
+    """Many sources share a key; each has its own ports, also over more batches than pieces are kept."""
+
+    class Clock:
+        def __init__(self, us):
+            self.us = us
+
+        def getCurrentWatermarkInMs(self):
+            return self.us // 1000
+
+    rng = random.Random(11)
+    rows = [(f"s{rng.randrange(5)}", rng.randrange(20 * S), rng.randrange(6)) for _ in range(400)]
+    counter = detectors.ScanCounter(10 * S)
+    counter.init(Handle())
+    own = {}
+    for i in range(0, 400, 20):
+        part = rows[i : i + 20]
+        frame = waiting_rows([t for _, t, _ in part], i, src_ip=[s for s, _, _ in part]).drop(columns="counted")
+        frame = frame.assign(dst_port=[p for _, _, p in part], look_back=[t < 10 * S for _, t, _ in part])
+        own |= {i + j: r for j, r in enumerate(part) if r[1] >= 10 * S}
+        counter.handleInputRows((0, 1), iter([frame[:7], frame[7:]]), None)
+    got = {}
+    for done in (11 * S, 12 * S, 40 * S):
+        for part in counter.handleExpiredTimer((0, 1), Clock(done), None):
+            got |= dict(zip(part["packet_id"], part["n_ports"]))
+        assert len(counter.seen.held) <= 1
+    assert got == {
+        i: len({p for s, t, p in rows if s == source and at - 10 * S <= t <= at}) for i, (source, at, _) in own.items()
+    }
