@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,25 @@ FANOUT = 16
 DIRECT_STEPS = 4_096
 
 _NODE = "src_ip string, block long, upto array<long>, last array<long>"
+# Arrow bytes made into Python objects at a time; those take many times as much.
+PIECE_BYTES = 1 << 20
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """The rows of ``batches`` in frames of about ``PIECE_BYTES``, however long their lists are."""
+    for batch in batches:
+        begin, size = 0, 0
+        for i in range(batch.num_rows):
+            size += batch.slice(i, 1).nbytes
+            if size >= PIECE_BYTES or i == batch.num_rows - 1:
+                yield batch.slice(begin, i + 1 - begin).to_pandas()
+                begin, size = i + 1, 0
+
+
+def _arrow(frame: pd.DataFrame) -> pa.RecordBatch:
+    types = {"src_ip": pa.string(), "block": pa.int64(), "since": pa.int64()}
+    schema = pa.schema([(c, types.get(c, pa.list_(pa.int64()))) for c in frame.columns])
+    return pa.RecordBatch.from_pandas(frame, schema=schema, preserve_index=False)
 
 
 def _chain_end(times: np.ndarray, cooldown: int) -> np.ndarray:
@@ -68,8 +88,8 @@ def _trim(upto: np.ndarray, last: np.ndarray, horizon: int) -> tuple[np.ndarray,
 
 
 def _summarise(cooldown: int, width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _pieces(batches):
             upto, last = [], []
             for block, times in zip(rows["block"], rows["times"]):
                 times = np.asarray(times)
@@ -77,7 +97,7 @@ def _summarise(cooldown: int, width: int):
                 u, v = _compress(u, v)
                 upto.append(u)
                 last.append(v)
-            yield rows[["src_ip", "block"]].assign(upto=upto, last=last)
+            yield _arrow(rows[["src_ip", "block"]].assign(upto=upto, last=last))
 
     return run
 
@@ -97,17 +117,17 @@ def _join_steps(nodes: list, cooldown: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compose(cooldown: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _pieces(batches):
             steps = [_join_steps(nodes, cooldown) for nodes in rows["nodes"]]
-            yield rows[["src_ip", "block"]].assign(upto=[u for u, _ in steps], last=[v for _, v in steps])
+            yield _arrow(rows[["src_ip", "block"]].assign(upto=[u for u, _ in steps], last=[v for _, v in steps]))
 
     return run
 
 
 def _resolve(cooldown: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _pieces(batches):
             out: dict[str, list] = {"src_ip": [], "block": [], "since": []}
             for source, since, nodes in zip(rows["src_ip"], rows["since"], rows["nodes"]):
                 for node in nodes:
@@ -115,7 +135,7 @@ def _resolve(cooldown: int):
                     out["block"].append(node["block"])
                     out["since"].append(since)
                     since = _admit(np.asarray(node["upto"]), np.asarray(node["last"]), since, cooldown)
-            yield pd.DataFrame(out)
+            yield _arrow(pd.DataFrame(out))
 
     return run
 
@@ -135,7 +155,7 @@ def _entered(lists: DataFrame, cooldown: int) -> DataFrame:
         .unionByName(
             lists.where(~lone)
             .select("src_ip", "since", "nodes")
-            .mapInPandas(_resolve(cooldown), "src_ip string, block long, since long")
+            .mapInArrow(_resolve(cooldown), "src_ip string, block long, since long")
         )
     )
 
@@ -183,7 +203,7 @@ def kept_ids(packets: DataFrame, seconds: float = COOLDOWN_SECONDS) -> DataFrame
         .unionByName(
             stretches.where(~single)
             .select("src_ip", "block", "times")
-            .mapInPandas(_summarise(cooldown, width), _NODE)
+            .mapInArrow(_summarise(cooldown, width), _NODE)
         )
     )
     levels = [stage(nodes, "stretch")]
@@ -195,7 +215,7 @@ def kept_ids(packets: DataFrame, seconds: float = COOLDOWN_SECONDS) -> DataFrame
             break
         above = _in_order(levels[-1], F.col("src_ip"), _parent())
         levels.append(
-            stage(above.withColumnRenamed("parent", "block").mapInPandas(_compose(cooldown), _NODE), "stretch")
+            stage(above.withColumnRenamed("parent", "block").mapInArrow(_compose(cooldown), _NODE), "stretch")
         )
     top = _in_order(levels[-1], F.col("src_ip")).withColumn("since", F.lit(_NEVER).cast("long"))
     since = _entered(top, cooldown)

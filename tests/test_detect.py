@@ -140,3 +140,21 @@ def test_cascade_table(spark):
     df = spark.createDataFrame(rows, "id int, x array<double>, prob double, mse double, want string")
     got = df.select("id", "want", verdict.cascade(F.col("x"), F.col("prob"), F.col("mse"), 1.0).alias("got"))
     assert [r["id"] for r in got.collect() if r["got"] != r["want"]] == []
+
+
+def test_long_lists_become_python_objects_in_pieces(monkeypatch):
+    """What a task holds as Python objects does not follow the rows of an Arrow batch."""
+    import pyarrow as pa
+
+    from netwarden.operators import cooldown
+
+    monkeypatch.setattr(cooldown, "PIECE_BYTES", 1000)
+    rows = [{"src_ip": f"s{i}", "block": 0, "times": list(range(i, i + 50))} for i in range(40)]
+    batch = pa.RecordBatch.from_pylist(rows)
+    pieces = list(cooldown._pieces(iter([batch, batch.slice(0, 0)])))
+    assert max(len(p) for p in pieces) <= 3 and sum(len(p) for p in pieces) == 40
+    out = list(cooldown._summarise(10, 160)(iter([batch])))
+    assert len(out) == len(pieces)
+    assert pa.Table.from_batches(out).column("last").to_pylist() == [
+        pa.Table.from_batches(cooldown._summarise(10, 160)(iter([batch.slice(i, 1)]))).column("last")[0].as_py() for i in range(40)
+    ]
