@@ -76,3 +76,14 @@ def test_repeat_rows(spark):
 def test_hash_unit_is_uniform(spark):
     total = spark.range(10_000).agg(F.avg(scale.hash_unit(42, F.col("id")))).first()[0]
     assert abs(total - 0.5) < 0.01
+
+
+def test_lookup_partitions_grow_with_the_rows(spark, tiny, monkeypatch):
+    """A look-up by shuffle reads no more rows in a task as the table grows."""
+    monkeypatch.setattr(scale, "TASK_ROWS", 50)
+    rows = spark.range(2000).select("id", (F.col("id") % 300).alias("k"))
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("k") * 2)
+    out = scale.lookup(rows, table, ["k"], "n", "left")
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert ", 40)" in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["v"] for r in out.collect()} == {i: i % 300 * 2 for i in range(2000)}
