@@ -101,3 +101,24 @@ def test_a_repeated_batch_is_written_once(spark, tmp_path):
         alert_logs.read_text_log(spark, f"{tmp_path}/text"),
     ):
         assert log_.count() == 100 and log_.where("source_ip = '10.9.9.9'").count() == 50
+
+
+def test_seeds_of_a_method_run_side_by_side(spark, monkeypatch):
+    """All tables of a method are in the making before the first is done; order and errors are as before."""
+    import threading
+
+    meet = threading.Barrier(3, timeout=60)
+
+    def made(rows, method, seed):
+        if method == "none":
+            raise ValueError(f"none for {seed}")
+        meet.wait()
+        return rows
+
+    monkeypatch.setattr(resample, "oversample", made)
+    rng = np.random.default_rng(12)
+    rows = [(i, int(i % 3 == 0), [float(v) for v in rng.normal(size=2)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, label int, x array<double>")
+    found = resample.compare_methods(df, [1, 2, 3], ["all", "none"])
+    assert {r["n"] for r in found.where("method = 'all'").collect()} == {3}
+    assert found.where("method = 'none'").first()["error"] == "none for 3"
