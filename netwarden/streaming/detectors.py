@@ -85,8 +85,11 @@ class Waiting:
         self.timer = handle.getValueState("timer", "at_ms long")
 
     def add(self, rows: pd.DataFrame) -> None:
+        # A packet without a time is never due.
+        rows = rows[rows["ts_us"].notna()].sort_values("ts_us", kind="stable")
+        if rows.empty:
+            return
         piece = self.numbered.get()[0] if self.numbered.exists() else 0
-        rows = rows.sort_values("ts_us", kind="stable")
         cells = rows["ts_us"].to_numpy(np.int64) // self.cell
         ends = np.append(np.flatnonzero(cells[1:] != cells[:-1]) + 1, len(cells))
         begin = 0
@@ -173,6 +176,7 @@ class CooldownGate(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
         for part in rows:
+            part = part[part["ts_us"].notna()]
             if last is not None:
                 part = part[part["ts_us"] >= last + self.cooldown]
             part = part.sort_values(["ts_us", "packet_id"]).drop_duplicates("ts_us")

@@ -320,3 +320,17 @@ def test_sources_of_one_scan_key_are_counted_apart():
     assert got == {
         i: len({p for s, t, p in rows if s == source and at - 10 * S <= t <= at}) for i, (source, at, _) in own.items()
     }
+
+
+def test_packets_without_a_time_do_not_disturb_the_gate():
+    gate, handle = detectors.CooldownGate(10 * S), Handle()
+    gate.init(handle)
+    rows = waiting_rows([None, 5 * S, None, 70 * S]).drop(columns="counted")
+    gate.handleInputRows(("a",), iter([rows, rows[:1]]), None)
+    assert handle.timers == {5000} and gate.waiting.pieces.writes == 1
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 100_000
+
+    assert [i for f in gate.handleExpiredTimer(("a",), Clock(), None) for i in f["packet_id"]] == [1, 3]
