@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netwarden.plans.scale import hash_unit
+from netwarden.plans.scale import hash_unit, hash_units
 
 # Columns an artifact table must have, with their types.
 ARTIFACT_SCHEMA = "feature string, ord int, kind string, data_min double, data_max double"
@@ -62,23 +65,33 @@ def write_report(wide: DataFrame, path: str, kind: str = "csv") -> str:
     return write_table(metric_rows(wide).coalesce(1), path, kind)
 
 
-def _normal(seed: int) -> Column:
-    """A standard normal draw per ``id`` from two digests: the same for any partitioning."""
-    first = F.greatest(hash_unit(f"{seed}a", F.col("id")), F.lit(2.0**-33))
-    turn = hash_unit(f"{seed}b", F.col("id")) * F.lit(2 * math.pi)
-    return F.sqrt(F.log(first) * -2) * F.cos(turn)
+def _normals(seeds: list[int], ids: np.ndarray) -> np.ndarray:
+    """Standard normal draws per ``id``, a row per seed, from two digests: the same for any partitioning."""
+    first = np.maximum(hash_units([f"{s}a" for s in seeds], ids), 2.0**-33)
+    turn = hash_units([f"{s}b" for s in seeds], ids) * (2 * math.pi)
+    return np.sqrt(np.log(first) * -2) * np.cos(turn)
 
 
-def synthetic_labelled(spark: SparkSession, rows: int = 10_000, features: int = 20, seed: int = 42) -> DataFrame:
-    """Half normal traffic around 0.2, half attacks around 0.8, with noise, clipped to [0, 1]."""
-    base = spark.range(rows).withColumn("Label", (F.col("id") >= rows // 2).cast("int"))
-    centre = F.when(F.col("Label") == 1, 0.8).otherwise(0.2)
+def _labelled(normal: int, features: int, seed: int):
+    """Rows of ids; those below ``normal`` are normal traffic."""
 
-    def cell(i: int):
-        value = centre + F.lit(0.1) * _normal(seed + i) + F.lit(0.05) * _normal(seed + 1000 + i)
-        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)).alias(f"feature_{i}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch["id"].to_numpy()
+            label = (ids >= normal).astype(np.int32)
+            centre = np.where(label == 1, 0.8, 0.2)
+            spread = _normals([seed + i for i in range(features)], ids)
+            noise = _normals([seed + 1000 + i for i in range(features)], ids)
+            cells = np.clip(centre + 0.1 * spread + 0.05 * noise, 0.0, 1.0)
+            yield pa.RecordBatch.from_pydict({**{f"feature_{i}": cells[i] for i in range(features)}, "Label": label})
+
+    return run
 
-    return base.select(*[cell(i) for i in range(features)], "Label")
+
+def synthetic_labelled(spark: SparkSession, rows: int = 10_000, features: int = 20, seed: int = 42) -> DataFrame:
+    """Half normal traffic around 0.2, half attacks around 0.8, with noise, clipped to [0, 1]."""
+    columns = "".join(f"feature_{i} double, " for i in range(features))
+    return spark.range(rows).mapInArrow(_labelled(rows // 2, features, seed), f"{columns}Label int")
 
 
 # Uniform range of each leading feature; the second one is a protocol code.

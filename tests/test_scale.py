@@ -1,5 +1,6 @@
 """The building blocks, with limits low enough to run their large-data paths."""
 
+import math
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netwarden.plans import scale
+from netwarden.sources import tables
 
 
 def skewed(spark, n=400):
@@ -87,3 +89,33 @@ def test_lookup_partitions_grow_with_the_rows(spark, tiny, monkeypatch):
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
     assert ", 40)" in out._jdf.queryExecution().executedPlan().toString()
     assert {r["id"]: r["v"] for r in out.collect()} == {i: i % 300 * 2 for i in range(2000)}
+
+
+def test_digests_of_a_batch(spark):
+    """Digests made for a whole batch are those of the column function, for ids of any length and sign."""
+    ids = [0, 9, 10, 99, 12345, 2**31, -7, 2**63 - 1, -(2**63)]
+    seeds = ["42a", "1042b", "", "x" * 30]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    want = df.select("id", *[scale.hash_unit(s, F.col("id")).alias(f"u{i}") for i, s in enumerate(seeds)]).collect()
+    found = scale.hash_units(seeds, np.array(ids))
+    assert {r["id"]: tuple(r)[1:] for r in want} == {i: tuple(found[:, at]) for at, i in enumerate(ids)}
+    assert scale.hash_units(seeds, np.array([], np.int64)).shape == (4, 0)
+    with pytest.raises(ValueError):
+        scale.hash_units(["x" * 60], np.array(ids))
+
+
+def test_synthetic_rows_follow_the_digests(spark):
+    """Every cell is its centre plus two normal draws from digests; no plan holds a digest for each cell."""
+    rows = tables.synthetic_labelled(spark, 300, 3)
+    assert "md5" not in rows._jdf.queryExecution().toString()
+    found = np.array(rows.collect(), dtype=float)
+    ids = spark.range(300)
+
+    def draw(seed):
+        far = F.sqrt(F.log(F.greatest(scale.hash_unit(f"{seed}a", F.col("id")), F.lit(2.0**-33))) * -2)
+        return far * F.cos(scale.hash_unit(f"{seed}b", F.col("id")) * (2 * math.pi))
+
+    centre = F.when(F.col("id") >= 150, 0.8).otherwise(0.2)
+    cells = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), centre + draw(42 + i) * 0.1 + draw(1042 + i) * 0.05)) for i in range(3)]
+    want = np.array(ids.select(*cells, (F.col("id") >= 150).cast("int")).collect(), dtype=float)
+    assert np.abs(found - want).max() < 1e-12
