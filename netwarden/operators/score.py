@@ -6,6 +6,7 @@ function, once per Python worker. Training uses Spark's own fitters.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from netwarden.functions.values import softmax
 from netwarden.operators.verdict import ATTACK_PROBABILITY, cascade, input_error, reconstruction_error
-from netwarden.plans.scale import exact_quantiles
+from netwarden.plans.scale import TASK_ROWS, exact_quantiles
 
 # Hidden layers of the named variants, and members of the ensemble.
 VARIANTS = {
@@ -30,6 +31,8 @@ VARIANTS = {
     "stabilized": [128, 64, 32],
 }
 ENSEMBLE_MEMBERS = 3
+# Rows below which a training partition is not worth a task of its own.
+FIT_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -127,6 +130,16 @@ def _points(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """``rows`` in partitions of equal size, as many as there are cores if the rows suffice for that.
+
+    A fitter passes over its partitions in every round, and a stored table may lie in very few.
+    """
+    n = rows.count()
+    wanted = max(min(rows.sparkSession.sparkContext.defaultParallelism, n // FIT_ROWS), math.ceil(n / TASK_ROWS))
+    return rows.repartition(wanted) if wanted > 1 else rows
+
+
 def train(
     rows: DataFrame, variant: str = "simple", iterations: int = 60, seed: int = 42
 ) -> list[MultilayerPerceptronClassificationModel]:
@@ -134,10 +147,11 @@ def train(
     if variant == "ensemble":
         return [m for i in range(ENSEMBLE_MEMBERS) for m in train(rows, "simple", iterations, seed + i)]
     width = len(rows.select("x").first()["x"])
+    points = _spread(_points(rows))
     fitter = MultilayerPerceptronClassifier(
         layers=[width, *VARIANTS[variant], 2], maxIter=iterations, seed=seed
     )
-    return [fitter.fit(_points(rows))]
+    return [fitter.fit(points)]
 
 
 def predict(models: list[MultilayerPerceptronClassificationModel], rows: DataFrame) -> DataFrame:

@@ -161,6 +161,17 @@ def test_training_beats_chance(spark):
     assert evaluate.performance(out).first()["accuracy"] > 0.9
 
 
+def test_training_rows_spread_over_the_cores(spark):
+    """Rows that lie in one partition are dealt out evenly before a fitter passes over them; few rows stay."""
+    rows = spark.range(4 * score.FIT_ROWS + 7).withColumn("label", F.lit(0)).coalesce(1)
+    spread = score._spread(rows)
+    sizes = [r["n"] for r in spread.groupBy(F.spark_partition_id()).agg(F.count("id").alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) - min(sizes) < 16
+    assert spread.agg(F.count_distinct("id")).first()[0] == 4 * score.FIT_ROWS + 7
+    assert score._spread(rows.limit(score.FIT_ROWS)).rdd.getNumPartitions() == 1
+    assert score._spread(rows.limit(0)).count() == 0
+
+
 def test_bounds_follow_from_the_values(spark):
     """Bounds taken from dictionaries equal those measured on the encoded rows, also for constant columns."""
     rows = [(float(i % 5), 7, "x", "a" if i % 3 else "b", f"10.0.0.{i % 4}", "one" if i % 2 else "two") for i in range(24)]
