@@ -4,8 +4,8 @@ Points are assigned to the nearest of a few pivots. Each pivot's cell is cut int
 bounded size by the digest of the id. A first comparison of every query block with one block
 of its own cell bounds how far its k-th neighbours can be; by the triangle inequality all
 cells farther away than that are skipped. The remaining (query block, data block) pairs are
-compared inside tasks with numpy: a matrix product tells which rows may be near enough, and only
-those distances are computed in full. A task keeps the k best of a query block over all pairs that
+compared inside tasks with numpy: a matrix product, in single precision where its error is small beside
+the distances asked for, tells which rows may be near enough, and only those distances are computed in full. A task keeps the k best of a query block over all pairs that
 it meets in a row, so that what leaves it does not grow with the number of pairs.
 
 Copies of a vector are collapsed first: of m equal vectors only the k + 1 smallest ids can be
@@ -33,6 +33,10 @@ BLOCK_ROWS = 8192
 MAX_PIVOTS = 256
 # Distances held at a time, however large the blocks.
 STRIP_CELLS = 1 << 20
+# Rows of a square of distances that a core's cache holds.
+TILE_ROWS = 512
+# Columns of which one distance, the smallest, counts when a radius is bounded.
+RUN_COLUMNS = 64
 _BLOCK = "scope string, cell int, part int"
 
 
@@ -70,6 +74,63 @@ class _Products:
         left[:, -1] = self.qn[at] - by
         return left @ self.right
 
+    def least(self, at: slice) -> np.ndarray:
+        """The smallest squared distance of the rows ``at`` in every run of columns."""
+        left = self.left[at].copy()
+        left[:, -1] = self.qn[at]
+        parts = []
+        for i in range(0, self.right.shape[1], TILE_ROWS):
+            d2 = left @ self.right[:, i : i + TILE_ROWS]
+            parts.append(np.minimum.reduceat(d2, range(0, d2.shape[1], RUN_COLUMNS), axis=1))
+        return np.hstack(parts)
+
+    def single(self, edge: np.ndarray) -> _SingleProducts | None:
+        """The same in single precision, or nothing where its error would be large beside most of ``edge``."""
+        slack = (self.right.shape[0] + 8) * 2.0**-22 * self.most + 1e-30
+        if self.most.max() > 1e36 or np.count_nonzero(slack > edge / 20) * 8 > len(edge):
+            return None
+        return _SingleProducts(self, edge, slack)
+
+
+class _SingleProducts:
+    """Which pairs may be within their row's ``edge``, by products in single precision and a bound of their error."""
+
+    def __init__(self, products: _Products, edge: np.ndarray, slack: np.ndarray):
+        self.left = products.left.astype(np.float32)
+        self.left[:, -1] = products.qn - edge - slack
+        # Columns are filled up with ones that are never met, so that eight marks make a word.
+        height, width = products.right.shape
+        right = np.zeros((height, -(-width // 8) * 8), np.float32)
+        right[:, :width] = products.right
+        right[-2, width:] = 1
+        self.tiles = [
+            (i, np.ascontiguousarray(right[:, i : i + TILE_ROWS])) for i in range(0, right.shape[1], TILE_ROWS)
+        ]
+
+    def met(self, at: slice, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """``(row, col)`` of the rows ``at``, or nothing if there are far more than ``most``."""
+        rows, cols, n = [], [], 0
+        for first, right in self.tiles:
+            marks = (self.left[at] @ right <= 0).view(np.uint64)
+            # Few pairs are met: words without any are passed over.
+            row, word = np.divmod(np.flatnonzero(marks), marks.shape[1])
+            hit, place = np.nonzero(marks[row, word][:, None].view(np.bool_))
+            rows.append(row[hit] + at.start)
+            cols.append(word[hit] * 8 + place + first)
+            n += len(hit)
+            if n > most:
+                return None
+        return np.concatenate(rows), np.concatenate(cols)
+
+
+def _products(q: np.ndarray, d: np.ndarray) -> _Products | None:
+    """Nothing for values that products cannot hold: missing, infinite or with squares that overflow."""
+    if len(d) == 0 or not (np.isfinite(q).all() and np.isfinite(d).all()):
+        return None
+    with np.errstate(over="ignore", invalid="ignore"):
+        products = _Products(q, d)
+    return products if np.isfinite(products.most).all() else None
+
 
 def _strips(q: np.ndarray, d: np.ndarray) -> Iterator[slice]:
     step = max(1, STRIP_CELLS // max(len(d), 1))
@@ -77,10 +138,19 @@ def _strips(q: np.ndarray, d: np.ndarray) -> Iterator[slice]:
 
 
 def _kth(q: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
-    """Upper bounds of the distances to each row's ``k``-th nearest of ``d``."""
+    """Upper bounds of the distances to each row's ``k``-th nearest of ``d``.
+
+    Where there are many columns, the smallest distances of runs of them are taken: ``k`` of these belong to ``k`` rows.
+    """
     out = np.empty(len(q))
-    exact = not (np.isfinite(q).all() and np.isfinite(d).all())
-    products = None if exact else _Products(q, d)
+    products = _products(q, d)
+    exact = products is None
+    if not exact and len(d) >= 8 * k * RUN_COLUMNS:
+        for i in range(0, len(q), TILE_ROWS):
+            at = slice(i, min(i + TILE_ROWS, len(q)))
+            least = products.least(at)
+            out[at] = np.partition(least, k - 1, axis=1)[:, k - 1] + products.slack[at]
+        return np.sqrt(np.maximum(out, 0.0))
     for at in _strips(q, d):
         d2 = _squared(q[at], d) if exact else products.less(at, -products.slack[at])
         out[at] = np.partition(d2, k - 1, axis=1)[:, k - 1]
@@ -93,34 +163,54 @@ def _near(q: np.ndarray, d: np.ndarray, limit: np.ndarray, keep: int):
     What is left out is certainly farther than ``limit`` or than ``keep`` others; the squared distances
     given are those of ``_squared``.
     """
+    products = _products(q, d)
+    if products is None:
+        return _near_in_full(q, d, limit, keep)
+    # No distance is above ``most``, so an open limit can be closed there.
+    edge = np.minimum(limit, products.most)
+    single = products.single(edge)
     found = []
-    exact = not (np.isfinite(q).all() and np.isfinite(d).all())
-    products = None if exact or len(d) == 0 else _Products(q, d)
-    for at in _strips(q, d):
-        first = at.start
-        if products is None:
-            d2 = _squared(q[at], d)
-            edge = np.partition(d2, keep - 1, axis=1)[:, keep - 1] if d2.shape[1] > keep else np.full(len(d2), np.inf)
-            row, col = np.nonzero(d2 <= np.minimum(edge, limit[at])[:, None])
-            found.append((row + first, col, d2[row, col]))
-            continue
-        # No distance is above ``most``, so an open limit can be closed there.
-        over = products.less(at, np.minimum(limit[at], products.most[at]) + products.slack[at])
-        place = np.flatnonzero(over <= 0)
-        if len(place) > 4 * keep * len(over) and len(d) > keep:
-            edge = np.partition(over, keep - 1, axis=1)[:, keep - 1] + 2 * products.slack[at]
-            place = np.flatnonzero(over <= np.minimum(edge, 0)[:, None])
-        row, col = np.divmod(place, len(d))
-        row += first
+    step = TILE_ROWS if single else len(q)
+    for i in range(0, len(q), step):
+        at = slice(i, min(i + step, len(q)))
+        pairs = single and single.met(at, 4 * keep * step)
+        row, col = pairs or _near_in_double(products, at, edge, keep)
+        gap = q[row] - d[col]
         d2 = np.zeros(len(row))
         for j in range(q.shape[1]):
-            gap = q[row, j] - d[col, j]
-            d2 += gap * gap
+            d2 += gap[:, j] * gap[:, j]
         met = d2 <= limit[row]
         found.append((row[met], col[met], d2[met]))
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
+def _near_in_full(q: np.ndarray, d: np.ndarray, limit: np.ndarray, keep: int):
+    """``_near`` for values that no product can hold."""
+    found = []
+    for at in _strips(q, d):
+        d2 = _squared(q[at], d)
+        edge = np.partition(d2, keep - 1, axis=1)[:, keep - 1] if d2.shape[1] > keep else np.full(len(d2), np.inf)
+        row, col = np.nonzero(d2 <= np.minimum(edge, limit[at])[:, None])
+        found.append((row + at.start, col, d2[row, col]))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def _near_in_double(products: _Products, rows: slice, edge: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, col)`` of all pairs of ``rows`` that may be within ``edge`` and among the row's ``keep`` nearest."""
+    found, width = [], products.right.shape[1]
+    step = max(1, STRIP_CELLS // width)
+    for i in range(rows.start, rows.stop, step):
+        at = slice(i, min(i + step, rows.stop))
+        over = products.less(at, edge[at] + products.slack[at])
+        place = np.flatnonzero(over <= 0)
+        if len(place) > 4 * keep * len(over) and width > keep:
+            least = np.partition(over, keep - 1, axis=1)[:, keep - 1] + 2 * products.slack[at]
+            place = np.flatnonzero(over <= np.minimum(least, 0)[:, None])
+        row, col = np.divmod(place, width)
+        found.append((row + i, col))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
 def _cells(rows: pa.ListScalar) -> pa.StructArray:
     """The entries of a block."""
     return rows.values
@@ -226,18 +316,26 @@ class _Nearest:
         row, col, d2 = _near(self.q, d, self.limit, self.keep)
         if len(row) == 0:
             return
-        row, d2, ids = np.append(self.row, row), np.append(self.d2, d2), np.append(self.ids, ids[col])
+        # Only the lists of rows that met something are made anew.
+        touched = np.zeros(len(self.q), bool)
+        touched[row] = True
+        before = touched[self.row]
+        old = np.flatnonzero(before)
+        rest = np.flatnonzero(~before)
+        row, d2, ids = np.append(self.row[old], row), np.append(self.d2[old], d2), np.append(self.ids[old], ids[col])
         order = np.lexsort((ids, d2, row))
         sorted_ = row[order]
         place = np.arange(len(order)) - np.searchsorted(sorted_, sorted_)
         kept = order[place < self.keep]
         last = order[place == self.keep - 1]
         self.limit[row[last]] = np.minimum(self.limit[row[last]], d2[last])
-        self.row, self.d2, self.ids = row[kept], d2[kept], ids[kept]
+        self.row = np.append(self.row[rest], row[kept])
+        self.d2, self.ids = np.append(self.d2[rest], d2[kept]), np.append(self.ids[rest], ids[kept])
         for c in self.carry:
             # A missing value is kept as NaN: the columns carried are ints, which a double holds.
             new = d if c == "x" else entries.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False)
-            self.carried[c] = np.concatenate([self.carried[c], new[col]])[kept]
+            have = self.carried[c]
+            self.carried[c] = np.concatenate([have[rest], np.concatenate([have[old], new[col]])[kept]])
 
     def result(self) -> pa.RecordBatch:
         n = len(self.row)
@@ -430,26 +528,36 @@ def _part_numbers() -> Column:
     return F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))
 
 
-def _distances(q: np.ndarray, d: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-    """Distances of strips of ``q`` to all of ``d``; short ones, which a matrix product blurs, in full."""
-    exact = not (np.isfinite(q).all() and np.isfinite(d).all())
-    products = None if exact else _Products(q, d)
-    for at in _strips(q, d):
-        if exact:
-            yield at, np.sqrt(_squared(q[at], d))
-            continue
-        d2 = products.less(at, np.zeros(1))
-        place = np.flatnonzero(d2 < (1e6 * products.slack[at])[:, None])
-        if len(place) * 8 > d2.size:
-            d2 = _squared(q[at], d)
-        elif len(place):
-            row, col = np.divmod(place, len(d))
-            short = np.zeros(len(row))
-            for j in range(q.shape[1]):
-                gap = q[row + at.start, j] - d[col, j]
-                short += gap * gap
-            d2[row, col] = short
-        yield at, np.sqrt(d2, out=d2)
+def _distances(q: np.ndarray, d: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Distances of ``q`` to ``d`` by tiles; short ones, which a matrix product blurs, in full."""
+    products = _products(q, d)
+    if products is None:
+        for at in _strips(q, d):
+            yield at, slice(0, len(d)), np.sqrt(_squared(q[at], d))
+        return
+    left = products.left
+    left[:, -1] = products.qn
+    tiles = [
+        (slice(i, i + TILE_ROWS), np.ascontiguousarray(products.right[:, i : i + TILE_ROWS]))
+        for i in range(0, len(d), TILE_ROWS)
+    ]
+    for i in range(0, len(q), TILE_ROWS // 2):
+        at = slice(i, i + TILE_ROWS // 2)
+        near = 1e6 * products.slack[at]
+        for to, right in tiles:
+            d2 = left[at] @ right
+            if d2.min() < near.max():
+                place = np.flatnonzero(d2 < near[:, None])
+                if len(place) * 8 > d2.size:
+                    d2 = _squared(q[at], d[to])
+                elif len(place):
+                    row, col = np.divmod(place, d2.shape[1])
+                    gap = q[row + i] - d[col + to.start]
+                    short = np.zeros(len(row))
+                    for j in range(q.shape[1]):
+                        short += gap[:, j] * gap[:, j]
+                    d2[row, col] = short
+            yield at, to, np.sqrt(d2, out=d2)
 
 
 class _Sums:
@@ -461,12 +569,15 @@ class _Sums:
 
     def add(self, entries: pa.StructArray) -> None:
         label = entries.field("label").to_numpy(zero_copy_only=False)
-        classes, place = np.unique(label, return_inverse=True)
+        # By class, so that a tile meets the columns of few classes.
+        order = np.argsort(label, kind="stable")
+        classes, place = np.unique(label[order], return_inverse=True)
         weight = np.zeros((len(label), len(classes)))
-        weight[np.arange(len(label)), place] = entries.field("copies").to_numpy(zero_copy_only=False)
-        total = np.empty((len(self.q), len(classes)))
-        for at, dist in _distances(self.q, _vectors(entries)):
-            total[at] = dist @ weight
+        weight[np.arange(len(label)), place] = entries.field("copies").to_numpy(zero_copy_only=False)[order]
+        total = np.zeros((len(self.q), len(classes)))
+        for at, to, dist in _distances(self.q, _vectors(entries)[order]):
+            own = slice(place[to][0], place[to][-1] + 1)
+            total[at, own] += dist @ weight[to, own]
         for i, c in enumerate(classes):
             self.total[int(c)] = self.total.get(int(c), 0.0) + total[:, i]
 

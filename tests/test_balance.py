@@ -188,6 +188,59 @@ def test_strips_give_what_whole_blocks_give(monkeypatch):
     assert (neighbours._kth(q, q, 2) ** 2 >= np.sort(neighbours._squared(q, q), axis=1)[:, 1]).all()
 
 
+def test_tight_limits_need_products_in_single_precision_only(monkeypatch):
+    """Small tiles, a width that no word of marks fills, and limits that lie exactly on a distance."""
+    rng = np.random.default_rng(11)
+    q, d = rng.normal(size=(90, 6)), rng.normal(size=(203, 6))
+    d[::9] = q[: len(d[::9])] + 1e-7
+    full = neighbours._squared(q, d)
+    limit = np.sort(full, axis=1)[:, 3]
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 16)
+    monkeypatch.setattr(neighbours, "_near_in_double", None)
+    row, col, d2 = neighbours._near(q, d, limit, 4)
+    assert sorted(zip(row, col)) == sorted(zip(*np.nonzero(full <= limit[:, None])))
+    assert (d2 == full[row, col]).all()
+
+
+def test_wide_values_are_compared_in_double(monkeypatch):
+    """Far blobs leave single precision no room, and open limits meet too many rows: both end up exact."""
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 16)
+    for scale, spread in ((1e5, 1.0), (1.0, 1.0), (1e200, 1.0), (1e-30, 1e-30)):
+        q = rng.normal(size=(40, 3)) * spread + scale * rng.integers(0, 2, size=(40, 1))
+        d = rng.normal(size=(150, 3)) * spread + scale * rng.integers(0, 2, size=(150, 1))
+        full = neighbours._squared(q, d)
+        for limit in (np.full(40, np.inf), np.sort(full, axis=1)[:, 4]):
+            row, col, d2 = neighbours._near(q, d, limit, 3)
+            for i in range(40):
+                assert sorted(d2[row == i])[:3] == sorted(full[i])[:3]
+
+
+def test_radius_from_runs_of_columns_is_a_bound(monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 32)
+    monkeypatch.setattr(neighbours, "RUN_COLUMNS", 5)
+    rng = np.random.default_rng(13)
+    q, d = rng.normal(size=(70, 4)), rng.normal(size=(333, 4))
+    ordered = np.sort(neighbours._squared(q, d), axis=1)
+    bound = neighbours._kth(q, d, 3) ** 2
+    assert (bound >= ordered[:, 2]).all() and (bound <= ordered[:, 20]).all()
+
+
+def test_class_sums_by_tiles(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 8)
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(61, 3))
+    data = [{**r, "label": r["id"] % 4, "copies": 1 + r["id"] % 3} for r in block(x)]
+    rows = [{"scope": "a", "cell": 0, "part": 0, "rows": data[:20], "data": data}]
+    found = pa.Table.from_batches(neighbours._class_sums()(iter([pa.RecordBatch.from_pylist(rows)]))).to_pylist()
+    assert len(found) == 20 * 4
+    for r in found:
+        dist = np.sqrt(neighbours._squared(x[r["id"] : r["id"] + 1], x)[0])
+        assert r["total"] == pytest.approx(sum(dist[p["id"]] * p["copies"] for p in data if p["label"] == r["other"]), rel=1e-12)
+
+
 def test_pivots_follow_the_largest_scope(spark, tiny):
     """Many scopes of one row each need no more than one cell."""
     df = spark.range(400).select(
