@@ -408,9 +408,17 @@ def nearest_lists(
     unique = stage(
         asked.groupBy("scope", "x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "asked"
     )
+    lists = _search(kept, unique.select("scope", "id", "x"), keep, carry)
+    per_vector = stage(unique.join(lists, ["scope", "id"]).select("scope", "x", "found", "copies"), "lists")
+    own = F.slice(F.filter("found", lambda f: f["nn_id"] != F.col("id")), 1, k)
+    return lookup(asked, per_vector, ["scope", "x"], "copies").select("scope", "id", own.alias("found"))
+
+
+def _search(kept: DataFrame, unique: DataFrame, keep: int, carry: list[str]) -> DataFrame:
+    """``(scope, id, found)``: the ``keep`` nearest rows of ``kept`` for each row of ``unique``, itself included."""
     pivots = _pivots(kept)
-    stored = stage(blocks(kept, pivots, ", ".join(f"{c} int" for c in extra)), "blocks")
-    asking = stage(blocks(unique.select("scope", "id", "x"), pivots), "blocks")
+    stored = stage(blocks(kept, pivots, ", ".join(f"{c} int" for c in carry if c != "x")), "blocks")
+    asking = stage(blocks(unique, pivots), "blocks")
     # Any block of the own cell can bound the radius; without one the bound stays open.
     homes = stored.select(
         "scope", "cell", F.col("part").alias("home_part"), F.col("rows").alias("home")
@@ -451,10 +459,7 @@ def nearest_lists(
     merged = top_per(best, ["scope", "qid"], [F.col("dist"), F.col("nn_id")], keep, "place")
     # At most k + 1 entries per vector: one short list serves all its copies.
     entry = F.struct("dist", "nn_id", *[f"nn_{c}" for c in carry])
-    lists = merged.groupBy("scope", F.col("qid").alias("id")).agg(F.array_sort(F.collect_list(entry)).alias("found"))
-    per_vector = stage(unique.join(lists, ["scope", "id"]).select("scope", "x", "found", "copies"), "lists")
-    own = F.slice(F.filter("found", lambda f: f["nn_id"] != F.col("id")), 1, k)
-    return lookup(asked, per_vector, ["scope", "x"], "copies").select("scope", "id", own.alias("found"))
+    return merged.groupBy("scope", F.col("qid").alias("id")).agg(F.array_sort(F.collect_list(entry)).alias("found"))
 
 
 def nearest(
@@ -502,7 +507,8 @@ def nearest_approximate(
 
     For callers that can do without certainty: rows at angle ``a`` share a table's bucket with probability
     ``(1 - a / pi) ** bits`` and are met in one of ``tables`` such tables. Inside a bucket, which
-    is cut into blocks like any scope, the search is exact. The planes pass through the mean.
+    is cut into blocks like any scope, the search is exact. The planes pass through the mean. Copies of a
+    vector lie in the same buckets: they are collapsed before rows go into their ``tables`` buckets.
     """
     width = len(data.select("x").first()["x"])
     mean = data.agg(F.array(*[F.avg(F.col("x")[i]) for i in range(width)])).first()[0]
@@ -510,9 +516,26 @@ def nearest_approximate(
         F.col("id").cast("long").alias("id"),
         F.zip_with("x", F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b).alias("x"),
     )
-    keyed = centred.mapInPandas(_signs(width, tables, bits, seed), "id long, x array<double>, bucket array<string>")
-    met = nearest(keyed.select("id", "x", F.explode("bucket").alias("bucket")), k, scope="bucket")
-    single = met.groupBy("id", "nn_id").agg(F.min("dist").alias("dist"))
+    keep = k + 1
+    signs = _signs(width, tables, bits, seed)
+    copies = top_per(centred, ["x"], [F.col("id")], keep, "copy").select("id", "x")
+    kept = stage(copies.mapInPandas(signs, "id long, x array<double>, bucket array<string>"), "points")
+    first = centred.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    unique = stage(
+        first.mapInPandas(signs, "x array<double>, id long, copies long, bucket array<string>"), "asked"
+    )
+    dealt = [df.select(F.explode("bucket").alias("scope"), "id", "x") for df in (kept, unique)]
+    lists = _search(*dealt, keep, [])
+    found = lists.groupBy("id").agg(F.collect_list(F.struct("scope", "found")).alias("found"))
+    own = F.filter("found", lambda t: F.array_contains("bucket", t["scope"]))
+    per_vector = stage(
+        unique.join(found, "id").select("x", F.transform(own, lambda t: t["found"]).alias("found"), "copies"), "lists"
+    )
+    others = F.flatten(
+        F.transform("found", lambda t: F.slice(F.filter(t, lambda f: f["nn_id"] != F.col("id")), 1, k))
+    )
+    met = lookup(centred, per_vector, ["x"], "copies").select("id", F.explode(others).alias("f"))
+    single = met.groupBy("id", "f.nn_id").agg(F.min("f.dist").alias("dist"))
     return top_per(single, ["id"], [F.col("dist"), F.col("nn_id")], k).select("id", "nn_id", "rank", "dist")
 
 

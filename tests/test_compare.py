@@ -88,6 +88,31 @@ def test_approximate_neighbours_reach_most(spark):
     assert found["n"] == 3 * rows.count() and found["recall"] >= 0.9
 
 
+def test_copies_are_dealt_into_buckets_once(spark, monkeypatch):
+    """Of 40 copies k + 1 go into buckets, and the rows met are those of all common buckets."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 5)).round(3)
+    x[:40] = x[0]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    dealt, search = [], neighbours._search
+
+    def counted(kept, unique, *more):
+        dealt.append((kept.count(), unique.count()))
+        return search(kept, unique, *more)
+
+    monkeypatch.setattr(neighbours, "_search", counted)
+    found = {}
+    for r in neighbours.nearest_approximate(df, 3, tables=2, bits=3).orderBy("id", "rank").collect():
+        found.setdefault(r["id"], []).append(r["nn_id"])
+    assert dealt == [(2 * (50 + 4), 2 * 51)]
+    axes = np.random.default_rng(42).standard_normal((5, 6))
+    keys = (((x - x.mean(axis=0)) @ axes > 0).reshape(90, 2, 3) * [1, 2, 4]).sum(axis=2)
+    for i in range(90):
+        d = ((x - x[i]) ** 2).sum(axis=1).round(9)
+        order = sorted((d[j], j) for j in range(90) if j != i and (keys[i] == keys[j]).any())
+        assert found.get(i, []) == [j for _, j in order[:3]]
+
+
 def test_a_repeated_batch_is_written_once(spark, tmp_path):
     log = standins.attack_log(spark, FOLDER).drop("id").limit(50)
     first = spark.createDataFrame(log.collect(), log.schema)
