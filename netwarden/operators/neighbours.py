@@ -6,17 +6,21 @@ of its own cell bounds how far its k-th neighbours can be; by the triangle inequ
 cells farther away than that are skipped. The remaining (query block, data block) pairs are
 compared inside tasks with numpy: a matrix product, in single precision where its error is small beside
 the distances asked for, tells which rows may be near enough, and only those distances are computed in full. A task keeps the k best of a query block over all pairs that
-it meets in a row, so that what leaves it does not grow with the number of pairs.
+it meets in a row, so that what leaves it does not grow with the number of pairs. It holds a team of blocks and
+meets others one after the other, so a block moves once for a team, not once for every pair.
 
 Copies of a vector are collapsed first: of m equal vectors only the k + 1 smallest ids can be
 anyone's neighbours, and all copies share one search. So a group of copies costs no more than
 k + 1 points whatever its size.
 
-``scope`` separates independent searches (for example one per class or fold) in one job.
+``scope`` separates independent searches (for example one per class or fold) in one job. Scopes that have most
+rows in common are given as lists: a row then names all its scopes, rows of the same scopes make a group, and two groups are
+compared once for all scopes that they share.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +28,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
-from netwarden.plans.scale import hash_hex, lookup, pin_small, stage
+from netwarden.plans.scale import SMALL_ROWS, hash_hex, lookup, pin_small, seats, stage
 
 # Vectors move once per pair of blocks: the bytes shuffled fall as blocks grow.
 BLOCK_ROWS = 8192
 MAX_PIVOTS = 256
+# Blocks that a task holds at most, and as many that it meets: beyond that tasks grow in number, not in size.
+TEAM_BLOCKS = 32
+# Tasks for each core, if there are so many pairs of blocks.
+TASKS_A_CORE = 8
+# Rows that lie in the same scopes and are worth blocks of their own.
+GROUP_LEAST = 1024
 # Distances held at a time, however large the blocks.
 STRIP_CELLS = 1 << 20
 # Rows of a square of distances that a core's cache holds.
@@ -241,7 +252,13 @@ def _pivots(points: DataFrame) -> np.ndarray:
     n = points.groupBy("scope").count().agg(F.max("count")).first()[0] or 0
     wanted = int(min(MAX_PIVOTS, max(1, n // (4 * BLOCK_ROWS))))
     rows = points.select("x", hash_hex("pivot", F.col("id")).alias("h")).orderBy("h").limit(wanted).collect()
-    return np.array([r["x"] for r in rows], dtype=float)
+    pivots = np.array([r["x"] for r in rows], dtype=float)
+    # Every pivot is followed by the nearest that is left: cells next to each other have much the same cells in reach.
+    chain, left = [], list(range(len(pivots)))
+    while left:
+        near = _squared(pivots[chain[-1:]], pivots[left])[0].argmin() if chain else 0
+        chain.append(left.pop(int(near)))
+    return pivots[chain]
 
 
 def _assign(pivots: np.ndarray):
@@ -292,7 +309,7 @@ def _reach(pivots: np.ndarray, keep: int):
                     gap = np.minimum(gap, (np.sqrt(_squared(q[at], pivots)) - bound[at, None]).min(axis=0))
                 yield pa.RecordBatch.from_pydict(
                     {
-                        **{c: batch[c].slice(i, 1) for c in ("scope", "cell", "part")},
+                        **{c: batch[c].slice(i, 1) for c in ("scope", "cell", "part", "rows")},
                         "bound": pa.array([bound], pa.list_(pa.float64())),
                         "gap": pa.array([gap], pa.list_(pa.float64())),
                     }
@@ -307,12 +324,15 @@ class _Nearest:
     def __init__(self, scope: str, entries: pa.StructArray, bound: np.ndarray, keep: int, carry: list[str]):
         self.scope, self.keep, self.carry = scope, keep, carry
         self.q, self.qid = _vectors(entries), _ids(entries)
-        self.limit = bound * bound * (1 + 1e-9) + 1e-12
+        self.bound = bound * bound * (1 + 1e-9) + 1e-12
+        self.forget()
+
+    def forget(self) -> None:
+        self.limit = self.bound.copy()
         self.row, self.d2, self.ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        self.carried = {c: np.zeros((0, self.q.shape[1])) if c == "x" else np.zeros(0) for c in carry}
+        self.carried = {c: np.zeros((0, self.q.shape[1])) if c == "x" else np.zeros(0) for c in self.carry}
 
-    def add(self, entries: pa.StructArray) -> None:
-        d, ids = _vectors(entries), _ids(entries)
+    def add(self, entries: pa.StructArray, d: np.ndarray, ids: np.ndarray) -> None:
         row, col, d2 = _near(self.q, d, self.limit, self.keep)
         if len(row) == 0:
             return
@@ -337,10 +357,11 @@ class _Nearest:
             have = self.carried[c]
             self.carried[c] = np.concatenate([have[rest], np.concatenate([have[old], new[col]])[kept]])
 
-    def result(self) -> pa.RecordBatch:
+    def result(self, other: str) -> pa.RecordBatch:
         n = len(self.row)
         out = {
             "scope": pa.array([self.scope], pa.string()).take(pa.array(np.zeros(n, np.int64))),
+            "other": pa.array([other], pa.string()).take(pa.array(np.zeros(n, np.int64))),
             "qid": _longs(self.qid[self.row]),
             "nn_id": _longs(self.ids),
             "dist": pa.array(np.sqrt(self.d2)),
@@ -355,26 +376,85 @@ class _Nearest:
         return pa.RecordBatch.from_pydict(out)
 
 
+def _moved(batches: Iterator[pa.RecordBatch]):
+    """Rows of ``_meeting``: ``slot, key, number, held, met, members, batch, i``.
+
+    A row brings a block to hold, a block to meet, or both; then the block held is met by its pairs alone.
+    """
+    for batch in batches:
+        teams = "slot" in batch.schema.names
+        for i in range(batch.num_rows):
+            key = tuple(batch[c][i].as_py() for c in ("scope", "cell", "part"))
+            held, met = (_cells(batch[c][i]) if batch[c][i].is_valid else None for c in ("rows", "data"))
+            if teams:
+                yield batch["slot"][i].as_py(), key, batch["no"][i].as_py(), held, met, batch["members"][i].as_py(), batch, i
+            else:
+                yield key, key, None, held, met, [None], batch, i
+
+
 def _compare(keep: int, carry: list[str]):
-    """The nearest of each query block; pairs of one query block come in a row, or again later."""
+    """The nearest of each query block in every scope it meets; pairs of one query block come in a row, or again later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, best = None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                here = tuple(batch[c][i].as_py() for c in ("scope", "cell", "part"))
-                if best is None or here != key:
-                    if best is not None:
-                        yield best.result()
-                    bound = batch["bound"][i].values.to_numpy(zero_copy_only=False)
-                    key, best = here, _Nearest(here[0], _cells(batch["rows"][i]), bound, keep, carry)
-                best.add(_cells(batch["data"][i]))
-        if best is not None:
-            yield best.result()
+        slot, other, team = None, None, {}
+        for here, key, number, held, met, members, batch, i in _moved(batches):
+            if team and (here != slot or met is not None and other not in (None, key[0])):
+                for best in team.values():
+                    yield best.result(other)
+                    best.forget()
+                other = None
+            if here != slot:
+                slot, team = here, {}
+            if held is not None and number not in team:
+                bound = batch["bound"][i].values.to_numpy(zero_copy_only=False)
+                team[number] = _Nearest(key[0], held, bound, keep, carry)
+            if met is not None:
+                other, d, ids = key[0], _vectors(met), _ids(met)
+                for member in members:
+                    team[member].add(met, d, ids)
+        for best in team.values():
+            yield best.result(other)
 
     return run
 
 
+def _meeting(held: DataFrame, met: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Blocks as tasks want them: in each ``slot`` first those of a team, then those that its ``members`` meet.
+
+    ``pairs`` names a block of ``held`` (scope, cell, part) and one of ``met`` (other, other_cell, other_part). The list
+    comes to the driver: one pair stands for ``BLOCK_ROWS`` squared distances, so it is short beside the work.
+    """
+    spark, names = pairs.sparkSession, ["scope", "cell", "part"]
+    others = [f"other_{c}" for c in names]
+    found = pairs.select(*names, *others).toPandas()
+    found["a"], found["b"] = (found.groupby(c, sort=True).ngroup() for c in (names, others))
+    cores = spark.sparkContext.defaultParallelism
+    size = min(TEAM_BLOCKS, max(1, math.isqrt(len(found) // (TASKS_A_CORE * cores))))
+    found["team"] = found["a"] // size
+    found = found.sort_values(["team", "b", "a"])
+    place = found.groupby("team")["b"].transform(lambda b: b.ne(b.shift()).cumsum() - 1)
+    found["slot"] = found.groupby(["team", place // size]).ngroup()
+    slots = int(found["slot"].max()) + 1 if len(found) else 1
+    found["slot"] = np.array(seats(spark, slots))[found["slot"].to_numpy(int)]
+    teams = found.drop_duplicates(["slot", "a"])[["slot", "a", *names]]
+    meets = found.groupby(["slot", "b", *others])["a"].agg(list).reset_index()
+    key = "slot long, no long, scope string, cell int, part int"
+    teams = spark.createDataFrame(teams.values.tolist(), key)
+    meets = spark.createDataFrame(meets.values.tolist(), f"{key}, members array<long>")
+    empty = F.lit(None)
+    bound = F.col("bound") if "bound" in held.columns else empty.cast("array<double>").alias("bound")
+    holding = held.join(F.broadcast(teams), names).select(
+        "slot", F.lit(0).alias("side"), "no", *names, "rows", bound,
+        empty.cast(met.schema["rows"].dataType).alias("data"), empty.cast("array<long>").alias("members"),
+    )
+    meeting = met.join(F.broadcast(meets), names).select(
+        "slot", F.lit(1).alias("side"), "no", *names,
+        empty.cast(held.schema["rows"].dataType).alias("rows"), empty.cast("array<double>").alias("bound"),
+        F.col("rows").alias("data"), "members",
+    )
+    return holding.unionByName(meeting).repartition(slots, "slot").sortWithinPartitions("slot", "side", "no")
+
+
 def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows per key with their rank; Spark cuts groups to ``k`` before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -390,13 +470,15 @@ def nearest_lists(
 ) -> DataFrame:
     """``(scope, id, found)``: the k nearest other rows of ``data`` for each query row.
 
-    Both inputs have ``id`` and ``x`` (array of double), and ``scope`` if named. ``found`` is
-    ordered by distance and then id, and holds ``dist, nn_id`` and ``nn_<column>`` for each
+    Both inputs have ``id`` and ``x`` (array of double), and ``scope`` if named; a scope that is an array
+    puts its row into all of them, and the answer has a row for each. ``found`` is ordered by distance and then id, and holds ``dist, nn_id`` and ``nn_<column>`` for each
     ``carry`` column (``x`` or an int column of ``data``), which saves a join on neighbours that
     very many rows may share. A row is never its own neighbour.
     """
     carry = carry or []
     extra = [c for c in carry if c != "x"]
+    if scope and isinstance(data.schema[scope].dataType, ArrayType):
+        return _shared_lists(data, k, data if queries is None else queries, scope, carry)
 
     def shape(df: DataFrame, *more: str) -> DataFrame:
         s = F.col(scope).cast("string") if scope else F.lit("")
@@ -409,53 +491,127 @@ def nearest_lists(
         asked.groupBy("scope", "x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "asked"
     )
     lists = _search(kept, unique.select("scope", "id", "x"), keep, carry)
-    per_vector = stage(unique.join(lists, ["scope", "id"]).select("scope", "x", "found", "copies"), "lists")
-    own = F.slice(F.filter("found", lambda f: f["nn_id"] != F.col("id")), 1, k)
-    return lookup(asked, per_vector, ["scope", "x"], "copies").select("scope", "id", own.alias("found"))
+    return _owned(unique, lists, asked, k)
+
+
+def _owned(unique: DataFrame, lists: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The lists of vectors as lists of rows, each without the row itself.
+
+    Only copies have to find their vector's list; a vector that occurs once is its row.
+    """
+    again = F.col("copies") > 1
+    slim = unique.select("scope", "id", "copies", F.when(again, F.col("x")).alias("x"))
+    found = stage(slim.join(lists, ["scope", "id"]), "lists")
+    own = F.slice(F.filter("found", lambda f: f["nn_id"] != F.col("id")), 1, k).alias("found")
+    copies = lookup(asked, found.where(again).select("scope", "x", "found", "copies"), ["scope", "x"], "copies")
+    return found.where(~again).select("scope", "id", own).unionByName(copies.select("scope", "id", own))
+
+
+def _single(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (``scopes``, ``x`` and others) whose vector occurs once in all scopes, and the rest with one ``scope`` a row."""
+    others = [c for c in points.columns if c != "x"]
+    per_vector = stage(
+        points.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*others)).alias("first")), "points"
+    )
+    again = (F.col("n") > 1) & F.col("x").isNotNull()
+    copies = lookup(points, per_vector.where(again).select("x", "n"), ["x"], "n")
+    more = copies.unionByName(points.where(F.col("x").isNull()).select(*copies.columns))
+    single = per_vector.where((F.col("n") == 1) & F.col("x").isNotNull()).select(*[f"first.{c}" for c in others], "x")
+    rest = [c for c in points.columns if c != "scopes"]
+    return single, stage(more.select(F.explode("scopes").alias("scope"), *rest), "copies")
+
+
+def _groups(rows: DataFrame, common: DataFrame) -> DataFrame:
+    """``rows`` (``scopes`` and others) with ``scope``: the group of their scopes if ``common`` has one, else each scope by itself."""
+    rest = [c for c in rows.columns if c != "scopes"]
+    groups = F.when(F.col("grp").isNotNull(), F.array("grp")).otherwise(F.col("scopes"))
+    return rows.join(F.broadcast(common), "scopes", "left").select(F.explode(groups).alias("scope"), *rest)
+
+
+def _common(rows: DataFrame) -> DataFrame:
+    """``scopes, grp``: the sets of scopes in which ``GROUP_LEAST`` rows or more lie; never more than ``SMALL_ROWS`` sets."""
+    counts = rows.where(F.size("scopes") > 1).groupBy("scopes").agg(F.count(F.lit(1)).alias("n"))
+    large = counts.where(F.col("n") >= GROUP_LEAST).orderBy(F.desc("n"), "scopes").limit(SMALL_ROWS)
+    return pin_small(large.select("scopes", F.concat(F.lit("group "), F.md5(F.to_json("scopes"))).alias("grp")))
+
+
+def _meets(common: DataFrame, scopes: DataFrame) -> DataFrame:
+    """``scope, other, scopes``: which groups are compared, and for which of the ``scopes`` (scope) that both are part of."""
+    alone = scopes.select("scope", F.col("scope").alias("member"))
+    members = pin_small(common.select(F.col("grp").alias("scope"), F.explode("scopes").alias("member")).unionByName(alone))
+    others = members.withColumnRenamed("scope", "other")
+    return pin_small(
+        members.join(others, "member").groupBy("scope", "other").agg(F.array_sort(F.collect_list("member")).alias("scopes"))
+    )
+
+
+def _shared_lists(data: DataFrame, k: int, queries: DataFrame, scope: str, carry: list[str]) -> DataFrame:
+    """``nearest_lists`` for rows that name all their scopes in an array."""
+    keep, extra = k + 1, [c for c in carry if c != "x"]
+
+    def shape(df: DataFrame, *more: str) -> DataFrame:
+        s = F.array_sort(F.array_distinct(F.col(scope).cast("array<string>"))).alias("scopes")
+        return df.select(s, F.col("id").cast("long").alias("id"), "x", *more)
+
+    single, copies = _single(shape(data, *extra))
+    common = _common(single)
+    kept = _groups(single, common).unionByName(
+        top_per(copies, ["scope", "x"], [F.col("id")], keep, "copy").drop("copy")
+    )
+    alone, again = (single, copies) if queries is data else _single(shape(queries))
+    per_vector = again.groupBy("scope", "x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    asked = _groups(alone.select("scopes", "id", "x"), common).unionByName(per_vector.select("scope", "id", "x"))
+    scopes = single.select(F.explode("scopes").alias("scope")).union(copies.select("scope")).distinct()
+    lists = _search(stage(kept, "points"), stage(asked, "asked"), keep, carry, _meets(common, scopes))
+    unique = alone.select(F.explode("scopes").alias("scope"), "id", F.lit(1).cast("long").alias("copies"), "x")
+    return _owned(unique.unionByName(per_vector.select("scope", "id", "copies", "x")), lists, again.select("scope", "id", "x"), k)
 
 
-def _search(kept: DataFrame, unique: DataFrame, keep: int, carry: list[str]) -> DataFrame:
-    """``(scope, id, found)``: the ``keep`` nearest rows of ``kept`` for each row of ``unique``, itself included."""
+def _search(
+    kept: DataFrame, unique: DataFrame, keep: int, carry: list[str], meets: DataFrame | None = None
+) -> DataFrame:
+    """``(scope, id, found)``: the ``keep`` nearest rows of ``kept`` for each row of ``unique``, itself included.
+
+    ``meets`` tells which groups of rows are compared for which scopes; without it every scope by itself.
+    """
     pivots = _pivots(kept)
     stored = stage(blocks(kept, pivots, ", ".join(f"{c} int" for c in carry if c != "x")), "blocks")
-    asking = stage(blocks(unique, pivots), "blocks")
     # Any block of the own cell can bound the radius; without one the bound stays open.
     homes = stored.select(
         "scope", "cell", F.col("part").alias("home_part"), F.col("rows").alias("home")
     )
     parts = stored.groupBy("scope", "cell").agg(F.min("part").alias("home_part"))
+    entry = "rows array<struct<id: bigint, x: array<double>>>"
     reach = stage(
-        asking.join(parts, ["scope", "cell"], "left")
+        blocks(unique, pivots)
+        .join(parts, ["scope", "cell"], "left")
         .join(homes, ["scope", "cell", "home_part"], "left")
         .select("scope", "cell", "part", "rows", "home")
-        .mapInArrow(_reach(pivots, keep), f"{_BLOCK}, bound array<double>, gap array<double>"),
+        .mapInArrow(_reach(pivots, keep), f"{_BLOCK}, {entry}, bound array<double>, gap array<double>"),
         "reach",
     )
-    # The cells in reach and their parts are listed before any vectors move, so that each
-    # (query block, data block) pair is a row of its own and spreads over the cluster.
+    # The cells in reach and their parts are listed before any vectors move.
     radii = pin_small(
-        stored.groupBy("scope", F.col("cell").alias("other")).agg(
+        stored.groupBy(F.col("scope").alias("other_scope"), F.col("cell").alias("other_cell")).agg(
             F.max("radius").alias("far"), F.max("parts").alias("parts")
         )
     )
+    asking = reach.select("scope", "cell", "part", F.posexplode("gap").alias("other_cell", "gap"))
+    if meets is None:
+        asking = asking.withColumn("other_scope", F.col("scope"))
+    else:
+        asking = asking.join(meets.select("scope", F.col("other").alias("other_scope")), "scope")
     pairs = (
-        reach.select("scope", "cell", "part", F.posexplode("gap").alias("other", "gap"))
-        .join(radii, ["scope", "other"])
+        asking.join(radii, ["other_scope", "other_cell"])
         .where(F.col("gap") <= F.col("far") + 1e-9)
-        .select("scope", "cell", "part", "other", F.explode(_part_numbers()).alias("other_part"))
+        .select("scope", "cell", "part", "other_scope", "other_cell", F.explode(_part_numbers()).alias("other_part"))
     )
-    others = stored.select(
-        "scope", F.col("cell").alias("other"), F.col("part").alias("other_part"), F.col("rows").alias("data")
-    )
-    bounds = reach.select("scope", "cell", "part", "bound")
     carried = "".join(f", nn_{c} {'array<double>' if c == 'x' else 'int'}" for c in carry)
-    best = (
-        pairs.join(others, ["scope", "other", "other_part"])
-        .join(asking.select("scope", "cell", "part", "rows"), ["scope", "cell", "part"])
-        .join(bounds, ["scope", "cell", "part"])
-        .select("scope", "cell", "part", "rows", "data", "bound")
-        .mapInArrow(_compare(keep, carry), f"scope string, qid long, nn_id long, dist double{carried}")
+    best = _meeting(reach.select("scope", "cell", "part", "rows", "bound"), stored, pairs).mapInArrow(
+        _compare(keep, carry), f"scope string, other string, qid long, nn_id long, dist double{carried}"
     )
+    if meets is not None:
+        best = best.join(meets, ["scope", "other"]).withColumn("scope", F.explode("scopes"))
     merged = top_per(best, ["scope", "qid"], [F.col("dist"), F.col("nn_id")], keep, "place")
     # At most k + 1 entries per vector: one short list serves all its copies.
     entry = F.struct("dist", "nn_id", *[f"nn_{c}" for c in carry])
@@ -584,66 +740,156 @@ def _distances(q: np.ndarray, d: np.ndarray) -> Iterator[tuple[slice, slice, np.
 
 
 class _Sums:
-    """For each row of a query block: summed distance to every class of the data blocks met, times copies."""
+    """For each row of a block: summed distance to every class of the blocks met, times copies.
 
-    def __init__(self, scope: str, entries: pa.StructArray):
-        self.scope, self.q, self.ids = scope, _vectors(entries), _ids(entries)
-        self.total: dict[int, np.ndarray] = {}
+    Rows are held by class, so that a tile meets few of them.
+    """
 
-    def add(self, entries: pa.StructArray) -> None:
+    def __init__(self, key: tuple, entries: pa.StructArray):
         label = entries.field("label").to_numpy(zero_copy_only=False)
-        # By class, so that a tile meets the columns of few classes.
-        order = np.argsort(label, kind="stable")
-        classes, place = np.unique(label[order], return_inverse=True)
-        weight = np.zeros((len(label), len(classes)))
-        weight[np.arange(len(label)), place] = entries.field("copies").to_numpy(zero_copy_only=False)[order]
-        total = np.zeros((len(self.q), len(classes)))
-        for at, to, dist in _distances(self.q, _vectors(entries)[order]):
-            own = slice(place[to][0], place[to][-1] + 1)
-            total[at, own] += dist @ weight[to, own]
-        for i, c in enumerate(classes):
-            self.total[int(c)] = self.total.get(int(c), 0.0) + total[:, i]
+        self.key, self.ids, self.order = key, _ids(entries), np.argsort(label, kind="stable")
+        self.classes, self.place = np.unique(label[self.order], return_inverse=True)
+        self.x = _vectors(entries)[self.order]
+        self.copies = np.zeros((len(label), len(self.classes)))
+        self.copies[np.arange(len(label)), self.place] = entries.field("copies").to_numpy(zero_copy_only=False)[self.order]
+        self.total: dict[tuple[str, int], np.ndarray] = {}
+
+    def _columns(self, at: slice) -> slice:
+        return slice(self.place[at][0], self.place[at][-1] + 1)
+
+    def _take(self, other: _Sums, total: np.ndarray) -> None:
+        for i, c in enumerate(other.classes):
+            place = (other.key[0], int(c))
+            self.total[place] = self.total.get(place, 0.0) + total[:, i]
+
+    def meet(self, other: _Sums, both: bool) -> None:
+        """Sums for the own rows, and if asked for the other's too: every distance is computed once."""
+        mine, theirs = np.zeros((len(self.x), len(other.classes))), np.zeros((len(other.x), len(self.classes)))
+        for at, to, dist in _distances(self.x, other.x):
+            own = other._columns(to)
+            mine[at, own] += dist @ other.copies[to, own]
+            if both:
+                own = self._columns(at)
+                theirs[to, own] += dist.T @ self.copies[at, own]
+        self._take(other, mine)
+        if both:
+            other._take(self, theirs)
 
     def result(self) -> Iterator[pa.RecordBatch]:
         n = len(self.ids)
-        scope = pa.array([self.scope], pa.string()).take(pa.array(np.zeros(n, np.int64)))
-        for c, total in self.total.items():
+        scope = pa.array([self.key[0]], pa.string()).take(pa.array(np.zeros(n, np.int64)))
+        for (_, c), total in self._ordered():
             yield pa.RecordBatch.from_pydict(
                 {"scope": scope, "id": _longs(self.ids), "other": pa.array(np.full(n, c, np.int32)), "total": pa.array(total)}
             )
 
+    def lists(self) -> Iterator[pa.RecordBatch]:
+        """The same as a row for each scope and class met."""
+        scope, _, part = self.key
+        for (other, c), total in self._ordered():
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "scope": pa.array([scope], pa.string()),
+                    "part": pa.array([part], pa.int32()),
+                    "other": pa.array([other], pa.string()),
+                    "label": pa.array([c], pa.int32()),
+                    "total": pa.array([total], pa.list_(pa.float64())),
+                }
+            )
+
+    def _ordered(self):
+        for place, total in self.total.items():
+            out = np.empty(len(total))
+            out[self.order] = total
+            yield place, out
+
 
-def _class_sums():
-    """Sums of each query block; pairs of one query block come in a row, or again later."""
+def _class_sums(lists: bool = False):
+    """Sums of each block held, by row or as ``lists``; of pairs in teams also those of the block met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sums = None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                here = tuple(batch[c][i].as_py() for c in ("scope", "cell", "part"))
-                if sums is None or here != key:
-                    if sums is not None:
-                        yield from sums.result()
-                    key, sums = here, _Sums(here[0], _cells(batch["rows"][i]))
-                sums.add(_cells(batch["data"][i]))
-        if sums is not None:
-            yield from sums.result()
+        slot, team = None, {}
+        for here, key, number, held, met, members, _, _ in _moved(batches):
+            if here != slot:
+                for sums in team.values():
+                    yield from sums.lists() if lists else sums.result()
+                slot, team = here, {}
+            if held is not None and number not in team:
+                team[number] = _Sums(key, held)
+            if met is not None:
+                other = _Sums(key, met)
+                for member in members:
+                    team[member].meet(other, lists and team[member].key != key)
+                if lists:
+                    yield from other.lists()
+        for sums in team.values():
+            yield from sums.lists() if lists else sums.result()
 
     return run
 
 
+def _block_silhouettes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``scope, value, rows`` of each block: its silhouettes summed. A block's own row comes before its sums."""
+
+    def result(label, copies, sizes, sums):
+        for scope, size in sizes.items():
+            a, b, own_size = (np.full(len(label), v) for v in (np.nan, np.inf, 0.0))
+            for c, n in size.items():
+                own = label == c
+                with np.errstate(invalid="ignore"):
+                    a[own], own_size[own] = sums[scope, c][own] / max(n - 1, 1), n
+                    b[~own] = np.fmin(b[~own], sums[scope, c][~own] / n)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                most = np.maximum(a, b)
+                value = np.where((most == 0) | (own_size <= 1) | (len(size) < 2), 0.0, (b - a) / most)
+            yield pa.RecordBatch.from_pydict(
+                {"scope": [scope], "value": [float(value @ copies)], "rows": [int(copies.sum())]}
+            )
+
+    block, sums = None, {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            if batch["side"][i].as_py() == 0:
+                if block:
+                    yield from result(*block, sums)
+                label, copies = (batch[c][i].values.to_numpy(zero_copy_only=False) for c in ("labels", "copies"))
+                sizes: dict[str, dict[int, int]] = {}
+                for r in batch["sizes"][i].as_py():
+                    sizes.setdefault(r["scope"], {})[r["label"]] = r["size"]
+                block, sums = (label, copies, sizes), {(s, c): np.zeros(len(label)) for s in sizes for c in sizes[s]}
+            else:
+                total = batch["total"][i].values.to_numpy(zero_copy_only=False)
+                for s in batch["scopes"][i].as_py():
+                    sums[s, batch["label"][i].as_py()] += total
+    if block:
+        yield from result(*block, sums)
+
+
 def silhouette(rows: DataFrame, scope: str | None = None) -> DataFrame:
     """Mean Euclidean silhouette per scope, over all rows; the work is quadratic in distinct rows.
 
     Equal (vector, label) rows are counted once with their multiplicity. Blocks are paired
-    with all blocks of the same scope; a pair yields one sum per row and class.
+    with all blocks of the same scope; a pair yields one sum per row and class for both its blocks. A scope that is an
+    array puts its row into all of them; rows of the same scopes are met once.
     """
-    s = F.col(scope).cast("string") if scope else F.lit("")
+    count = F.count(F.lit(1)).alias("copies")
+    label = F.col("label").cast("int").alias("label")
+    if scope and isinstance(rows.schema[scope].dataType, ArrayType):
+        scopes = F.array_sort(F.array_distinct(F.col(scope).cast("array<string>"))).alias("scopes")
+        single, copies = _single(rows.select(scopes, label, "x"))
+        single = single.withColumn("copies", F.lit(1).cast("long"))
+        copies = copies.groupBy("scope", "label", "x").agg(count)
+        common = _common(single)
+        unique = _groups(single, common).unionByName(copies.select("scope", "label", "x", "copies"))
+        counted = single.select(F.explode("scopes").alias("scope"), "label", "copies").unionByName(copies.drop("x"))
+        sizes = pin_small(counted.groupBy("scope", "label").agg(F.sum("copies").alias("size")))
+        meets = _meets(common, sizes.select("scope").distinct())
+    else:
+        s = F.col(scope).cast("string") if scope else F.lit("")
+        unique = rows.select(s.alias("scope"), label, "x").groupBy("scope", "label", "x").agg(count)
+        sizes, meets = None, None
     unique = stage(
-        rows.select(s.alias("scope"), F.col("label").cast("int").alias("label"), "x")
-        .groupBy("scope", "label", "x")
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .select(
+        unique.select(
             "scope",
             F.xxhash64("scope", "label", "x").alias("id"),
             "x",
@@ -652,43 +898,37 @@ def silhouette(rows: DataFrame, scope: str | None = None) -> DataFrame:
         ),
         "unique",
     )
+    if meets is None:
+        sizes = pin_small(unique.groupBy("scope", "label").agg(F.sum("copies").alias("size")))
+        each = sizes.select("scope").distinct()
+        meets = pin_small(each.select("scope", F.col("scope").alias("other"), F.array("scope").alias("scopes")))
     # Every block meets every other, so cells would only make blocks small: one for each scope.
     stored = stage(blocks(unique, _pivots(unique)[:1], "label int, copies long"), "blocks")
-    cells = pin_small(
-        stored.groupBy("scope", F.col("cell").alias("other")).agg(F.max("parts").alias("parts"))
-    )
-    # A block meets every block of its scope: the pairs are listed by number, then the
-    # vectors join them, so no task holds more than one pair at a time.
-    per_scope = pin_small(cells.groupBy("scope").agg(F.collect_list(F.struct("other", "parts")).alias("cells")))
+    here = stored.select("scope", "cell", "part")
+    there = stored.select(F.col("scope").alias("other"), F.col("cell").alias("other_cell"), F.col("part").alias("other_part"))
     pairs = (
-        stored.select("scope", "cell", "part")
-        .join(per_scope, "scope")
-        .select("scope", "cell", "part", F.explode("cells").alias("c"))
-        .select("scope", "cell", "part", F.col("c.other").alias("other"), F.col("c.parts").alias("parts"))
-        .select("scope", "cell", "part", "other", F.explode(_part_numbers()).alias("other_part"))
-    )
-    right = stored.select(
-        "scope", F.col("cell").alias("other"), F.col("part").alias("other_part"), F.col("rows").alias("data")
+        here.join(meets.select("scope", "other"), "scope")
+        .join(there, "other")
+        .where(F.struct("scope", "cell", "part") <= F.struct("other", "other_cell", "other_part"))
+        .withColumnRenamed("other", "other_scope")
     )
-    sums = (
-        pairs.join(right, ["scope", "other", "other_part"])
-        .join(stored.select("scope", "cell", "part", "rows"), ["scope", "cell", "part"])
-        .select("scope", "cell", "part", "rows", "data")
-        .mapInArrow(_class_sums(), "scope string, id long, other int, total double")
-        .groupBy("scope", "id", "other")
-        .agg(F.sum("total").alias("total"))
+    totals = _meeting(stored.select("scope", "cell", "part", "rows"), stored, pairs).mapInArrow(
+        _class_sums(lists=True), "scope string, part int, other string, label int, total array<double>"
     )
-    sizes = unique.groupBy("scope", F.col("label").alias("other")).agg(F.sum("copies").alias("size"))
-    each = sums.join(pin_small(sizes), ["scope", "other"]).join(unique.select("scope", "id", "label", "copies"), ["scope", "id"])
-    own = F.col("other") == F.col("label")
-    per_row = each.groupBy("scope", "id", "copies").agg(
-        F.max(F.when(own, F.try_divide(F.col("total"), (F.col("size") - 1).cast("double")))).alias("a"),
-        F.max(F.when(own, F.col("size"))).alias("own_size"),
-        F.min(F.when(~own, F.col("total") / F.col("size"))).alias("b"),
+    # The sums of a block come together behind its classes, copies and the sizes of all classes of its scopes.
+    size = F.struct("scope", "label", "size").alias("size")
+    member = meets.where(F.col("scope") == F.col("other")).select(F.col("scope").alias("grp"), F.explode("scopes").alias("scope"))
+    per_group = pin_small(
+        member.join(sizes, "scope").groupBy(F.col("grp").alias("scope")).agg(F.collect_list(size).alias("sizes"))
     )
-    value = F.when(F.col("own_size") <= 1, 0.0).otherwise(
-        F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    own = stored.join(per_group, "scope").select(
+        "scope", "part", F.lit(0).alias("side"), F.col("rows.label").alias("labels"), F.col("rows.copies").alias("copies"), "sizes"
     )
-    return per_row.groupBy("scope").agg(
-        (F.sum(value * F.col("copies")) / F.sum("copies")).alias("silhouette")
+    met = totals.join(meets, ["scope", "other"]).select("scope", "part", F.lit(1).alias("side"), "label", "total", "scopes")
+    together = own.unionByName(met, allowMissingColumns=True).repartition("scope", "part")
+    return (
+        together.sortWithinPartitions("scope", "part", "side")
+        .mapInArrow(_block_silhouettes, "scope string, value double, rows long")
+        .groupBy("scope")
+        .agg((F.sum("value") / F.sum("rows")).alias("silhouette"))
     )

@@ -366,14 +366,23 @@ def _mark_best(means: DataFrame, metric: str) -> DataFrame:
     return scored.withColumn("best", F.col("k") == best)
 
 
+def _shared_rows(tables: DataFrame) -> DataFrame:
+    """``scopes, id, label, x``: rows of many tables (``scope``), each once with the tables that have it."""
+    keys = ["id", "label", "x"]
+    # One shuffle serves both groupings. A row that a table has ``n`` times is ``n`` rows.
+    counted = tables.repartition(*keys).groupBy(*keys, "scope").agg(F.count(F.lit(1)).alias("n"))
+    shared = counted.groupBy(*keys, "n").agg(F.array_sort(F.collect_list("scope")).alias("scopes"))
+    return shared.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("scopes", *keys)
+
+
 def compare_methods(
     rows: DataFrame, seeds: list[int] = COMPARED_SEEDS, methods: list[str] = METHODS, share_seed: int = 42
 ) -> DataFrame:
     """Each method over several seeds: ``method, metric, avg, std, n, error`` (population deviation).
 
     A stratified part of the rows is held out; the rest is oversampled by every method and seed. All
-    resulting tables are scopes of one table, and every metric is computed for all of them in the same
-    jobs: the eight quality metrics against the rows before, the accuracy on the held-out part of the margin
+    resulting tables are scopes of one table, in which a row that several of them have is kept once with the list of these, and every
+    metric is computed for all of them in the same jobs: the eight quality metrics against the rows before, the accuracy on the held-out part of the margin
     fitted to each table (``val_acc``), and the seconds that oversampling took (``time``). The seeds of a
     method run side by side and methods one after the other, so the seconds of all methods are taken under the same
     load. A method that fails for a seed loses that seed; one that fails for all has a row with its error instead.
@@ -406,14 +415,15 @@ def compare_methods(
     )
     if not made:
         return error_rows
-    tables = stage(reduce(DataFrame.unionByName, made), "compared")
+    shared = stage(_shared_rows(reduce(DataFrame.unionByName, made)), "compared")
+    tables = shared.select(F.explode("scopes").alias("scope"), "id", "label", "x")
     counts = tables.groupBy("scope", "label").agg(F.count(F.lit(1)).alias("n"))
     weights = margin.fit(tables)
     judged = margin.errors(tables, weights)
     scopes = F.explode(F.array(*[F.lit(scope) for scope, _ in taken])).alias("scope")
     told = margin.errors(held.select(scopes, "label", "x"), weights)
     wide = (
-        nearest(tables, 1, scope="scope")
+        nearest(shared, 1, scope="scopes")
         .groupBy("scope")
         .agg(F.avg("dist").alias("avg_neighbor_distance"), F.stddev_pop("dist").alias("neighbor_std"))
         .join(
@@ -425,7 +435,7 @@ def compare_methods(
             "scope",
         )
         .join(divergence(train, tables, "scope"), "scope")
-        .join(silhouette(tables, "scope").withColumnRenamed("silhouette", "silhouette_score"), "scope")
+        .join(silhouette(shared, "scopes").withColumnRenamed("silhouette", "silhouette_score"), "scope")
         .join(counts.groupBy("scope").agg((F.max("n") / F.min("n")).alias("new_imbalance_ratio")), "scope")
         .join(correlation_difference(train, tables, "scope"), "scope")
         .join(told.select("scope", (1 - F.col("wrong") / F.col("n")).alias("val_acc")), "scope")

@@ -247,3 +247,82 @@ def test_pivots_follow_the_largest_scope(spark, tiny):
         F.col("id").cast("string").alias("scope"), "id", F.array(F.col("id").cast("double")).alias("x")
     )
     assert len(neighbours._pivots(df)) == 1
+
+
+def shared_tables(spark, n=150):
+    """Rows in up to four tables: common ones, copies with other ids, a few rows with sets of tables of their own."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(n, 4)).round(3)
+    x[:25] = x[0]
+    label = rng.integers(0, 3, n)
+    scopes = [["a", "b", "c"] if i < 90 else [["a"], ["b"], ["c", "a"], ["d"]][i % 4] for i in range(n)]
+    scopes[100], scopes[101], scopes[102] = ["d", "b"], ["d", "b", "c"], ["alone"]
+    rows = [(s, i, int(c), [float(v) for v in r]) for i, (s, c, r) in enumerate(zip(scopes, label, x))]
+    return x, label, scopes, spark.createDataFrame(rows, "scopes array<string>, id long, label int, x array<double>")
+
+
+def test_rows_of_many_scopes_are_searched_as_in_each_scope(spark, tiny, monkeypatch):
+    """Also with teams of blocks, whose limits must not pass from one group of scopes to the next."""
+    monkeypatch.setattr(neighbours, "GROUP_LEAST", 5)
+    monkeypatch.setattr(neighbours, "TASKS_A_CORE", 1)
+    x, _, scopes, df = shared_tables(spark)
+    got = {}
+    for r in neighbours.nearest_lists(df, 3, scope="scopes", carry=["x", "label"]).collect():
+        got[r["scope"], r["id"]] = [f["nn_id"] for f in r["found"]]
+        assert all(np.allclose(f["nn_x"], x[f["nn_id"]]) for f in r["found"])
+    want = {}
+    for s in "abcd":
+        inside = [i for i in range(len(x)) if s in scopes[i]]
+        for i, near in brute(x[inside], 3).items():
+            want[s, inside[i]] = [inside[j] for j in near]
+    assert got == want | {("alone", 102): []}
+
+
+def test_rows_of_many_scopes_have_the_silhouette_of_each_scope(spark, tiny, monkeypatch):
+    monkeypatch.setattr(neighbours, "GROUP_LEAST", 5)
+    monkeypatch.setattr(neighbours, "TASKS_A_CORE", 1)
+    x, label, scopes, df = shared_tables(spark)
+    got = {r["scope"]: r["silhouette"] for r in neighbours.silhouette(df, "scopes").collect()}
+    single = df.select(F.explode("scopes").alias("scope"), "label", "x")
+    plain = {r["scope"]: r["silhouette"] for r in neighbours.silhouette(single, "scope").collect()}
+    assert set(got) == set(plain) == {"a", "b", "c", "d", "alone"} and got["alone"] == plain["alone"] == 0
+    for s in "abcd":
+        inside = [i for i in range(len(x)) if s in scopes[i]]
+        want = silhouette(x[inside], label[inside])
+        assert got[s] == pytest.approx(want, rel=1e-9) and plain[s] == pytest.approx(want, rel=1e-9)
+
+
+def test_common_rows_make_one_group_and_are_met_once(spark, tiny, monkeypatch):
+    """Four tables of the same 64 rows: 8 blocks with 36 pairs, not four times 64 pairs."""
+    listed, meeting = [], neighbours._meeting
+
+    def counted(held, met, pairs):
+        listed.append((held.count(), pairs.count()))
+        return meeting(held, met, pairs)
+
+    monkeypatch.setattr(neighbours, "GROUP_LEAST", 5)
+    monkeypatch.setattr(neighbours, "_meeting", counted)
+    rng = np.random.default_rng(22)
+    rows = [(list("abcd"), i, i % 2, [float(v) for v in rng.normal(size=3)]) for i in range(64)]
+    df = spark.createDataFrame(rows, "scopes array<string>, id long, label int, x array<double>")
+    assert len({round(r["silhouette"], 12) for r in neighbours.silhouette(df, "scopes").collect()}) == 1
+    blocks, pairs = listed[0]
+    assert blocks >= 5 and pairs == blocks * (blocks + 1) // 2
+    assert neighbours.nearest(df, 1, scope="scopes").count() == 4 * 64 and listed[1][0] <= 12
+
+
+def test_a_block_moves_once_for_a_team_of_blocks(spark, monkeypatch):
+    """144 pairs of 12 blocks with 12: each task holds some blocks and meets as many, every pair once."""
+    monkeypatch.setattr(neighbours, "TASKS_A_CORE", 1)
+    blocks = spark.range(12).select(
+        F.lit("s").alias("scope"), F.lit(0).alias("cell"), F.col("id").cast("int").alias("part"),
+        F.array(F.struct("id")).alias("rows"),
+    )
+    keys = [F.col(c) for c in ("scope", "cell", "part")]
+    pairs = blocks.select(*keys).crossJoin(blocks.select(*[c.alias(f"other_{n}") for c, n in zip(keys, ("scope", "cell", "part"))]))
+    moved = neighbours._meeting(blocks, blocks, pairs).withColumn("task", F.spark_partition_id()).collect()
+    assert len(moved) < 100
+    team = {(r["slot"], r["no"]): r["part"] for r in moved if r["side"] == 0}
+    met = [(team[r["slot"], m], r["part"]) for r in moved if r["side"] == 1 for m in r["members"]]
+    assert sorted(met) == [(i, j) for i in range(12) for j in range(12)]
+    assert len({r["slot"] for r in moved}) == len({r["task"] for r in moved})

@@ -147,3 +147,15 @@ def test_seeds_of_a_method_run_side_by_side(spark, monkeypatch):
     found = resample.compare_methods(df, [1, 2, 3], ["all", "none"])
     assert {r["n"] for r in found.where("method = 'all'").collect()} == {3}
     assert found.where("method = 'none'").first()["error"] == "none for 3"
+
+
+def test_rows_that_tables_share_are_kept_once(spark):
+    """Of a row that a table has twice there are two, and missing ids and labels stay."""
+    rows = [("a", 1, 0, [1.0]), ("b", 1, 0, [1.0]), ("b", 1, 0, [1.0]), ("a", 1, 1, [1.0]), ("b", None, None, [2.0])]
+    df = spark.createDataFrame(rows, "scope string, id long, label int, x array<double>")
+    shared = resample._shared_rows(df)
+    found = sorted((r["scopes"], r["id"], r["label"], r["x"]) for r in shared.where("id IS NOT NULL").collect())
+    assert found == [(["a"], 1, 0, [1.0]), (["a"], 1, 1, [1.0]), (["b"], 1, 0, [1.0]), (["b"], 1, 0, [1.0])]
+    assert shared.where("id IS NULL").first()["scopes"] == ["b"]
+    whole = resample._shared_rows(spark.createDataFrame([(s, i, 0, [float(i)]) for s in "abc" for i in range(9)], df.schema))
+    assert [r["scopes"] for r in whole.collect()] == [["a", "b", "c"]] * 9
