@@ -95,7 +95,8 @@ def _synthetic(
 ) -> DataFrame:
     """Draws from ``bases`` (grp, id, x) towards neighbours in ``pool`` (grp, id, x), for each k.
 
-    ``needs`` has ``(grp, number of bases, rows to make)``.
+    ``needs`` has ``(grp, number of bases, rows to make)``. A draw that goes to the same neighbour for several
+    k is one row, and ``ks`` tells which.
     """
     lists = nearest_lists(pool, max(ks), queries=bases, scope="grp", carry=["x"])
     indexed = index_by_hash(bases, "grp", "id", seed, sum(n for _, n, _ in needs), "i")
@@ -104,9 +105,10 @@ def _synthetic(
         _draw(bases.sparkSession, needs, seed)
         .withColumn("i", F.floor(F.col("u_base") * F.col("m")).cast("long"))
         .join(stage(ends, "ends"), ["grp", "i"])
-        .withColumn("k", F.explode(F.array(*[F.lit(v) for v in ks])))
-        .withColumn("rank", (F.floor(F.col("u_rank") * F.col("k")) + 1).cast("int"))
-        .select("grp", "k", "at", _between(F.col("gap")).alias("x"))
+        .withColumn("ranks", F.array(*[(F.floor(F.col("u_rank") * k) + 1).cast("int") for k in ks]))
+        .withColumn("rank", F.explode(F.array_distinct("ranks")))
+        .withColumn("ks", F.filter(F.array(*[F.lit(k) for k in ks]), lambda _, i: F.get("ranks", i) == F.col("rank")))
+        .select("grp", "ks", "at", _between(F.col("gap")).alias("x"))
     )
 
 
@@ -305,7 +307,8 @@ def choose_neighbours(
     """Scores of SMOTE for k = 3..most over cross-validation folds; ``best`` marks the chosen k.
 
     All folds and all k run in the same jobs: a fold's neighbours are searched once for the
-    largest k, and every (fold, k) table is a scope of one silhouette or scatter computation.
+    largest k, and every (fold, k) table is a scope of one silhouette or scatter computation. Most rows lie in many of
+    these tables: each is kept once with the list of them.
     """
     rows = _base(rows)
     counts = pin_small(class_counts(rows))
@@ -327,19 +330,22 @@ def choose_neighbours(
     ks = list(range(3, min(most, min(n for _, n, _ in needs) - 1) + 1))
     pool = train.where(F.col("grp").isin([g for g, _, _ in needs])).select("grp", "id", "x")
     made = _synthetic(pool, pool, needs, ks, f"smote{seed}")
-    scope = F.concat_ws("/", F.col("out").cast("string"), F.col("k").cast("string")).alias("scope")
-    kept = train.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    every_scope = F.array(*[F.lit(f"{f}/{k}") for f in range(folds) for k in ks])
+    out = lambda s: F.substring_index(s, "/", 1)
     every = stage(
-        kept.select(scope, "label", "x").unionByName(
+        folded.select(
+            F.filter(every_scope, lambda s: out(s) != F.col("fold").cast("string")).alias("scopes"), "label", "x"
+        ).unionByName(
             made.select(
-                F.concat_ws("/", F.substring_index("grp", "/", 1), F.col("k").cast("string")).alias("scope"),
+                F.transform("ks", lambda k: F.concat_ws("/", out("grp"), k.cast("string"))).alias("scopes"),
                 F.substring_index("grp", "/", -1).cast("int").alias("label"),
                 "x",
             )
         ),
         "tested",
     )
-    scores = silhouette(every, "scope").join(davies_bouldin(every, "scope"), "scope")
+    tables = every.select(F.explode("scopes").alias("scope"), "label", "x")
+    scores = silhouette(every, "scopes").join(davies_bouldin(tables, "scope"), "scope")
     k = F.substring_index("scope", "/", -1).cast("int").alias("k")
     means = scores.groupBy(k).agg(
         F.avg("silhouette").alias("silhouette"), F.avg("davies_bouldin").alias("davies_bouldin")

@@ -326,3 +326,25 @@ def test_a_block_moves_once_for_a_team_of_blocks(spark, monkeypatch):
     met = [(team[r["slot"], m], r["part"]) for r in moved if r["side"] == 1 for m in r["members"]]
     assert sorted(met) == [(i, j) for i in range(12) for j in range(12)]
     assert len({r["slot"] for r in moved}) == len({r["task"] for r in moved})
+
+
+def test_tables_of_all_k_hold_their_common_rows_once(spark, monkeypatch):
+    """A row of a training part is one row for all k, a synthetic one for all k that draw the same neighbour."""
+    seen, measured = [], resample.silhouette
+
+    def kept(rows, scope):
+        seen.append((rows.select("scopes").collect(), {r["scope"]: r["silhouette"] for r in measured(rows, scope).collect()}))
+        single = rows.select(F.explode("scopes").alias("scope"), "label", "x")
+        return measured(single, "scope")
+
+    monkeypatch.setattr(resample, "silhouette", kept)
+    rng = np.random.default_rng(23)
+    rows = [(i, int(i < 18), [float(v) for v in rng.normal(size=3)]) for i in range(78)]
+    found = resample.choose_neighbours(spark.createDataFrame(rows, "id long, label int, x array<double>"), folds=3, most=6)
+    scores = {r["k"]: r["silhouette"] for r in found.collect()}
+    tables, each = seen[0]
+    per_k = {k: np.mean([each[f"{f}/{k}"] for f in range(3)]) for k in scores}
+    assert sorted(scores) == [3, 4, 5, 6] and scores == pytest.approx(per_k, rel=1e-9)
+    # 12 of 52 rows a fold are few: 28 are made for each k.
+    assert sum(len(r["scopes"]) for r in tables) == 3 * 4 * (52 + 28)
+    assert len(tables) < 78 + 3 * 4 * 28 and sum(len(r["scopes"]) == 8 for r in tables) == 78
